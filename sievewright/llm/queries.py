@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .quality_rules import quality_rules
+from .simhash import simhash_components
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(spark, read(spark, sf_dir, "documents"), size=4, radius=4)
+
+
 QUERIES = {
+    "op10_simhash": op10_simhash,
     "op6_quality_rules": op6_quality_rules,
 }
 
