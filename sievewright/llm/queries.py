@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .quality_rules import quality_rules
+from .recompression import substring_dedup
 from .simhash import simhash_components
 
 
@@ -13,11 +15,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(spark, read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark, read(spark, sf_dir, "documents"), size=4, radius=4)
 
 
 QUERIES = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
     "op6_quality_rules": op6_quality_rules,
 }
