@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .kneser_ney import lm_scores
 from .quality_rules import quality_rules
 from .recompression import substring_dedup
 from .simhash import simhash_components
@@ -15,6 +16,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(spark, read(spark, sf_dir, "documents"), order=2, folds=5, held_out=1)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark, read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -25,6 +31,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
     "op6_quality_rules": op6_quality_rules,

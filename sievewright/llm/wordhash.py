@@ -47,6 +47,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _unshift(x: np.ndarray, by: int) -> np.ndarray:
+    out, left = x.copy(), by
+    while left < 64:
+        out = x ^ (out >> U64(by))
+        left += by
+    return out
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix``."""
+    x = _unshift(x, 31) * U64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = _unshift(x, 27) * U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return _unshift(x, 30)
+
+
 class Words:
     """Words of some texts: hashes, and for text d the words ``at[d]`` to ``at[d + 1]``."""
 
@@ -189,24 +204,30 @@ def opened(folder: str, name: str) -> str:
 
 
 class SortedHashes:
-    """Sorted keys with columns of values, one file for each range of the keys, memory-mapped."""
+    """Sorted keys with columns of values, one file for each range of the keys, memory-mapped.
+
+    With ``offsets`` (the number of keys in all ranges before each), a key's rank is a value too.
+    """
 
-    def __init__(self, folder: str, count: int, columns: dict[str, str]):
-        self.folder, self.count, self.columns = folder, count, columns
+    def __init__(self, folder: str, count: int, columns: dict[str, str], offsets: np.ndarray | None = None):
+        self.folder, self.count, self.columns, self.offsets = folder, count, columns, offsets
         self.parts: dict[int, dict[str, np.ndarray]] = {}
 
     @staticmethod
     def write(folder: str, part: int, arrays: dict[str, np.ndarray]) -> None:
+        """Columns other than the key take the narrowest unsigned type that holds the part's values."""
         for name, values in arrays.items():
-            save(folder, f"{name}-{part:06d}", lambda out, v=values: out.write(np.ascontiguousarray(v).tobytes()))
+            if name != "key" and values.dtype == U64:
+                most = int(values.max(initial=0))
+                values = values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, U64) if most <= np.iinfo(k).max))
+            save(folder, f"{name}-{part:06d}", lambda out, v=values: np.lib.format.write_array(out, np.ascontiguousarray(v)))
 
     def part(self, i: int) -> dict[str, np.ndarray]:
         if i not in self.parts:
             got = {}
             for name, kind in self.columns.items():
                 try:
-                    path = opened(self.folder, f"{name}-{i:06d}")
-                    got[name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+                    got[name] = np.load(opened(self.folder, f"{name}-{i:06d}"), mmap_mode="r")
                 except FileNotFoundError:  # a range without keys
                     got[name] = np.zeros(0, kind)
             self.parts[i] = got
@@ -216,6 +237,8 @@ class SortedHashes:
         """For sorted ``keys``: which are there, and their values (0 elsewhere)."""
         there = np.zeros(len(keys), bool)
         values = {n: np.zeros(len(keys), k) for n, k in self.columns.items() if n != "key"}
+        if self.offsets is not None:
+            values["rank"] = np.zeros(len(keys), np.int64)
         cuts = ranges(keys, self.count)
         for i in np.flatnonzero(np.diff(cuts)):
             s, e = cuts[i], cuts[i + 1]
@@ -227,5 +250,6 @@ class SortedHashes:
             hit = part["key"][at] == keys[s:e]
             there[s:e] = hit
             for n in values:
-                values[n][s:e] = np.where(hit, part[n][at], 0)
+                got = at + self.offsets[i] if n == "rank" else part[n][at]
+                values[n][s:e] = np.where(hit, got, 0)
         return there, values
