@@ -164,3 +164,37 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & holds).alias("kept"), names.alias("broken"),
     )
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The rules over ``documents`` as DuckDB SQL, from the same table of thresholds."""
+    stops = {w for words in STOP_WORDS.values() for w in words}
+    stops = sorted({*stops, *(w.capitalize() for w in stops)})
+    ratio = {
+        "n_words": "n_words::DOUBLE",
+        "repeat_word_ratio": "n_repeat_words / n",
+        "mean_word_chars": "word_chars / n",
+        "symbol_word_ratio": "n_symbols / n",
+        "exclamation_word_ratio": "n_exclamations / n",
+        "pipe_word_ratio": "n_pipes / n",
+        "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "stop_word_ratio": "n_stop_words / n",
+    }
+    broken = []
+    for rule in rules:
+        tests = [f"{ratio[rule.measure]} {sign} {value}" for sign, value in (("<", rule.low), (">", rule.high)) if value is not None]
+        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{rule.measure}' END")
+    space = "[ \\t\\n\\x0B\\f\\r]"
+    return f"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS l FROM documents),
+windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+counted AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
+    len(regexp_extract_all(t, '\\|')) AS n_pipes, len(regexp_extract_all(t, '!!')) AS n_exclamations,
+    len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in stops)}))) AS n_stop_words,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, greatest(len(w), 1) AS n FROM split LEFT JOIN repeated USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {", ".join(broken)}) AS broken FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM judged"""

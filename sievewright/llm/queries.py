@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan, quality_rules, wavelet
 from .common import read
 from .kneser_ney import lm_scores
-from .quality_rules import quality_rules
 from .recompression import substring_dedup
 from .simhash import simhash_components
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, shards = wavelet.write_token_shards(spark, read(spark, sf_dir, "documents"))
+    out = wavelet.read_token_shards(spark, folder, shards)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +41,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op8_lm_scores": op8_lm_scores,
-    "op9_substring_dedup": op9_substring_dedup,
-    "op10_simhash": op10_simhash,
-    "op6_quality_rules": op6_quality_rules,
+    f.__name__: f
+    for f in (op3_license_scan, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle_sql(),
+    "op6_quality_rules": quality_rules.oracle_sql(),
+}
