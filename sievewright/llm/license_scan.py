@@ -134,6 +134,8 @@ def rules() -> tuple[dict, ...]:
         for before, after, priority, confidence in FORMS:
             phrase = f"{before} {name} {after}".strip()
             found.append((priority, phrase, label, confidence))
+        if "license" in name.split():  # such a name needs no other announcement
+            found.append((1, name, label, 0.75))
     found += [(priority, phrase, label, confidence) for phrase, label, priority, confidence in STATEMENTS]
     found.sort(key=lambda r: -r[0])
     return tuple(
