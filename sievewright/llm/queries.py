@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from . import license_scan, quality_rules, wavelet
 from .common import read
 from .kneser_ney import lm_scores
+from .pu_quality import pu_quality
 from .recompression import substring_dedup
 from .simhash import simhash_components
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fit_rows=20_000, folds=5, held_out=0)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_license_scan, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
+    for f in (op1_pu_quality, op3_license_scan, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
 }
 
 ORACLE: dict[str, str] = {
