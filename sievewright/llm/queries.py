@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import license_scan, quality_rules, wavelet
 from .common import read
 from .kneser_ney import lm_scores
+from .pieces import segment
 from .pu_quality import pu_quality
 from .recompression import substring_dedup
 from .simhash import simhash_components
@@ -21,6 +22,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = segment(read(spark, sf_dir, "documents"), n=4)
+    return out.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pu_quality, op3_license_scan, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
+    for f in (op1_pu_quality, op3_license_scan, op5_pieces, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
 }
 
 ORACLE: dict[str, str] = {
