@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, wavelet
+from . import license_scan, qgram, quality_rules, wavelet
 from .common import read
 from .kneser_ney import lm_scores
 from .pieces import segment
@@ -22,6 +22,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram.leaks(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = segment(read(spark, sf_dir, "documents"), n=4)
     return out.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
@@ -53,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pu_quality, op3_license_scan, op5_pieces, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
+    for f in (op1_pu_quality, op3_license_scan, op4_benchmark_leaks, op5_pieces, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
 }
 
 ORACLE: dict[str, str] = {
