@@ -16,7 +16,7 @@ their texts, null ids come first; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from .wordhash import opened, save
 MAGIC = b"SWWM0001"
 BLOCK = 1 << 15
 #: Tokens of a shard, after which a task begins another, and bytes of text a task is meant to have.
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 4_000_000
 TASK_BYTES = 24 << 20
 NULL_ID = np.iinfo(np.int64).min
 
@@ -43,8 +43,7 @@ def dump(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
     n, planes = len(ids), max(1, int(ids.max(initial=0)).bit_length())
     zeros, ones_before, block_ends, blocks, size = [], [], [], [], 0
     for p in range(planes - 1, -1, -1):
-        bits = (ids >> ids.dtype.type(p)) & ids.dtype.type(1)
-        one = bits.astype(bool)
+        one = (ids & ids.dtype.type(1 << p)).astype(bool)
         packed = np.packbits(one, bitorder="little")
         ids = np.concatenate([ids[~one], ids[one]])
         zeros.append(n - int(one.sum()))
@@ -179,8 +178,27 @@ class WaveletMatrix:
         return self.access(np.arange(self.ends[k - 1] if k else 0, self.ends[k]))
 
 
-#: White space that the pre-tokenizer may join, so that such a text is encoded as a whole.
-_JOINED = re.compile("[ \n]{2}|^[ \n]|[ \n]\\Z|[^\\S \n]|\x00|<\\|")
+_OTHER_SPACE = re.compile("[^\\S \n]")
+#: ASCII marks that the pre-tokenizer keeps together; the apostrophe may begin a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The code points that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+def joined_spaces(text: str) -> bool:
+    """Whether the pre-tokenizer may join characters across white space, or a special token may occur."""
+    return (
+        "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or "<|" in text
+        or text[:1] in " \n" or text[-1:] in " \n" or _OTHER_SPACE.search(text) is not None
+    )
 
 
 class Encoder:
@@ -188,31 +206,62 @@ class Encoder:
 
     The pre-tokenizer never joins characters across a single space or line break that stands
     between two other characters, so pieces cut there are encoded independently; texts with any
-    other white space are encoded as they are. Known pieces are dropped when they become many.
+    other white space are encoded as they are. A piece of letters with marks behind is two
+    pre-tokens, for which the tokenizer's model is asked directly. Known pieces are dropped when
+    they become many.
     """
 
-    KNOWN = 400_000
+    KNOWN = 350_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words: dict[str, tuple[int, ...]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.size, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.words) > self.KNOWN:
+            self.words = {}
+        self.flat, self.size, self.starts, self.lengths = np.zeros(1 << 16, np.uint16), 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        if (ids := self.words.get(word)) is None:
+            letters = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = self.words[word] = tuple([t.id for t in self.model.tokenize(letters)])
+        return ids
+
+    def _ids(self, pieces: list[str]) -> list:
+        found, rest = [], []
+        for k, piece in enumerate(pieces):
+            word = piece.rstrip(_MARKS)
+            marks = piece[len(word) :]
+            core = word[1:] if word[:1] == " " else word
+            if core.isalpha():
+                found.append(self._word(word) + self._word(marks) if marks else self._word(word))
+            else:
+                found.append(())
+                rest.append(k)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
+                found[k] = e.ids
+        return found
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        if self.size + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.size], np.zeros(self.size + total, np.uint32)])
-        self.flat[self.size : self.size + total] = [i for ids in found for i in ids]
-        self.starts = np.r_[self.starts, self.size + np.cumsum(lengths) - lengths]
+        found = self._ids(pieces)
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        if flat.max(initial=0) >> 16 and self.flat.dtype == np.uint16:
+            self.flat = self.flat.astype(np.uint32)
+        if self.size + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.size], np.zeros(self.size + len(flat), self.flat.dtype)])
+        self.flat[self.size : self.size + len(flat)] = flat
+        self.starts = np.r_[self.starts, self.size + np.cumsum(lengths, dtype=np.int32) - lengths]
         self.lengths = np.r_[self.lengths, lengths]
-        self.size += total
+        self.size += len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
@@ -220,22 +269,33 @@ class Encoder:
             self.reset()
         known, pieces, counts = self.known, [], []
         for text in texts:
-            if _JOINED.search(text):
-                own = [text]
-            else:
-                own = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+            if not text:
+                counts.append(0)
+                continue
+            own = [text] if joined_spaces(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             pieces += own
             counts.append(len(own))
         fresh = [p for p in dict.fromkeys(pieces) if p not in known]
         if fresh:
             known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
             self._learn(fresh)
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        where = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ends = np.cumsum(lengths, dtype=np.int32)
+        where = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        where += np.arange(len(where), dtype=np.int32)
         sums = np.r_[0, ends][np.r_[0, np.cumsum(counts)].astype(np.int64)]
-        return self.flat[where], np.diff(sums)
+        return self.flat[where], np.diff(sums).astype(np.int64)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, kept from task to task with the pieces it knows."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_shards(folder: str, tokenizer: str | None, end_id: int):
@@ -247,7 +307,7 @@ def write_shards(folder: str, tokenizer: str | None, end_id: int):
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = encoder_of(path), TaskContext.get().partitionId()
         held, docs, counts, size, made = [], [], [], 0, 0
 
         def shard():
