@@ -215,7 +215,8 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_row
     """
     rows = docs.select("doc_id", "text").filter((bucket("doc_id", folds) != held_out) & F.col("doc_id").isNotNull())
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
-    chosen = lambda ids: ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    # at most fit_rows ids of 8 bytes: small enough to broadcast whatever the tables hold
+    chosen = lambda ids: F.broadcast(ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     positive = with_measures(rows.join(chosen(rows.join(trusted, "doc_id", "left_semi")), "doc_id", "left_semi"))
     # a share of all rows, trusted or not: the text whose prior is sought
     unlabelled = with_measures(rows.join(chosen(rows), "doc_id", "left_semi"))
