@@ -241,6 +241,17 @@ def score_quality(docs: DataFrame, net: Network | None, threshold: float = THRES
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_quality(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch, words in chunks(batches, at):
+            yield batch.filter(pa.array(net.score(measures(words)) >= threshold)) if net is not None else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def pu_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5, held_out: int = 0) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, prior) for every row of ``docs``."""
     net, prior = fit_quality(spark, docs, labels, fit_rows, folds, held_out)

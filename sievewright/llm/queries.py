@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import license_scan, qgram, quality_rules, wavelet
 from .common import read
 from .kneser_ney import lm_scores
+from .line_templates import line_dedup
 from .pieces import segment
 from .pu_quality import pu_quality
 from .recompression import substring_dedup
@@ -18,6 +19,10 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fit_rows=20_000, folds=5, held_out=0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(spark, read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pu_quality, op3_license_scan, op4_benchmark_leaks, op5_pieces, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
+    for f in (op1_pu_quality, op2_line_dedup, op3_license_scan, op4_benchmark_leaks, op5_pieces, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash)
 }
 
 ORACLE: dict[str, str] = {
