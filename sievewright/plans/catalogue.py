@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import curves, leakage, relations, resampling, scoring, selecting
 
-from ..session import table
-
-
-def identity_clusters(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return (
-        docs.groupBy(F.sha2("text", 256).alias("content_sha256"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-        .filter("n_rows > 1")
-    )
-
-
-QUERIES = {"identity_clusters": identity_clusters}
-ORACLE = {
-    "identity_clusters": """
-        SELECT sha256(text) AS content_sha256, count(*) AS n_rows, min(doc_id) AS first_id, max(doc_id) AS last_id
-        FROM documents GROUP BY 1 HAVING count(*) > 1""",
-}
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+for _part in (leakage, relations, scoring, resampling, curves, selecting):
+    QUERIES |= _part.REGISTER.queries
+    ORACLE |= _part.REGISTER.oracle
