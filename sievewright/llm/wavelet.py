@@ -16,7 +16,7 @@ their texts, null ids come first; other columns are ignored.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -207,11 +207,11 @@ class Encoder:
     The pre-tokenizer never joins characters across a single space or line break that stands
     between two other characters, so pieces cut there are encoded independently; texts with any
     other white space are encoded as they are. A piece of letters with marks behind is two
-    pre-tokens, for which the tokenizer's model is asked directly. Known pieces are dropped when
-    they become many.
+    pre-tokens, for which the tokenizer's model is asked directly. When known pieces become many,
+    only the first are kept: frequent ones are met early.
     """
 
-    KNOWN = 350_000
+    KNOWN, KEPT = 350_000, 120_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -219,14 +219,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.words: dict[str, tuple[int, ...]] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.known: dict[str, int] = {}
-        if len(self.words) > self.KNOWN:
-            self.words = {}
         self.flat, self.size, self.starts, self.lengths = np.zeros(1 << 16, np.uint16), 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
 
+    def trim(self) -> None:
+        if len(self.words) > self.KNOWN:
+            self.words = dict(islice(self.words.items(), self.KEPT))
+        if len(self.known) > self.KNOWN:
+            self.known = dict(islice(self.known.items(), self.KEPT))
+            self.starts, self.lengths = self.starts[: self.KEPT], self.lengths[: self.KEPT]
+            self.size = int(self.starts[-1] + self.lengths[-1])
+
     def _word(self, word: str) -> tuple[int, ...]:
         if (ids := self.words.get(word)) is None:
             letters = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
@@ -265,8 +268,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        if len(self.known) > self.KNOWN:
-            self.reset()
+        self.trim()
         known, pieces, counts = self.known, [], []
         for text in texts:
             if not text:
@@ -275,7 +277,7 @@ class Encoder:
             own = [text] if joined_spaces(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             pieces += own
             counts.append(len(own))
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
+        fresh = list(set(pieces).difference(known))
         if fresh:
             known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
             self._learn(fresh)

@@ -70,3 +70,14 @@ def test_access_count_and_locate(tokens, few):
 def test_rejects_other_files():
     with pytest.raises(ValueError):
         wavelet.WaveletMatrix(b"something else" * 10)
+
+
+def test_trimmed_encoder_stays_right(spark, sf, monkeypatch):
+    texts = [r.text for r in read(spark, sf, "documents").collect()]
+    encoder = wavelet.Encoder(PATH)
+    monkeypatch.setattr(wavelet.Encoder, "KNOWN", 900)
+    monkeypatch.setattr(wavelet.Encoder, "KEPT", 300)
+    for at in range(0, len(texts), 7):
+        ids, n = encoder.encode(texts[at : at + 7])
+        whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 7]]
+        assert n.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
