@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import content_hash, hamming
+from ..functions.scalars import content_hash, let
 from ..operators import relational, similarity
 from ..session import table
 from .inputs import COSINE, HAMMING, VECTORS, hashes, vectors
@@ -62,19 +62,24 @@ def removed_train_rows(spark, sf):
 def prefix_contamination(spark, sf):
     """Documents that hold an item's first 60 characters.
 
-    Candidates come from an equi-join on 15-character pieces at word starts of the document, so
-    documents are not compared with all items; containment itself is then checked.
+    Candidates share the second to fourth word of the item's beginning, which are whole words
+    wherever it stands; only these words are exploded, and no text travels with them. The items
+    are broadcast while they are few, by count; containment itself is checked on what is found.
     """
+    words = lambda c: F.split(c, "[ \n]")
     items = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
-    keyed = items.withColumn("piece", F.substring("head", 1, 15))
+    keyed = items.filter(F.size(words("head")) >= 5).withColumn("key", F.array_join(F.slice(words("head"), 2, 3), " "))
+    n = items.count()
+    if keyed.count() < n:
+        raise ValueError("an item begins with less than five words")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    n = keyed.agg(F.min(F.length("piece"))).first()[0] or 0
-    if n < 15:
-        raise ValueError("items are shorter than the piece")
-    place = F.sequence(F.lit(1), F.greatest(F.length("text") - 14, F.lit(1)))
-    pieces = docs.select("doc_id", F.explode(F.array_distinct(F.transform(place, lambda i: F.substring("text", i, F.lit(15))))).alias("piece"))
-    found = pieces.join(keyed, "piece").select("doc_id", "item_id", "head").distinct()
-    return found.join(docs, "doc_id").filter(F.contains("text", F.col("head"))).select("doc_id", "item_id")
+
+    def threes(w):
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    pieces = docs.select("doc_id", F.explode(F.array_distinct(let(words("text"), threes))).alias("key"))
+    found = pieces.join(F.broadcast(keyed) if n <= similarity.BROADCAST_ROWS else keyed, "key").select("doc_id", "item_id", "head").distinct()
+    return docs.join(found, "doc_id").filter(F.contains("text", F.col("head"))).select("doc_id", "item_id")
 
 
 @query(
