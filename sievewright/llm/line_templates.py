@@ -238,3 +238,23 @@ def without_templates(spark: SparkSession, docs: DataFrame, rules: Rules = Rules
     """``docs`` with all its columns, its texts without the lines of recurring templates."""
     tree = build(spark, docs, rules, id_col, text_col)
     return docs.mapInArrow(filtered(tree, docs.columns.index(id_col), docs.columns.index(text_col), True), docs.schema)
+
+
+def oracle_sql(rules: Rules = Rules()) -> str:
+    """The dedup of ``documents`` as DuckDB SQL, with lines, leaves and templates as rows."""
+    words = "list_filter(string_split_regex(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM texts),
+tokens AS (SELECT rid, doc_id, no, list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines),
+leaves AS (SELECT *, len(w) AS n, len(w) || '|' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM tokens WHERE len(w) >= {MIN_TOKENS}),
+often AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT rid) >= {rules.min_docs}),
+inside AS (SELECT leaves.* FROM leaves JOIN often USING (leaf)),
+places AS (SELECT rid, no, leaf, unnest(w[{DEPTH + 1}:]) AS x, generate_subscripts(w[{DEPTH + 1}:], 1) AS i FROM inside),
+constants AS (SELECT leaf, i, x, true AS fixed FROM places GROUP BY leaf, i, x HAVING count(DISTINCT rid) >= {rules.min_docs}),
+masks AS (SELECT rid, no, string_agg(CASE WHEN fixed THEN x ELSE chr(1) END, ' ' ORDER BY i) AS mask, count(fixed) AS c FROM places LEFT JOIN constants USING (leaf, i, x) GROUP BY rid, no),
+templates AS (SELECT rid, doc_id, no, leaf || '#' || coalesce(mask, '') AS template FROM inside LEFT JOIN masks USING (rid, no) WHERE {DEPTH} + coalesce(c, 0) >= {rules.constant_share} * n),
+recurring AS (SELECT template, min(doc_id) AS first FROM templates GROUP BY template HAVING count(DISTINCT rid) >= {rules.min_docs}),
+gone AS (SELECT rid, no, true AS g FROM templates JOIN recurring USING (template) WHERE first < doc_id)
+SELECT doc_id, count(*) AS n_lines, count(g) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (g IS NULL), '') AS text
+FROM lines LEFT JOIN gone USING (rid, no) GROUP BY rid, doc_id"""

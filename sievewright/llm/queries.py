@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, qgram, quality_rules, wavelet
+from . import license_scan, line_templates, qgram, quality_rules, recompression, wavelet
 from .common import read
 from .kneser_ney import lm_scores
-from .line_templates import line_dedup
 from .pieces import segment
 from .pu_quality import pu_quality
-from .recompression import substring_dedup
 from .simhash import simhash_components
 
 
@@ -20,7 +18,7 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark, read(spark, sf_dir, "documents"))
+    return line_templates.line_dedup(spark, read(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +50,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(spark, read(spark, sf_dir, "documents"))
+    out = recompression.substring_dedup(spark, read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -66,6 +64,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_templates.oracle_sql(),
     "op3_license_scan": license_scan.oracle_sql(),
     "op6_quality_rules": quality_rules.oracle_sql(),
+    "op9_substring_dedup": recompression.oracle_sql(),
 }

@@ -274,3 +274,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     windows = rows.mapInArrow(send_windows(folders[0], count, second), BLOBS).repartitionById(second, F.col("part"))
     windows.mapInArrow(store_windows(folders[1]), "part int, n long").agg(F.sum("n")).first()
     return rows.mapInArrow(remove_repeats(folders, (count, second)), "doc_id long, n_words long, n_removed long, text string")
+
+
+def oracle_sql() -> str:
+    """The digest of the removal from ``documents`` as DuckDB SQL, with every window as a row."""
+    return f"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM texts)),
+least AS (SELECT x, min(doc_id) AS first FROM windows GROUP BY x),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM windows JOIN least USING (x), range({WINDOW}) t(k) WHERE first < doc_id GROUP BY doc_id),
+kept AS (SELECT doc_id, w, CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS k FROM texts LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
