@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates."""
-    first = simhash_components(spark, docs, size=4, radius=4).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """The document of least id of each group of near-duplicates; a document without an id stays."""
+    named = docs.filter("doc_id is not null")
+    first = simhash_components(spark, named, size=4, radius=4).filter("doc_id = component_id").select("doc_id").distinct()
+    return named.join(first, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,15 @@ def test_empty_documents(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         read(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_nulls_and_repeated_rows(spark, sf):
+    schema = read(spark, sf, "documents").schema
+    text = " ".join(f"plain words number {i} of a longer text" for i in range(60)) + "."
+    rows = [(None, text, None, None, None), (1, text, "en", "src0", 5), (1, text, "en", "src0", 5), (2, None, None, "x", None), (3, "", "en", None, 0)]
+    now = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, sf)
+        now = spark.createDataFrame(out.collect(), out.schema)
+        assert k == 4 or now.columns == schema.names
+    assert {r.doc_id for r in now.collect()} <= {None, 1, 2, 3}
