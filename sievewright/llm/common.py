@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACES = r"[ \t\n\x0B\f\r]"
 
 
+_made: list[str] = []
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +34,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         top = f"file://{made}"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
 
 
 def cut(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
@@ -41,11 +45,15 @@ def cut(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Removes a folder of ours that nothing reads any more."""
+def drop_shared(spark: SparkSession) -> None:
+    """Removes all folders that operators of this driver have made below the shared folder.
+
+    For the end of a job: results that have not been written elsewhere read from these folders.
+    """
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    while _made:
+        place = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_of(text: str = "text") -> Column:

@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
