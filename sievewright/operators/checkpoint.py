@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tier names with the half-open FID ranges that define them.
-TIERS = (("EXCELLENT", 0.0, 30.0), ("GOOD", 30.0, 50.0), ("ACCEPTABLE", 50.0, 75.0))
+TIERS = (("EXTRAORDINARY", 0.0, 30.0), ("EXCELLENT", 30.0, 50.0), ("GOOD", 50.0, 75.0))
 LAST_TIER = "FAIR"
 RECALL_GAP = 0.005
 

@@ -102,7 +102,7 @@ _TIER = "CASE WHEN fid >= 0 AND fid < 30 THEN 0 WHEN fid >= 30 AND fid < 50 THEN
 _THREE = f"""{CHECKPOINTS}, t AS (SELECT *, {_TIER} AS tier_rank, round(0.5 * coalesce(precision, 0) + 0.5 * coalesce(recall, 0), 9) AS score FROM checkpoints),
 b AS (SELECT * FROM t QUALIFY tier_rank = min(tier_rank) OVER (PARTITION BY model)),
 r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS ns, lead(recall) OVER w AS nr, lead(kimg) OVER w AS nk, lead(fid) OVER w AS nf FROM b WINDOW w AS (PARTITION BY model ORDER BY score DESC, kimg)),
-picked AS (SELECT model, CASE WHEN s THEN nk ELSE kimg END AS kimg, CASE WHEN s THEN nf ELSE fid END AS fid, CASE WHEN s THEN ns ELSE score END AS score, ['EXCELLENT', 'GOOD', 'ACCEPTABLE', 'FAIR'][tier_rank + 1] AS tier, s AS by_recall
+picked AS (SELECT model, CASE WHEN s THEN nk ELSE kimg END AS kimg, CASE WHEN s THEN nf ELSE fid END AS fid, CASE WHEN s THEN ns ELSE score END AS score, ['EXTRAORDINARY', 'EXCELLENT', 'GOOD', 'FAIR'][tier_rank + 1] AS tier, s AS by_recall
     FROM (SELECT *, coalesce(round(score - ns, 9) <= 0.005 AND nr > recall, false) AS s FROM r WHERE rn = 1))"""
 
 
@@ -122,7 +122,7 @@ def checkpoint_disagreement(spark, sf):
     return checkpoint.three_stage(checkpoints(spark, sf)).join(f, "model").select("model", "kimg", "fid_kimg", F.col("kimg").eqNullSafe(F.col("fid_kimg")).alias("agree"))
 
 
-@query(f"WITH {CHECKPOINTS} SELECT model, ['EXCELLENT', 'GOOD', 'ACCEPTABLE', 'FAIR'][{_TIER} + 1] AS tier, count(*) AS n FROM checkpoints GROUP BY 1, 2")
+@query(f"WITH {CHECKPOINTS} SELECT model, ['EXTRAORDINARY', 'EXCELLENT', 'GOOD', 'FAIR'][{_TIER} + 1] AS tier, count(*) AS n FROM checkpoints GROUP BY 1, 2")
 def tier_distribution(spark, sf):
     tier = checkpoint.tier_name(checkpoint.tier_rank(F.col("fid")))
     return checkpoints(spark, sf).groupBy("model", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))

@@ -72,7 +72,7 @@ def test_auroc_of_one_class_is_null(spark):
 def test_checkpoint_edges(spark):
     data = [("m", 1, 30.0, 0.5, 0.2), ("m", 2, 49.9, 0.49, 0.21), ("m", 3, 80.0, 0.9, 0.9), ("n", 1, 75.0, None, None), ("k", 1, 10.0, 0.5, 0.2), ("k", 2, 11.0, 0.4, 0.29)]
     got = {r.model: r for r in checkpoint.three_stage(spark.createDataFrame(data, "model string, kimg int, fid double, precision double, recall double")).collect()}
-    assert got["m"].kimg == 2 and got["m"].by_recall and got["m"].tier == "GOOD"
+    assert got["m"].kimg == 2 and got["m"].by_recall and got["m"].tier == "EXCELLENT"
     assert got["n"].tier == "FAIR" and got["n"].kimg == 1
     assert got["k"].kimg == 2 and got["k"].by_recall
 
