@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, text_of
-from .wordhash import opened, save
+from .wordhash import no_cycles, opened, save
 
 MAGIC = b"SWWM0001"
 BLOCK = 1 << 15
@@ -231,22 +231,24 @@ class Encoder:
             self.size = int(self.starts[-1] + self.lengths[-1])
 
     def _word(self, word: str) -> tuple[int, ...]:
-        if (ids := self.words.get(word)) is None:
-            letters = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            ids = self.words[word] = tuple([t.id for t in self.model.tokenize(letters)])
+        letters = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        ids = self.words[word] = tuple([t.id for t in self.model.tokenize(letters)])
         return ids
 
     def _ids(self, pieces: list[str]) -> list:
-        found, rest = [], []
+        found, rest, known = [], [], self.words.get
         for k, piece in enumerate(pieces):
             word = piece.rstrip(_MARKS)
-            marks = piece[len(word) :]
             core = word[1:] if word[:1] == " " else word
-            if core.isalpha():
-                found.append(self._word(word) + self._word(marks) if marks else self._word(word))
-            else:
+            if not core.isalpha():
                 found.append(())
                 rest.append(k)
+                continue
+            ids = known(word) or self._word(word)
+            if len(word) < len(piece):
+                marks = piece[len(word) :]
+                ids += known(marks) or self._word(marks)
+            found.append(ids)
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             for k, e in zip(some, self.tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
@@ -324,7 +326,8 @@ def write_shards(folder: str, tokenizer: str | None, end_id: int):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                ids, n = encoder.encode(some.column(1).to_pylist())
+                with no_cycles():
+                    ids, n = encoder.encode(some.column(1).to_pylist())
                 held.append(np.insert(ids, np.cumsum(n), end_id))
                 docs.append(some.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
                 counts.append(n + 1)

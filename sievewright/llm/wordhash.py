@@ -7,9 +7,11 @@ random byte values modulo 2**64, mixed with the word's length.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +181,18 @@ def find_unsorted(table: SortedHashes, keys: np.ndarray) -> tuple[np.ndarray, di
     return there[back], {n: v[back] for n, v in values.items()}
 
 
+@contextmanager
+def no_cycles():
+    """Stays the search for reference cycles while many small objects without any are made."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _copies: dict[str, str] = {}
 
 
