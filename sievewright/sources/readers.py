@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from ..operators.relational import guard_unique, mode_policy
 
 MANIFEST = "filepath string, class string, plane string, source string"
+#: The enums of the manifest.
 CLASSES, PLANES, SOURCES = ("glioma", "meningioma", "no_tumor", "pituitary"), ("ax", "co", "sa"), ("real", "synthetic")
 _READERS: dict[str, Callable[..., DataFrame]] = {}
 
