@@ -37,7 +37,7 @@ LEAST = 8
 INDEX_CHARS = 32_000_000
 _BITS = 22
 #: Pairs of a mark and a window's q-gram that are counted at once.
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58], _FOLD[97:123], _FOLD[65:91] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123)
@@ -184,8 +184,8 @@ class Index:
         size = np.array([len(p.text) for p in self.parts])
         for m, e in {(int(size[w]), int(self.budget[w])) for w in np.unique(window)}:
             chosen = np.flatnonzero((size[window] == m) & (self.budget[window] == e))
-            for s in range(0, len(chosen), 4096):
-                own = chosen[s : s + 4096]
+            for s in range(0, len(chosen), 2048):
+                own = chosen[s : s + 2048]
                 width = 2 * (2 * e + 1)
                 base = bounds[doc[own]] + band[own] * (2 * e + 1)
                 pattern = np.stack([np.frombuffer(self.parts[w].text, np.uint8) for w in window[own]])
