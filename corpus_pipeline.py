@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import read, shared_folder
+from sievewright.llm.common import cut, read, shared_folder
 from sievewright.llm.line_templates import without_templates
 from sievewright.llm.pieces import segment
 from sievewright.llm.pu_quality import fit_quality, keep_quality
 from sievewright.llm.qgram import decontaminate
-from sievewright.llm.simhash import simhash_components
+from sievewright.llm.resemblance import resemblance_components
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates; a document without an id stays."""
-    named = docs.filter("doc_id is not null")
-    first = simhash_components(spark, named, size=4, radius=4).filter("doc_id = component_id").select("doc_id").distinct()
+    """The document of least id of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more); one without an id stays."""
+    named = cut(spark, docs.filter("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    of = named.select("row", "doc_id").join(resemblance_components(spark, named.select("row", "text")), "row")
+    first = of.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return named.join(first, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.filter("doc_id is null"))
 
 
