@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows. A document holds a window if some stretch of it
+Benchmark items are cut into overlapping windows of two lengths: long ones for passages with many
+edits, short ones for parts of an item. A document holds a window if some stretch of it
 is within the window's edit budget e. Such a stretch shares at least ``m - q + 1 - e q`` q-grams
 with the window of m characters, all on diagonals that lie at most e apart from where it starts.
 So q-grams of the text that any window has are marked; where too few are marked for any window
@@ -31,6 +32,8 @@ from .wordhash import U64, chunks
 
 Q = 8
 WINDOW, STEP = 120, 60
+#: Shorter windows beside them: an unedited part of SHORT + SHORT_STEP - 1 characters holds one at any offset.
+SHORT, SHORT_STEP = 60, 15
 RATE = 0.1
 #: A window's bound is at least this; the budget of short items is lowered to it.
 LEAST = 8
@@ -82,9 +85,12 @@ def windows(items: list[tuple[int, str]]) -> list[Part]:
     found = []
     for item, text in items:
         whole = normal_text(text)
-        starts = sorted({*range(0, max(1, len(whole) - WINDOW + 1), STEP), max(0, len(whole) - WINDOW)})
-        for s in starts:
-            part = whole[s : s + WINDOW]
+        spans = set()
+        for size, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
+            starts = {*range(0, max(1, len(whole) - size + 1), step), max(0, len(whole) - size)}
+            spans |= {(s, min(s + size, len(whole))) for s in starts}
+        for s, e in sorted(spans):
+            part = whole[s:e]
             most = (len(part) - Q + 1 - LEAST) // Q
             if len(part) - Q + 1 < LEAST:
                 continue

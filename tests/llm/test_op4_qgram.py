@@ -92,3 +92,16 @@ def test_edge_cases(spark, monkeypatch):
     assert qgram.leaks(spark, docs.limit(0), bench).collect() == []
     assert qgram.leaks(spark, docs, bench.limit(0)).collect() == []
     assert qgram.decontaminate(spark, docs, bench.limit(0)).count() == len(rows)
+
+
+def test_parts_at_any_offset():
+    rng = np.random.default_rng(4)
+    item = " ".join("".join(rng.choice(list("etaoinsrhl"), rng.integers(2, 8))) for _ in range(80))
+    index = qgram.Index(qgram.windows([(1, item)]))
+    size = qgram.SHORT + qgram.SHORT_STEP - 1
+    assert size <= 74
+    docs = [b"xyz " * 20 + item[s : s + size].encode() + b" xyz" * 20 for s in range(len(item) - size + 1)]
+    # a space at either end of a part stays one, as other words stand around it
+    bounds = np.r_[0, np.cumsum([len(d) for d in docs])]
+    found = {d for d, *_ in index.search(np.frombuffer(b"".join(docs), np.uint8), bounds)}
+    assert found == set(range(len(docs)))
