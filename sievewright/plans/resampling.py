@@ -10,7 +10,8 @@ from .inputs import PREDICTIONS, predictions, sql_mix
 from .register import Register
 
 REGISTER = query = Register()
-ITERATIONS = 200
+#: As the reference's default.
+ITERATIONS = 5000
 _CASES = f"""{PREDICTIONS}, cases2 AS (SELECT case_id, sum((b.y_pred = b.y_true)::INT - (a.y_pred = a.y_true)::INT)::BIGINT AS diff, count(*) AS n
     FROM predictions a JOIN predictions b USING (seed, case_id) WHERE a.condition = 0 AND b.condition = 4 GROUP BY 1)"""
 _SEEDS = f"""{PREDICTIONS}, deltas AS (SELECT b.condition, seed, round(avg((b.y_pred = b.y_true)::INT - (a.y_pred = a.y_true)::INT), 9) AS delta

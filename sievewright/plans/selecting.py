@@ -10,6 +10,9 @@ from .inputs import HAMMING, VECTORS, hashes, vectors
 from .register import Register
 
 REGISTER = query = Register()
+#: As in the reference: subsets and their size at most, trees and seeds.
+KID_SUBSETS, KID_SIZE = 100, 1000
+RF_TREES, RF_SEEDS = 500, 10
 
 
 def _gated(spark, sf):
@@ -61,7 +64,7 @@ def fid(spark, sf):
 @query(name="kid")
 def kid(spark, sf):
     v = vectors(spark, sf).select("id", F.col("is_real").cast("int").alias("side"), F.col("embedding").cast("array<double>").alias("vector"))
-    return selection.kernel_distance(v, 10, 100, 1).agg(F.round(F.avg("kid"), 6).alias("kid"))
+    return selection.kernel_distance(v, KID_SUBSETS, KID_SIZE, 1).agg(F.round(F.avg("kid"), 6).alias("kid"))
 
 
 @query(name="power_spectrum")
@@ -77,12 +80,12 @@ def rf_seed_scores(spark, sf):
 
     v = vectors(spark, sf).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).withColumn("label", F.col("combo").cast("double"))
     rows = []
-    for seed in (0, 1):
+    for seed in range(RF_SEEDS):
         for condition in ("baseline", "augmented"):
             train = v.filter("not is_test" if condition == "augmented" else "not is_test and is_real")
             if train.isEmpty():
                 continue
-            model = RandomForestClassifier(numTrees=25, featureSubsetStrategy="log2", minInstancesPerNode=2, seed=seed).fit(train)
+            model = RandomForestClassifier(numTrees=RF_TREES, featureSubsetStrategy="log2", minInstancesPerNode=2, seed=seed).fit(train)
             hit = model.transform(v.filter("is_test")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
             rows.append((condition, seed, hit))
     return spark.createDataFrame(rows, "condition string, seed int, accuracy double")
