@@ -30,11 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more); one without an id stays."""
-    named = cut(spark, docs.filter("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "numbered")
-    of = named.select("row", "doc_id").join(resemblance_components(spark, named.select("row", "text")), "row")
-    first = of.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return named.join(first, "doc_id", "left_semi").select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more).
+
+    It is the one of least id, a null id last; of equal ids the one of least text hash, then of least row number.
+    """
+    numbered = cut(spark, docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    of = numbered.select("row", "doc_id", F.xxhash64("text").alias("h")).join(resemblance_components(spark, numbered.select("row", "text")), "row")
+    first = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row")).alias("f")).select("f.row")
+    return numbered.join(first, "row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

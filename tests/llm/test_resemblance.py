@@ -57,3 +57,11 @@ def test_keys_estimate_resemblance():
     own = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
     missed = sum(not (resemblance.band_keys(own[k : k + 90]) == resemblance.band_keys(own[k + 10 : k + 100])).any() for k in range(800))
     assert missed == 0
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark, sf):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, a), (1, a + " more"), (None, a), (None, b), (None, b + " more"), (7, "other text")]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], read(spark, sf, "documents").schema)
+    got = sorted((str(r.doc_id), r.text[:2]) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect())
+    assert got == [("1", "a0"), ("7", "ot"), ("None", "b0")]
