@@ -15,7 +15,8 @@ is measured first; a longer one is gone through in blocks of that length.
 
 Defined results: null and empty texts hold nothing; items with less than ``Q + LEAST - 1``
 characters are not looked for; repeated documents and items each count; a document with a null id
-is judged like any other; other columns are ignored, or kept by ``decontaminate``.
+is judged like any other; an item of null id is used by ``decontaminate`` only, ``leaks`` has no
+hits for it; other columns are ignored, or kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -248,11 +249,15 @@ class Block:
     items: list[Part]
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Block]:
-    """The benchmark in blocks of at most about INDEX_CHARS characters; one block if it is that short."""
+def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> list[Block]:
+    """The benchmark in blocks of at most about INDEX_CHARS characters; one block if it is that short.
+
+    Items of null id are taken in if ``unnamed``.
+    """
     import uuid
 
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(text_col).alias("t")).filter("item is not null")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(text_col).alias("t"))
+    rows = rows if unnamed else rows.filter("item is not null")
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     count = max(1, -(-size // INDEX_CHARS))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("item", "t"), F.lit(count)))
@@ -302,6 +307,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
 
         return run
 
-    for block in blocks(spark, benchmark):
+    for block in blocks(spark, benchmark, unnamed=True):
         docs = docs.mapInArrow(scan(spark.sparkContext.broadcast(block)), docs.schema)
     return docs

@@ -105,3 +105,10 @@ def test_parts_at_any_offset():
     bounds = np.r_[0, np.cumsum([len(d) for d in docs])]
     found = {d for d, *_ in index.search(np.frombuffer(b"".join(docs), np.uint8), bounds)}
     assert found == set(range(len(docs)))
+
+
+def test_decontaminate_uses_items_of_null_id(spark):
+    passage = "seven wizards quietly mix big jars of potion behind the old mill at the edge of town"
+    docs = spark.createDataFrame([(1, "so " + passage), (2, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    assert [r.doc_id for r in qgram.decontaminate(spark, docs, bench).collect()] == [2]
