@@ -45,7 +45,7 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_scores(spark, read(spark, sf_dir, "documents"), order=2, folds=5, held_out=1)
+    out = lm_scores(spark, read(spark, sf_dir, "documents"), order=3, folds=5, held_out=1)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 

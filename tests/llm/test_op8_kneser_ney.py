@@ -102,3 +102,11 @@ def test_probabilities_sum_to_one(spark):
 def test_mix_is_a_bijection():
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
     assert (unmix(mix(x)) == x).all()
+
+
+def test_query_is_of_order_three(spark, sf, monkeypatch):
+    from sievewright.llm import queries
+
+    want = {r.doc_id: r.score for r in kneser_ney.lm_scores(spark, read(spark, sf, "documents"), 3).collect()}
+    got = {r.doc_id: r.score for r in queries.op8_lm_scores(spark, sf).collect()}
+    assert got == pytest.approx(want)
