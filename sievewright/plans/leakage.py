@@ -65,13 +65,13 @@ def prefix_contamination(spark, sf):
     Candidates share the second to fourth word of the item's beginning, which are whole words
     wherever it stands; only these words are exploded, and no text travels with them. The items
     are broadcast while they are few, by count; containment itself is checked on what is found.
+    Items that begin with fewer than five words are looked for in every document; null ones are in none.
     """
     words = lambda c: F.split(c, "[ \n]")
     items = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
     keyed = items.filter(F.size(words("head")) >= 5).withColumn("key", F.array_join(F.slice(words("head"), 2, 3), " "))
+    short = items.filter(F.size(words("head")) < 5)
     n = items.count()
-    if keyed.count() < n:
-        raise ValueError("an item begins with less than five words")
     docs = table(spark, sf, "documents").select("doc_id", "text")
 
     def threes(w):
@@ -79,7 +79,9 @@ def prefix_contamination(spark, sf):
 
     pieces = docs.select("doc_id", F.explode(F.array_distinct(let(words("text"), threes))).alias("key"))
     found = pieces.join(F.broadcast(keyed) if n <= similarity.BROADCAST_ROWS else keyed, "key").select("doc_id", "item_id", "head").distinct()
-    return docs.join(found, "doc_id").filter(F.contains("text", F.col("head"))).select("doc_id", "item_id")
+    plain = docs.crossJoin(F.broadcast(short))
+    both = docs.join(found, "doc_id").select("doc_id", "text", "item_id", "head").unionAll(plain.select("doc_id", "text", "item_id", "head"))
+    return both.filter(F.contains("text", F.col("head"))).select("doc_id", "item_id")
 
 
 @query(
