@@ -10,28 +10,30 @@ Layout, little-endian: magic, lengths (tokens, documents, planes, block bytes),
 the documents, zeros of each plane, ones before each block, end of each block's bytes, blocks.
 
 Defined results: a null or empty text is the end token alone; rows with equal ids are ordered by
-their texts, null ids come first; other columns are ignored.
+a hash of their texts, then by the texts, null ids come first; a text of any length is encoded
+whole, by itself if it is longer than a chunk; an empty table gives no shard; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain, islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_of
-from .wordhash import no_cycles, opened, save
+from .byte_bpe import encoder_of
+from .common import cut, shared_folder, text_of
+from .wordhash import opened, save
 
 MAGIC = b"SWWM0001"
 BLOCK = 1 << 15
 #: Tokens of a shard, after which a task begins another, and bytes of text a task is meant to have.
 SHARD_TOKENS = 4_000_000
-TASK_BYTES = 24 << 20
+TASK_BYTES = 32 << 20
+#: Tasks of a job at most; on larger inputs each task has more text and writes more shards.
+MOST_TASKS = 20_000
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -178,130 +180,6 @@ class WaveletMatrix:
         return self.access(np.arange(self.ends[k - 1] if k else 0, self.ends[k]))
 
 
-_OTHER_SPACE = re.compile("[^\\S \n]")
-#: ASCII marks that the pre-tokenizer keeps together; the apostrophe may begin a contraction.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def _byte_letters() -> dict[int, int]:
-    """The code points that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in plain]
-    return {b: 256 + k for k, b in enumerate(others)}
-
-
-_LETTERS = _byte_letters()
-
-
-def joined_spaces(text: str) -> bool:
-    """Whether the pre-tokenizer may join characters across white space, or a special token may occur."""
-    return (
-        "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or "<|" in text
-        or text[:1] in " \n" or text[-1:] in " \n" or _OTHER_SPACE.search(text) is not None
-    )
-
-
-class Encoder:
-    """Encodes texts as the tokenizer does, and each distinct piece between spaces once.
-
-    The pre-tokenizer never joins characters across a single space or line break that stands
-    between two other characters, so pieces cut there are encoded independently; texts with any
-    other white space are encoded as they are. A piece of letters with marks behind is two
-    pre-tokens, for which the tokenizer's model is asked directly. When known pieces become many,
-    only the first are kept: frequent ones are met early.
-    """
-
-    KNOWN, KEPT = 350_000, 120_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, int] = {}
-        self.flat, self.size, self.starts, self.lengths = np.zeros(1 << 16, np.uint16), 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
-
-    def trim(self) -> None:
-        if len(self.words) > self.KNOWN:
-            self.words = dict(islice(self.words.items(), self.KEPT))
-        if len(self.known) > self.KNOWN:
-            self.known = dict(islice(self.known.items(), self.KEPT))
-            self.starts, self.lengths = self.starts[: self.KEPT], self.lengths[: self.KEPT]
-            self.size = int(self.starts[-1] + self.lengths[-1])
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        letters = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        ids = self.words[word] = tuple([t.id for t in self.model.tokenize(letters)])
-        return ids
-
-    def _ids(self, pieces: list[str]) -> list:
-        found, rest, known = [], [], self.words.get
-        for k, piece in enumerate(pieces):
-            word = piece.rstrip(_MARKS)
-            core = word[1:] if word[:1] == " " else word
-            if not core.isalpha():
-                found.append(())
-                rest.append(k)
-                continue
-            ids = known(word) or self._word(word)
-            if len(word) < len(piece):
-                marks = piece[len(word) :]
-                ids += known(marks) or self._word(marks)
-            found.append(ids)
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for k, e in zip(some, self.tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
-                found[k] = e.ids
-        return found
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = self._ids(pieces)
-        lengths = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        if flat.max(initial=0) >> 16 and self.flat.dtype == np.uint16:
-            self.flat = self.flat.astype(np.uint32)
-        if self.size + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.size], np.zeros(self.size + len(flat), self.flat.dtype)])
-        self.flat[self.size : self.size + len(flat)] = flat
-        self.starts = np.r_[self.starts, self.size + np.cumsum(lengths, dtype=np.int32) - lengths]
-        self.lengths = np.r_[self.lengths, lengths]
-        self.size += len(flat)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
-        self.trim()
-        known, pieces, counts = self.known, [], []
-        for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            own = [text] if joined_spaces(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            pieces += own
-            counts.append(len(own))
-        fresh = list(set(pieces).difference(known))
-        if fresh:
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-            self._learn(fresh)
-        at = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths, dtype=np.int32)
-        where = np.repeat(self.starts[at] - (ends - lengths), lengths)
-        where += np.arange(len(where), dtype=np.int32)
-        sums = np.r_[0, ends][np.r_[0, np.cumsum(counts)].astype(np.int64)]
-        return self.flat[where], np.diff(sums).astype(np.int64)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """The worker's encoder, kept from task to task with the pieces it knows."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def write_shards(folder: str, tokenizer: str | None, end_id: int):
     """For mapInArrow over sorted (doc_id, text): writes shards, returns one row for each."""
 
@@ -317,19 +195,17 @@ def write_shards(folder: str, tokenizer: str | None, end_id: int):
         def shard():
             ends = np.cumsum(np.concatenate(counts))
             ids = np.concatenate(held)
-            ids = ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32)
             name = f"tokens-{part:06d}-{made:05d}"
             blob = dump(ids, np.concatenate(docs), ends)
             save(folder, name, lambda out: out.write(blob))
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([made]), pa.array([name]), pa.array([len(ends)]), pa.array([len(ids)])], ["part", "seq", "name", "n_docs", "n_ids"])
 
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                with no_cycles():
-                    ids, n = encoder.encode(some.column(1).to_pylist())
+            owners = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            for rows, ids, n in encoder.parts(batch.column(1)):
+                ids = ids.astype(np.uint16 if max(end_id, int(ids.max(initial=0))) < 1 << 16 else np.uint32)
                 held.append(np.insert(ids, np.cumsum(n), end_id))
-                docs.append(some.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                docs.append(owners[rows])
                 counts.append(n + 1)
                 size += len(held[-1])
                 if size >= SHARD_TOKENS:
@@ -343,17 +219,25 @@ def write_shards(folder: str, tokenizer: str | None, end_id: int):
 
 def write_token_shards(
     spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[str, list]:
-    """Writes the shards; returns their folder and one row a shard, in the order of the documents.
+) -> tuple[str, DataFrame]:
+    """Writes the shards; returns their folder and a table of them (name, n_docs, n_ids, start).
 
-    The rows (name and lengths of each shard, some 60 bytes) are all that reaches the driver.
+    Texts are dealt by range of (id, hash of the text), so rows of one id or of null id spread over tasks too.
+    The table stays in the shared folder; the tokens before a shard are summed first within blocks of parts,
+    then over the blocks.
     """
     folder = folder or shared_folder(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     volume = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-volume // TASK_BYTES)), "doc_id").sortWithinPartitions("doc_id", "t")
-    made = dealt.mapInArrow(write_shards(folder, tokenizer, end_id), "part long, seq long, name string, n_docs long, n_ids long").collect()
-    return folder, sorted(made, key=lambda r: (r["part"], r["seq"]))
+    tasks = max(1, min(-(-volume // TASK_BYTES), MOST_TASKS))
+    dealt = rows.repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h", "t").select("doc_id", "t")
+    made = cut(spark, dealt.mapInArrow(write_shards(folder, tokenizer, end_id), "part long, seq long, name string, n_docs long, n_ids long"), "shards")
+    block = F.floor(F.col("part") / 512)
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = made.groupBy(block.alias("block")).agg(F.sum("n_ids").alias("ids")).select("block", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = made.withColumn("block", block).join(blocks, "block").withColumn("start", F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    return folder, placed.select("name", "n_docs", "n_ids", "start")
 
 
 def read_documents(folder: str):
@@ -374,11 +258,8 @@ def read_documents(folder: str):
     return run
 
 
-def read_token_shards(spark: SparkSession, folder: str, shards: list) -> DataFrame:
+def read_token_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) of all documents; ids as little-endian 32-bit integers."""
-    rows, start = [], 0
-    for r in shards:
-        rows.append((r["name"], start))
-        start += r["n_ids"]
-    names = spark.createDataFrame(rows, "name string, start long").repartition(max(1, len(rows)))
+    count = shards.count()
+    names = shards.select("name", "start").repartition(max(1, min(count, MOST_TASKS)), "name")
     return names.mapInArrow(read_documents(folder), "doc_id long, start long, n_tokens long, ids binary")

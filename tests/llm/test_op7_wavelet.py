@@ -7,21 +7,30 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sievewright.llm import wavelet
+from pyspark.sql import functions as F
+
+from sievewright.llm import byte_bpe, wavelet
 from sievewright.llm.common import read
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def brute(rows):
+    """Rows (doc_id, text) in order of id, then in the order given."""
     t, out, start = Tokenizer.from_file(PATH), [], 0
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         out.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     return out
 
 
+def by_hash(docs):
+    """Ids and texts of all rows, by the hash that orders rows of equal ids."""
+    t = F.coalesce("text", F.lit(""))
+    return [(r.doc_id, r.text) for r in docs.orderBy(F.xxhash64(t), t).collect()]
+
+
 def run(spark, docs):
     folder, shards = wavelet.write_token_shards(spark, docs)
     got = wavelet.read_token_shards(spark, folder, shards).collect()
@@ -31,21 +40,21 @@ def run(spark, docs):
 def test_query_against_brute_force(spark, sf, monkeypatch):
     docs = read(spark, sf, "documents")
     monkeypatch.setattr(wavelet, "TASK_BYTES", 100_000)
-    assert run(spark, docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert run(spark, docs) == brute(by_hash(docs))
 
 
 def test_edge_cases(spark):
     texts = ["", None, " ", "a  b", "a\n\nb", " lead", "trail ", "tab\tx", "<|endoftext|> y", "x y z", "n\0ul", "it's we'll 12 'd", "ünï čödé 漢字 🙂", "w " * 70_000]
     rows = [(i % 9 or None, t, i) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
-    assert run(spark, docs) == brute([r[:2] for r in rows])
+    assert run(spark, docs) == brute(by_hash(docs))
     assert run(spark, docs.limit(0)) == []
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab1.,'\n \tsé漢", max_size=40))
 def test_pieces_encode_as_the_whole(text):
-    encoder = test_pieces_encode_as_the_whole.__dict__.setdefault("encoder", wavelet.Encoder(PATH))
+    encoder = test_pieces_encode_as_the_whole.__dict__.setdefault("encoder", byte_bpe.Encoder(PATH))
     ids, n = encoder.encode([text, "x", text])
     whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert ids[: n[0]].tolist() == whole == ids[len(ids) - n[2] :].tolist()
@@ -72,12 +81,29 @@ def test_rejects_other_files():
         wavelet.WaveletMatrix(b"something else" * 10)
 
 
-def test_trimmed_encoder_stays_right(spark, sf, monkeypatch):
+def test_chunks_of_any_size(spark, sf, monkeypatch):
     texts = [r.text for r in read(spark, sf, "documents").collect()]
-    encoder = wavelet.Encoder(PATH)
-    monkeypatch.setattr(wavelet.Encoder, "KNOWN", 900)
-    monkeypatch.setattr(wavelet.Encoder, "KEPT", 300)
-    for at in range(0, len(texts), 7):
-        ids, n = encoder.encode(texts[at : at + 7])
-        whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 7]]
+    encoder = byte_bpe.Encoder(PATH)
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 5_000, 1 << 20):
+        monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", size)
+        ids, n = encoder.encode(texts)
         assert n.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x]
+
+
+def test_every_character_keeps_its_class():
+    encoder = byte_bpe.Encoder(PATH)
+    chars = [chr(c) for c in range(0x3100) if c < 0xD800] + list("\uac00\uffe5\U0001f600\U00010400\ufeff")
+    for make in ("a{}1 b{}", "{} {}x\n{}a  {}", "1{}!{} ", ".{}\u00a0 {}\u3000\n"):
+        texts = [make.replace("{}", c) for c in chars]
+        ids, n = encoder.encode(texts)
+        whole = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [t for t, k, w in zip(texts, np.split(ids, np.cumsum(n)), whole) if k.tolist() != w] == []
+
+
+def test_one_hot_id_and_null_ids_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "TASK_BYTES", 20_000)
+    docs = spark.createDataFrame([(7 if k % 3 else None, f"text number {k} " * 9) for k in range(900)], "doc_id long, text string")
+    folder, shards = wavelet.write_token_shards(spark, docs)
+    assert shards.count() > 4 and max(r.n_docs for r in shards.collect()) < 450
+    assert run(spark, docs) == brute(by_hash(docs))
