@@ -24,10 +24,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names no such folder (tests, one machine) a temporary one is used.
+    Where the session names none, a temporary one serves a session that runs in one process;
+    any other session is refused, since its executors would each see an empty folder of their own.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not (made := getattr(shared_folder, "own", None)):
             made = shared_folder.own = tempfile.mkdtemp(prefix="sievewright-")
             atexit.register(shutil.rmtree, made, ignore_errors=True)

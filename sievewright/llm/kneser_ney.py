@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, read from mapped files.
 
 Level 1 holds the hashes of all training tokens in sorted order; a token's number is its rank
-there. An n-gram of level k is the number of its first k - 1 tokens (a rank of level k - 1) with
-that of its last, so its 64-bit key is exact; keys are put through a bijection that spreads them
+there. An n-gram of level k is the number of its first k - 1 tokens (a rank of level k - 1) above
+that of its last, which takes the bits that the vocabulary needs, so its 64-bit key is exact (and
+a model too large for it is refused); keys are put through a bijection that spreads them
 evenly and are stored as sorted arrays by range. Counting reduces within each task, then by range
 of the key; as ranges follow a hash, no token or context is hot in any of them.
 
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket, shared_folder, text_of
-from .wordhash import U64, SortedHashes, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, unmix, unpack, unpack_values
+from .wordhash import U64, SortedHashes, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, sizes_of, unmix, unpack, unpack_values
 
 END, START = U64(0x5B2F_9D11_7C83_E6A5), U64(0xC4A7_31E8_0F5D_9B27)
 HELD = 4_000_000
+#: A key holds a context's number above a token's; a model whose numbers do not fit is refused, never merged.
+KEY_BITS = 64
 BLOBS = "kind int, part int, keys binary, more binary"
 COLUMNS = {"key": "<u8", "raw": "<u8", "adjusted": "<u8", "total": "<u8", "gamma": "<f4"}
 
@@ -41,13 +44,19 @@ class Level:
     """Files of one level: ``parts`` ranges, keys before each, discounts for counts 1, 2, 3 and more."""
 
     folder: str
-    parts: int
-    offsets: np.ndarray
-    size: int = 0
+    sizes: np.ndarray
     discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
 
+    def __post_init__(self):
+        self.parts, self.size, self.offsets = len(self.sizes), int(self.sizes.sum()), np.cumsum(self.sizes) - self.sizes
+
+    @property
+    def bits(self) -> int:
+        """Bits of a number of this level."""
+        return max(1, self.size.bit_length())
+
     def table(self, *columns: str) -> SortedHashes:
-        return SortedHashes(self.folder, self.parts, {c: COLUMNS[c] for c in ("key", *columns)}, self.offsets)
+        return SortedHashes(self.folder, self.sizes, {c: COLUMNS[c] for c in ("key", *columns)}, True)
 
     def part_of(self, ranks: np.ndarray) -> np.ndarray:
         """Cuts of sorted ranks by part."""
@@ -97,7 +106,7 @@ class Stream:
         yield there, values
         for k, table in enumerate(tables[1:], 2):
             at = np.flatnonzero((self.place >= k - 1) & known & np.roll(there, 1))
-            keys = mix((np.roll(values["rank"], 1)[at].astype(U64) << U64(32)) | word[at])
+            keys = mix((np.roll(values["rank"], 1)[at].astype(U64) << U64(levels[0].bits)) | word[at])
             hit, got = find_unsorted(table, keys)
             there = np.zeros(len(self.h), bool)
             there[at] = hit
@@ -126,7 +135,7 @@ def send_counts(levels: list[Level], parts: int):
                 found = list(stream.lookups(levels, tables))
                 first, (there, values) = found[0][1]["rank"], found[-1]
                 at = np.flatnonzero((stream.place >= k - 1) & np.roll(there, 1))
-                keys = mix((np.roll(values["rank"], 1)[at].astype(U64) << U64(32)) | first[at].astype(U64))
+                keys = mix((np.roll(values["rank"], 1)[at].astype(U64) << U64(levels[0].bits)) | first[at].astype(U64))
                 ones = np.ones(len(keys), np.uint64)
             else:
                 keys, ones = stream.h, (stream.h != START).astype(np.uint64)
@@ -169,7 +178,8 @@ def store_counts(folder: str):
 
 def send_down(levels: list[Level], top: bool):
     """From a level's files: sums of contexts (kind 0) and continuation counts (kind 1) for the level below."""
-    level, below = levels[-1], levels[-2]
+    level, below, bits = levels[-1], levels[-2], U64(levels[0].bits)
+    low = (U64(1) << bits) - U64(1)
 
     def run(batches):
         table = level.table("raw" if top else "adjusted")
@@ -182,7 +192,7 @@ def send_down(levels: list[Level], top: bool):
                 for s in range(0, len(data["key"]), HELD):
                     pairs = unmix(np.asarray(data["key"][s : s + HELD]))
                     counts = np.asarray(data["raw" if top else "adjusted"][s : s + HELD]).astype(U64)
-                    context, word = pairs >> U64(32), pairs & U64(0xFFFFFFFF)
+                    context, word = pairs >> bits, pairs & low
                     seen = [(counts == 1).astype(U64), (counts == 2).astype(U64), (counts > 2).astype(U64)]
                     contexts, *sums = _summed(context, counts, *seen)
                     a = below.part_of(contexts.astype(np.int64))
@@ -193,8 +203,8 @@ def send_down(levels: list[Level], top: bool):
                         last = np.zeros(len(contexts), U64)
                         for i in np.unique(of):
                             at = of == i
-                            last[at] = unmix(np.asarray(lower.part(int(i))["key"][contexts[at].astype(np.int64) - below.offsets[i]])) & U64(0xFFFFFFFF)
-                        suffix = mix((last[np.searchsorted(contexts, context)] << U64(32)) | word)
+                            last[at] = unmix(np.asarray(lower.part(int(i))["key"][contexts[at].astype(np.int64) - below.offsets[i]])) & low
+                        suffix = mix((last[np.searchsorted(contexts, context)] << bits) | word)
                         ends = find_unsorted(lower, suffix)[1]["rank"].astype(U64)
                     ranks, times = _summed(ends, np.ones(len(ends), U64))
                     a = below.part_of(ranks.astype(np.int64))
@@ -223,8 +233,8 @@ def store_down(below: Level, discounts: tuple[float, float, float], first: tuple
             adjusted = np.zeros(n, U64)
             for keys, more in found.get(1, []):
                 adjusted[unpack(keys).astype(np.int64) - offset] += unpack_values(more, U64)
-            if first is not None:
-                opens = unmix(np.asarray(data["key"])) >> U64(32) == U64(first[1])
+            if first is not None and first[1] >= 0:
+                opens = unmix(np.asarray(data["key"])) >> U64(first[0].bits) == U64(first[1])
                 adjusted[opens] = np.asarray(data["raw"])[opens]
             total = sums[0]
             gamma = sum(d * s for d, s in zip(discounts, sums[1:])) / np.maximum(total, 1)
@@ -250,7 +260,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(found, 1))
 
 
-def fit(spark: SparkSession, texts: DataFrame, order: int = 2) -> Model:
+def fit(spark: SparkSession, texts: DataFrame, order: int = 3) -> Model:
     """Counts the one text column of ``texts`` into the files of a model of ``order`` 2 or 3."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
@@ -262,10 +272,9 @@ def fit(spark: SparkSession, texts: DataFrame, order: int = 2) -> Model:
         folder = shared_folder(spark, f"ngrams{k}")
         sent = texts.mapInArrow(send_counts(model.levels, parts), BLOBS).repartitionById(parts, F.col("part"))
         rows = sent.mapInArrow(store_counts(folder), TALLY).collect()  # one row a range
-        sizes = np.zeros(parts, np.int64)
-        for r in rows:
-            sizes[r["part"]] = r["n"]
-        level = Level(folder, parts, np.r_[0, np.cumsum(sizes)[:-1]], int(sizes.sum()))
+        level = Level(folder, sizes_of(rows, parts))
+        if k < order and level.size.bit_length() + (model.levels or [level])[0].bits > KEY_BITS:
+            raise ValueError(f"{level.size} n-grams of level {k} leave no exact {KEY_BITS}-bit key for the next; fit a lower order")
         if k == 1:
             model.tokens, model.vocabulary = sum(r["total"] for r in rows), max(0, level.size - 1)
         level.discounts = discounts(*(sum(r[c] for r in rows) for c in ("n1", "n2", "n3", "n4")))
@@ -340,7 +349,7 @@ def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def lm_scores(spark: SparkSession, docs: DataFrame, order: int = 2, folds: int = 5, held_out: int = 1) -> DataFrame:
+def lm_scores(spark: SparkSession, docs: DataFrame, order: int = 3, folds: int = 5, held_out: int = 1) -> DataFrame:
     """Fits on documents outside the held-out fold and scores all of them."""
     out = F.coalesce(bucket("doc_id", folds) == held_out, F.lit(False))
     model = fit(spark, docs.filter(~out).select(text_of("text").alias("t")), order)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, text_of
-from .wordhash import U64, SortedHashes, Words, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, unpack, unpack_values
+from .wordhash import U64, SortedHashes, Words, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, sizes_of, unpack, unpack_values
 
 DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT_SHARE = 3, 3, 10, 0.7
 HELD = 2_000_000
@@ -191,8 +191,8 @@ def build(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), id_col:
     for stage in range(3):
         folder = shared_folder(spark, f"lines{stage}")
         sent = rows.mapInArrow(send(stage, list(tables), rules, parts), BLOBS).repartitionById(parts, F.col("part"))
-        sent.mapInArrow(store(folder, rules.min_docs), "part int, n long").agg(F.sum("n")).first()
-        tables.append(SortedHashes(folder, parts, {"key": "<u8", "doc": "<i8"}))
+        sizes = sizes_of(sent.mapInArrow(store(folder, rules.min_docs), "part int, n long").collect(), parts)  # one row a range
+        tables.append(SortedHashes(folder, sizes, {"key": "<u8", "doc": "<i8"}))
     return Tree(tables, rules)
 
 

@@ -1,23 +1,27 @@
 """Removal of repeated passages by recompression.
 
-Rounds rename each text: maximal runs of an equal word become one symbol, then every neighbouring
+Rounds rename the corpus: maximal runs of an equal word become one symbol, then every neighbouring
 pair whose left symbol falls into one half of the alphabet and whose right symbol falls into the
-other becomes one symbol. Names are hashes of what they stand for, so that all tasks give the
-same name to the same thing without an exchange, and whether two neighbours are joined depends on
-these two alone. Two rounds give symbols of at most four words (runs aside), and whether a symbol
-ends between two words depends on the three words on either side. Any window of 13 words hence
-has, in its middle, a place where a symbol ends (or a run goes on) in every text that holds the
-window, with the same ten words around it: its anchor.
-
-Pass 1 counts anchors by their ten words and keeps those of two texts or more: these reveal what
-repeats. Pass 2 verifies windows around them by their own 64-bit hashes and finds the least
-document of each; pass 3 removes. Anchors and windows are reduced inside every task before they
-are exchanged, as sorted arrays by range of the hash, so that a passage of every document costs
-one entry a task. What is looked up lies in sorted arrays in the shared folder, memory-mapped.
-
-Defined results: null and empty texts have no words; a row with a null id neither loses words nor
-serves as the earlier document; rows with equal ids do not remove each other's words (neither id
-is smaller); other columns are ignored.
+other becomes one symbol. A name is a function of what it stands for, so that all tasks of a job
+give the same name to the same run or pair without an exchange, and whether two neighbours are
+joined depends on these two alone. Two rounds give symbols of at most four words (runs aside), and
+where such a symbol begins and ends depends on the three words on either side: equal substrings
+have the same symbols in their interior.
+
+Any window of 13 words holds a symbol of the last round with the three words on either side that
+fix it, or a place with five words on either side at which a run goes on. These are its anchors,
+keyed by the symbol's name with those of its surroundings, the same in every text that holds the
+window. Pass 1 counts anchors and keeps those of two texts or more: shared symbols reveal what
+repeats. Pass 2 verifies the windows around them, by two independent 64-bit hashes over all their
+words, and finds the least document of each; pass 3 removes. Anchors and windows are reduced
+inside every task before they are exchanged, as sorted arrays by range of the hash, so that a
+passage of every document costs one entry a task. What is looked up lies in sorted arrays in the
+shared folder, memory-mapped.
+
+Defined results: null and empty texts have no words; a text of any length is taken whole, by
+itself if it is longer than a chunk; a row with a null id neither loses words nor serves as the
+earlier document; rows with equal ids do not remove each other's words (neither id is smaller); an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, text_of
 from .wordhash import (
-    U64, SortedHashes, Words, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, unpack, unpack_values,
+    U64, SortedHashes, Words, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, sizes_of, unpack, unpack_values,
 )
 
 WINDOW = 13
-#: Words on either side of an anchor that name it; with ROUNDS = 2 symbols have at most 4 words.
-SIDE = 5
+#: With ROUNDS = 2 symbols have at most 4 words, FIXED words on either side settle where they begin
+#: and end, and a place within a run is keyed by SIDE words on either side.
 ROUNDS = 2
+FIXED = 3
+SIDE = 5
 #: Keys that a task holds before it sends them, and that a range is meant to have.
 HELD = 4_000_000
 _STEP = U64(0x9FB21C651E98DF25)
@@ -48,13 +54,13 @@ def _run_of(symbols: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return same
 
 
-def symbol_ends(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """For each word, whether the place before it is an anchor: a symbol ends there, or a run goes on."""
+def symbols(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of the last round, by name and first word, and the words at which a run goes on."""
     run = _run_of(words, doc)
     starts = np.flatnonzero(~run)
     lengths = np.diff(np.r_[starts, len(words)])
     block = lengths > 1  # a run is a symbol of its own and is never joined with another
-    names = np.where(block, mix(words[starts] + U64(1)), words[starts])
+    names = np.where(block, mix(words[starts] + lengths.astype(U64)), words[starts])
     where, texts = starts, doc[starts]
     for k in range(rounds):
         right = (mix(names ^ U64(0xA0761D6478BD642F + k)) >> U64(63)).astype(bool)
@@ -66,9 +72,7 @@ def symbol_ends(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> np.
         named[at] = mix(names[at] * _STEP + names[at + 1] + U64(k + 2))
         keep = ~after
         names, where, texts, block = named[keep], where[keep], texts[keep], block[keep]
-    ends = run
-    ends[where] = True
-    return ends
+    return names, where, np.flatnonzero(run)
 
 
 def _sums(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -89,26 +93,33 @@ class Text:
         self.left = np.arange(len(self.h)) - self.at[self.doc]
         self.right = self.at[self.doc + 1] - np.arange(len(self.h))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of anchors and their keys."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors by their first word, words spanned, and key."""
         if not len(self.h):
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        ok = symbol_ends(self.h, self.doc) & (self.left >= SIDE) & (self.right >= SIDE)
-        places = np.flatnonzero(ok)
-        return places, _sums(self.h, places - SIDE, 2 * SIDE)
-
-    def windows(self, shared: SortedHashes) -> tuple[np.ndarray, np.ndarray]:
-        """Places of windows around shared anchors and their hashes."""
-        places, keys = self.anchors()
-        hits = places[find_unsorted(shared, keys)[0]]
-        marked = np.zeros(len(self.h) + 1, bool)
-        for k in range(SIDE, WINDOW - SIDE + 1):
-            start = hits - k
-            marked[start[start >= 0]] = True
-        marked = marked[: len(self.h)] & (self.right >= WINDOW)
-        # a window that began in the text before would lie before its anchor's text
-        at = np.flatnonzero(marked)
-        return at, _sums(self.h, at, WINDOW)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        names, where, inside = symbols(self.h, self.doc)
+        size = np.diff(np.r_[where, len(self.h)])
+        ok = (size + 2 * FIXED <= WINDOW) & (self.left[where] >= FIXED) & (self.right[where] >= size + FIXED)
+        names, where, size = names[ok], where[ok], size[ok]
+        key = mix(names + size.astype(U64)) * _STEP + _sums(self.h, where - FIXED, FIXED)
+        key = mix(key * _STEP + _sums(self.h, where + size, FIXED))
+        inside = inside[(self.left[inside] >= SIDE) & (self.right[inside] >= SIDE)]
+        return np.r_[where - FIXED, inside - SIDE], np.r_[size + 2 * FIXED, np.full(len(inside), 2 * SIDE)], np.r_[key, _sums(self.h, inside - SIDE, 2 * SIDE)]
+
+    def windows(self, shared: SortedHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows around shared anchors by their first word, and their two hashes."""
+        first, size, keys = self.anchors()
+        hit = find_unsorted(shared, keys)[0]
+        # a window that holds the anchor begins at most WINDOW - size words before it, in the same text
+        first, size = first[hit], size[hit]
+        begin = np.maximum(first + size - WINDOW, first - self.left[first])
+        cover = np.zeros(len(self.h) + 1, np.int64)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, first + 1, -1)
+        at = np.flatnonzero((np.cumsum(cover[:-1]) > 0) & (self.right >= WINDOW))
+        if not len(at):
+            return at, np.zeros(0, U64), np.zeros(0, U64)
+        return at, _sums(self.h, at, WINDOW), _sums(self.words.check_hashes(), at, WINDOW)
 
 
 BLOBS = "part int, keys binary, more binary"
@@ -132,7 +143,7 @@ def send_anchors(count: int):
         held, doubled, size = [], [], 0
         for _, words in chunks(batches, 1):
             text = Text(words)
-            places, keys = text.anchors()
+            places, _, keys = text.anchors()
             if not len(keys):
                 continue
             order = np.argsort(keys, kind="stable")
@@ -181,64 +192,89 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
 
 
-def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.minimum.reduceat(ids, first) if len(first) else ids
+def _least(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of hashes in order of both, with the least id of each."""
+    order = np.lexsort((checks, keys))
+    keys, checks, ids = keys[order], checks[order], ids[order]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], checks[first], np.minimum.reduceat(ids, first) if len(first) else ids
 
 
-def send_windows(folder: str, shared: int, count: int):
+def send_windows(folder: str, shared: np.ndarray, count: int):
     """Per task: hashes of windows around shared anchors, with the least document of each."""
 
-    def flush(held, ids):
-        keys, least = _least(np.concatenate(held), np.concatenate(ids))
+    def flush(held):
+        keys, checks, least = _least(*map(np.concatenate, zip(*held)))
         a = ranges(keys, count)
-        return _rows([(i, pack(keys[a[i] : a[i + 1]]), pack_values(least[a[i] : a[i + 1]])) for i in range(count) if a[i + 1] > a[i]])
+        full = [slice(a[i], a[i + 1]) for i in range(count)]
+        return _rows([(i, pack(keys[s]), pack_values(checks[s]) + pack_values(least[s])) for i, s in enumerate(full) if s.stop > s.start])
 
     def run(batches):
         table = SortedHashes(folder, shared, {"key": "<u8"})
-        held, ids, size = [], [], 0
+        held, size = [], 0
         for batch, words in chunks(batches, 1):
             text = Text(words)
-            at, keys = text.windows(table)
+            at, keys, checks = text.windows(table)
             if not len(at):
                 continue
-            keys, least = _least(keys, _ids(batch)[text.doc[at]])
-            held.append(keys)
-            ids.append(least)
-            size += len(keys)
+            held.append(_least(keys, checks, _ids(batch)[text.doc[at]]))
+            size += len(held[-1][0])
             if size >= HELD // 2:
-                yield flush(held, ids)
-                held, ids, size = [], [], 0
+                yield flush(held)
+                held, size = [], 0
         if held:
-            yield flush(held, ids)
+            yield flush(held)
 
     return run
 
 
 def store_windows(folder: str):
+    """Per range: windows with their least document. Of windows whose first hash is shared by other words too, all are kept."""
+
     def run(batches):
         for part, blobs in _by_part(batches).items():
-            keys, least = _least(np.concatenate([unpack(x) for x, _ in blobs]), np.concatenate([unpack_values(y) for _, y in blobs]))
-            SortedHashes.write(folder, part, {"key": keys, "doc": least})
+            keys = np.concatenate([unpack(x) for x, _ in blobs])
+            checks = np.concatenate([unpack_values(y[: len(y) // 2], U64) for _, y in blobs])
+            ids = np.concatenate([unpack_values(y[len(y) // 2 :]) for _, y in blobs])
+            keys, checks, least = _least(keys, checks, ids)
+            SortedHashes.write(folder, part, {"key": keys, "check": checks, "doc": least})
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)])], ["part", "n"])
 
     return run
 
 
-def remove_repeats(folders: tuple[str, str], counts: tuple[int, int]):
+def _earlier(windows: SortedHashes, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For windows in any order: which are there by both hashes, and the least document of each."""
+    order = np.argsort(keys)
+    there, least = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    cuts = ranges(keys[order], windows.count)
+    for i in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[i] : cuts[i + 1]]
+        part = windows.part(int(i))
+        at, end = np.searchsorted(part["key"], keys[own]), len(part["key"])
+        while len(own):  # equal first hashes lie side by side; nearly all windows end after one step
+            live = at < end
+            own, at = own[live], at[live]
+            live = part["key"][at] == keys[own]
+            own, at = own[live], at[live]
+            same = part["check"][at] == checks[own]
+            there[own[same]], least[own[same]] = True, part["doc"][at[same]]
+            own, at = own[~same], at[~same] + 1
+    return there, least
+
+
+def remove_repeats(folders: tuple[str, str], sizes: tuple[np.ndarray, np.ndarray]):
     """Rows (doc_id, n_words, n_removed, text) with the kept words joined by one space."""
 
     def run(batches):
-        shared = SortedHashes(folders[0], counts[0], {"key": "<u8"})
-        windows = SortedHashes(folders[1], counts[1], {"key": "<u8", "doc": "<i8"})
+        shared = SortedHashes(folders[0], sizes[0], {"key": "<u8"})
+        windows = SortedHashes(folders[1], sizes[1], {"key": "<u8", "check": "<u8", "doc": "<i8"})
         for batch, words in chunks(batches, 1):
             text = Text(words)
-            at, keys = text.windows(shared)
-            there, found = find_unsorted(windows, keys)
+            at, keys, checks = text.windows(shared)
+            there, least = _earlier(windows, keys, checks)
             own = _ids(batch)[text.doc[at]]
-            gone = at[there & (found["doc"] < own) & (own != NONE)]
+            gone = at[there & (least < own) & (own != NONE)]
             cover = np.zeros(len(text.h) + 1, np.int64)
             np.add.at(cover, gone, 1)
             np.add.at(cover, gone + WINDOW, -1)
@@ -269,11 +305,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     count = range_count(volume // 10, HELD, least)
     folders = shared_folder(spark, "anchors"), shared_folder(spark, "windows")
     anchors = rows.mapInArrow(send_anchors(count), BLOBS).repartitionById(count, F.col("part"))
-    n = anchors.mapInArrow(store_shared(folders[0]), "part int, n long").agg(F.sum("n")).first()[0] or 0
-    second = range_count(4 * n, HELD, least)
-    windows = rows.mapInArrow(send_windows(folders[0], count, second), BLOBS).repartitionById(second, F.col("part"))
-    windows.mapInArrow(store_windows(folders[1]), "part int, n long").agg(F.sum("n")).first()
-    return rows.mapInArrow(remove_repeats(folders, (count, second)), "doc_id long, n_words long, n_removed long, text string")
+    shared = sizes_of(anchors.mapInArrow(store_shared(folders[0]), "part int, n long").collect(), count)  # one row a range
+    second = range_count(4 * int(shared.sum()), HELD, least)
+    windows = rows.mapInArrow(send_windows(folders[0], shared, second), BLOBS).repartitionById(second, F.col("part"))
+    found = sizes_of(windows.mapInArrow(store_windows(folders[1]), "part int, n long").collect(), second)
+    return rows.mapInArrow(remove_repeats(folders, (shared, found)), "doc_id long, n_words long, n_removed long, text string")
 
 
 def oracle_sql() -> str:

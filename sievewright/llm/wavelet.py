@@ -246,7 +246,8 @@ def read_documents(folder: str):
     def run(batches):
         for batch in batches:
             for name, start in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                shard = WaveletMatrix.open(opened(folder, name))
+                with opened(folder, name) as path:
+                    shard = WaveletMatrix.open(path)
                 ids = shard.tokens().astype("<u4")
                 begin = np.r_[0, shard.ends[:-1]]
                 for at in range(0, len(begin), 2048):

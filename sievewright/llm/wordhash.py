@@ -22,6 +22,7 @@ CHUNK_BYTES = 4 << 20
 _ODD = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20_240_229)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_OTHERS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -84,17 +85,24 @@ class Words:
         self.at = np.searchsorted(self.starts, bounds)
         self._hashes = None
 
+    def _hash(self, values: np.ndarray) -> np.ndarray:
+        up, down = _power(len(self.data) + 1)
+        sums = np.empty(len(self.data) + 1, U64)
+        sums[0] = 0
+        np.cumsum(values[self.data] * up[: len(self.data)], out=sums[1:])
+        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
+        return mix(h + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            up, down = _power(len(self.data) + 1)
-            sums = np.empty(len(self.data) + 1, U64)
-            sums[0] = 0
-            np.cumsum(_VALUES[self.data] * up[: len(self.data)], out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            self._hashes = mix(h + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+            self._hashes = self._hash(_VALUES)
         return self._hashes
 
+    def check_hashes(self) -> np.ndarray:
+        """Hashes of the words by other byte values: words that agree in both agree by 128 bits."""
+        return self._hash(_OTHERS)
+
 
 def chunks(batches, text: int, fold: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Slices of the batches of at most CHUNK_BYTES of text (one row at least) with their words."""
@@ -172,6 +180,14 @@ def save(folder: str, name: str, write: Callable[[object], None]) -> None:
     store.move(f"{path}/{own}", f"{path}/{name}")
 
 
+def sizes_of(rows: list, parts: int) -> np.ndarray:
+    """Entries of each range from rows (part, n); ranges that nothing was sent to have none."""
+    sizes = np.zeros(parts, np.int64)
+    for r in rows:
+        sizes[r["part"]] = r["n"]
+    return sizes
+
+
 def find_unsorted(table: SortedHashes, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """As ``table.find`` for keys in any order."""
     order = np.argsort(keys)
@@ -193,38 +209,39 @@ def no_cycles():
             gc.enable()
 
 
-_copies: dict[str, str] = {}
-
-
-def opened(folder: str, name: str) -> str:
-    """A local path for a file of the shared folder, to be memory-mapped.
+@contextmanager
+def opened(folder: str, name: str) -> Iterator[str]:
+    """A local path for a file of the shared folder, to be memory-mapped before the block ends.
 
-    On a mounted folder that is the file itself; from another store it is fetched once a worker.
+    On a mounted folder that is the file itself; from another store it is fetched into a file that
+    loses its name with the block, so its room is free again when the map is gone.
     """
     if path := local_path(folder):
-        return f"{path}/{name}"
-    key = f"{folder}/{name}"
-    if key not in _copies:
-        import shutil
-        import tempfile
+        yield f"{path}/{name}"
+        return
+    import shutil
+    import tempfile
 
-        from pyarrow import fs
+    from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(folder)
-        with store.open_input_stream(f"{path}/{name}") as source, tempfile.NamedTemporaryFile(delete=False) as target:
-            shutil.copyfileobj(source, target)
-        _copies[key] = target.name
-    return _copies[key]
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}") as source, tempfile.NamedTemporaryFile() as target:
+        shutil.copyfileobj(source, target)
+        target.flush()
+        yield target.name
 
 
 class SortedHashes:
     """Sorted keys with columns of values, one file for each range of the keys, memory-mapped.
 
-    With ``offsets`` (the number of keys in all ranges before each), a key's rank is a value too.
+    ``sizes`` is the number of keys in each range, as the job that wrote them has counted. A range
+    without keys has no file; a file that is missing or of another length is an error, never an
+    empty range. With ``ranked``, the number of smaller keys in all ranges is a value too.
     """
 
-    def __init__(self, folder: str, count: int, columns: dict[str, str], offsets: np.ndarray | None = None):
-        self.folder, self.count, self.columns, self.offsets = folder, count, columns, offsets
+    def __init__(self, folder: str, sizes: np.ndarray, columns: dict[str, str], ranked: bool = False):
+        self.folder, self.sizes, self.count, self.columns = folder, sizes, len(sizes), columns
+        self.offsets = np.cumsum(sizes) - sizes if ranked else None
         self.parts: dict[int, dict[str, np.ndarray]] = {}
 
     @staticmethod
@@ -240,10 +257,13 @@ class SortedHashes:
         if i not in self.parts:
             got = {}
             for name, kind in self.columns.items():
-                try:
-                    got[name] = np.load(opened(self.folder, f"{name}-{i:06d}"), mmap_mode="r")
-                except FileNotFoundError:  # a range without keys
+                if not self.sizes[i]:
                     got[name] = np.zeros(0, kind)
+                    continue
+                with opened(self.folder, f"{name}-{i:06d}") as path:
+                    got[name] = np.load(path, mmap_mode="r")
+                if len(got[name]) != self.sizes[i]:
+                    raise ValueError(f"{name}-{i:06d} of {self.folder} has {len(got[name])} entries, not {self.sizes[i]}")
             self.parts[i] = got
         return self.parts[i]
 

@@ -58,13 +58,29 @@ def test_a_window_has_an_anchor_that_its_surroundings_do_not_move(window, before
     def anchors(words):
         data = " ".join(words).encode()
         text = recompression.Text(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
-        return dict(zip(*(x.tolist() for x in text.anchors())))
+        return set(zip(*(x.tolist() for x in text.anchors())))
 
     alone, inside = anchors(window), anchors(before + window + after)
-    middle = range(5, 9)
-    assert any(p in alone for p in middle)
-    for p in middle:
-        assert alone.get(p) == inside.get(p + len(before))
+    assert alone
+    assert {(p + len(before), n, k) for p, n, k in alone} <= inside
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    """First hashes that all words share leave the second to tell windows apart."""
+    a, b = (" ".join(f"{x}{i % 5}" for i in range(30)) for x in "vw")
+    rows = [(1, a), (2, b), (3, a + " " + b), (4, b)]
+    data = " ".join(t for _, t in rows).encode()
+    text = recompression.Text(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+    keys, checks = np.zeros(3, np.uint64), np.array([5, 1, 5], np.uint64)
+    assert [x.tolist() for x in recompression._least(keys, checks, np.array([9, 8, 7]))] == [[0, 0], [1, 5], [8, 7]]
+    assert len(set(text.words.check_hashes().tolist())) == 10
+
+    class Table(recompression.SortedHashes):
+        def part(self, i):
+            return {"key": np.zeros(2, np.uint64), "check": np.array([1, 5], np.uint64), "doc": np.array([8, 7])}
+
+    there, least = recompression._earlier(Table("", np.array([2]), {}), np.zeros(3, np.uint64), np.array([5, 2, 1], np.uint64))
+    assert there.tolist() == [True, False, True] and least.tolist() == [7, 0, 8]
 
 
 def test_packing_round_trip():
