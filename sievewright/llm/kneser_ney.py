@@ -2,9 +2,9 @@
 
 Level 1 holds the hashes of all training tokens in sorted order; a token's number is its rank
 there. An n-gram of level k is the number of its first k - 1 tokens (a rank of level k - 1) above
-that of its last, which takes the bits that the vocabulary needs, so its 64-bit key is exact (and
-a model too large for it is refused); keys are put through a bijection that spreads them
-evenly and are stored as sorted arrays by range. Counting reduces within each task, then by range
+that of its last, each in the bits that its level needs, so its key is exact (and a model too large
+for 64 bits is refused); keys are put through a bijection that spreads them evenly and are stored
+as sorted arrays by range. Counting reduces within each task, then by range
 of the key; as ranges follow a hash, no token or context is hot in any of them.
 
 From the top level down, one job a level reads the sorted arrays and sends what contexts need
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket, shared_folder, text_of
-from .wordhash import U64, SortedHashes, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, sizes_of, unmix, unpack, unpack_values
+from .wordhash import U64, SortedHashes, chunks, find_unsorted, pack, pack_values, range_count, ranges, sizes_of, spread, unpack, unpack_values, unspread
 
 END, START = U64(0x5B2F_9D11_7C83_E6A5), U64(0xC4A7_31E8_0F5D_9B27)
 HELD = 4_000_000
@@ -73,6 +73,17 @@ class Model:
     adjusted_gamma: float = 1.0
 
 
+def key_of(levels: list[Level], k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of level ``k`` (2 or more) for numbers of level k - 1 and of tokens."""
+    return spread(context << U64(levels[0].bits) | word, levels[0].bits + levels[k - 2].bits)
+
+
+def parts_of(levels: list[Level], k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of ``key_of``."""
+    pairs, low = unspread(keys, levels[0].bits + levels[k - 2].bits), levels[0].bits
+    return pairs >> U64(low), pairs & U64((1 << low) - 1)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
     columns = zip(*rows) if rows else [()] * 4
@@ -106,7 +117,7 @@ class Stream:
         yield there, values
         for k, table in enumerate(tables[1:], 2):
             at = np.flatnonzero((self.place >= k - 1) & known & np.roll(there, 1))
-            keys = mix((np.roll(values["rank"], 1)[at].astype(U64) << U64(levels[0].bits)) | word[at])
+            keys = key_of(levels, k, np.roll(values["rank"], 1)[at].astype(U64), word[at])
             hit, got = find_unsorted(table, keys)
             there = np.zeros(len(self.h), bool)
             there[at] = hit
@@ -135,7 +146,7 @@ def send_counts(levels: list[Level], parts: int):
                 found = list(stream.lookups(levels, tables))
                 first, (there, values) = found[0][1]["rank"], found[-1]
                 at = np.flatnonzero((stream.place >= k - 1) & np.roll(there, 1))
-                keys = mix((np.roll(values["rank"], 1)[at].astype(U64) << U64(levels[0].bits)) | first[at].astype(U64))
+                keys = key_of(levels, k, np.roll(values["rank"], 1)[at].astype(U64), first[at].astype(U64))
                 ones = np.ones(len(keys), np.uint64)
             else:
                 keys, ones = stream.h, (stream.h != START).astype(np.uint64)
@@ -170,7 +181,7 @@ def store_counts(folder: str):
     def run(batches):
         for (part, _), blobs in _by_part(batches).items():
             keys, counts = _summed(np.concatenate([unpack(x) for x, _ in blobs]), np.concatenate([unpack_values(y, U64) for _, y in blobs]))
-            SortedHashes.write(folder, part, {"key": keys, "raw": counts})
+            SortedHashes.write(folder, part, {"key": keys, "raw": counts}, dense=True)
             yield _tally(part, counts)
 
     return run
@@ -178,8 +189,7 @@ def store_counts(folder: str):
 
 def send_down(levels: list[Level], top: bool):
     """From a level's files: sums of contexts (kind 0) and continuation counts (kind 1) for the level below."""
-    level, below, bits = levels[-1], levels[-2], U64(levels[0].bits)
-    low = (U64(1) << bits) - U64(1)
+    level, below = levels[-1], levels[-2]
 
     def run(batches):
         table = level.table("raw" if top else "adjusted")
@@ -190,9 +200,8 @@ def send_down(levels: list[Level], top: bool):
                     yield _batch([(0, i, b"", b"") for i in range(below.parts)])
                 data = table.part(part)
                 for s in range(0, len(data["key"]), HELD):
-                    pairs = unmix(np.asarray(data["key"][s : s + HELD]))
                     counts = np.asarray(data["raw" if top else "adjusted"][s : s + HELD]).astype(U64)
-                    context, word = pairs >> bits, pairs & low
+                    context, word = parts_of(levels, len(levels), np.asarray(data["key"][s : s + HELD]))
                     seen = [(counts == 1).astype(U64), (counts == 2).astype(U64), (counts > 2).astype(U64)]
                     contexts, *sums = _summed(context, counts, *seen)
                     a = below.part_of(contexts.astype(np.int64))
@@ -203,8 +212,8 @@ def send_down(levels: list[Level], top: bool):
                         last = np.zeros(len(contexts), U64)
                         for i in np.unique(of):
                             at = of == i
-                            last[at] = unmix(np.asarray(lower.part(int(i))["key"][contexts[at].astype(np.int64) - below.offsets[i]])) & low
-                        suffix = mix((last[np.searchsorted(contexts, context)] << bits) | word)
+                            last[at] = parts_of(levels, len(levels) - 1, np.asarray(lower.part(int(i))["key"][contexts[at].astype(np.int64) - below.offsets[i]]))[1]
+                        suffix = key_of(levels, len(levels) - 1, last[np.searchsorted(contexts, context)], word)
                         ends = find_unsorted(lower, suffix)[1]["rank"].astype(U64)
                     ranks, times = _summed(ends, np.ones(len(ends), U64))
                     a = below.part_of(ranks.astype(np.int64))
@@ -234,7 +243,7 @@ def store_down(below: Level, discounts: tuple[float, float, float], first: tuple
             for keys, more in found.get(1, []):
                 adjusted[unpack(keys).astype(np.int64) - offset] += unpack_values(more, U64)
             if first is not None and first[1] >= 0:
-                opens = unmix(np.asarray(data["key"])) >> U64(first[0].bits) == U64(first[1])
+                opens = parts_of([first[0]], 2, np.asarray(data["key"]))[0] == U64(first[1])
                 adjusted[opens] = np.asarray(data["raw"])[opens]
             total = sums[0]
             gamma = sum(d * s for d, s in zip(discounts, sums[1:])) / np.maximum(total, 1)
@@ -264,11 +273,10 @@ def fit(spark: SparkSession, texts: DataFrame, order: int = 3) -> Model:
     """Counts the one text column of ``texts`` into the files of a model of ``order`` 2 or 3."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     volume = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     model = Model(order)
     for k in range(1, order + 1):
-        parts = range_count(volume // (16 if k == 1 else 8), HELD, least)
+        parts = range_count(volume // (16 if k == 1 else 8), HELD, 8)  # by the volume alone: contexts go from every range to every range
         folder = shared_folder(spark, f"ngrams{k}")
         sent = texts.mapInArrow(send_counts(model.levels, parts), BLOBS).repartitionById(parts, F.col("part"))
         rows = sent.mapInArrow(store_counts(folder), TALLY).collect()  # one row a range

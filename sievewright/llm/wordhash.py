@@ -50,19 +50,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _unshift(x: np.ndarray, by: int) -> np.ndarray:
-    out, left = x.copy(), by
-    while left < 64:
-        out = x ^ (out >> U64(by))
-        left += by
-    return out
+def _odds(bits: int) -> tuple[int, int]:
+    top = (1 << bits) - 1
+    return 0xBF58476D1CE4E5B9 & top | 1, 0x94D049BB133111EB & top | 1
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of ``mix``."""
-    x = _unshift(x, 31) * U64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = _unshift(x, 27) * U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return _unshift(x, 30)
+def spread(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of integers of ``bits`` bits that spreads them, moved to the top of 64 bits."""
+    top, half = U64((1 << bits) - 1), U64(bits // 2 + 1)
+    for odd in _odds(bits):
+        x = (x * U64(odd)) & top
+        x = x ^ (x >> half)
+    return x << U64(64 - bits)
+
+
+def unspread(x: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of ``spread``."""
+    top, half = U64((1 << bits) - 1), U64(bits // 2 + 1)
+    x = x >> U64(64 - bits)
+    for odd in reversed(_odds(bits)):
+        x = x ^ (x >> half)  # its own inverse, as half of the bits and one more are left
+        x = (x * U64(pow(odd, -1, 1 << bits))) & top
+    return x
 
 
 class Words:
@@ -231,6 +240,89 @@ def opened(folder: str, name: str) -> Iterator[str]:
         yield target.name
 
 
+class Narrow:
+    """Unsigned integers of a mapped file in one byte each; those of 255 and more are listed with their places."""
+
+    def __init__(self, low: np.ndarray, more: np.ndarray):
+        self.low, (self.places, self.values) = low, more
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, at) -> np.ndarray:
+        got = np.asarray(self.low[at]).astype(U64)
+        if len(big := np.flatnonzero(got == 255)):
+            places = np.arange(*at.indices(len(self.low))) if isinstance(at, slice) else at
+            got[big] = self.values[np.searchsorted(self.places, places[big].astype(U64))]
+        return got
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self[:] if dtype is None else self[:].astype(dtype)
+
+
+class Coded:
+    """Numbers of a mapped file as places in a list of the few distinct ones."""
+
+    def __init__(self, codes: np.ndarray, table: np.ndarray):
+        self.codes, self.table = codes, table
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def __getitem__(self, at) -> np.ndarray:
+        return self.table[self.codes[at]]
+
+
+class Packed:
+    """Distinct sorted keys of a mapped file: the first of every 16, and 32-bit distances from it."""
+
+    def __init__(self, steps: np.ndarray, heads: np.ndarray):
+        self.steps, self.shift, self.heads = steps, heads[0], heads[1:]
+
+    @staticmethod
+    def of(keys: np.ndarray) -> list[np.ndarray] | None:
+        """The arrays of the file, unless the keys lie too far apart."""
+        bits = int(np.bitwise_or.reduce(keys)) if len(keys) else 0
+        shift, heads = U64((bits & -bits).bit_length() - 1 if bits else 0), keys[::16]
+        steps = (keys - np.repeat(heads, 16)[: len(keys)]) >> shift
+        return [steps.astype(np.uint32), np.r_[shift, heads]] if steps.max(initial=0) < 1 << 32 else None
+
+    def __len__(self) -> int:
+        return len(self.steps)
+
+    def __getitem__(self, at) -> np.ndarray:
+        places = np.arange(*at.indices(len(self.steps))) if isinstance(at, slice) else at
+        return self.heads[places >> 4] + (self.steps[at].astype(U64) << self.shift)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self[:] if dtype is None else self[:].astype(dtype)
+
+    def search(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block = np.searchsorted(self.heads, keys, "right") - 1
+        off = keys - self.heads[np.maximum(block, 0)]
+        step = off >> self.shift
+        ok = (block >= 0) & (step < 1 << 32) & (step << self.shift == off)
+        at, hit = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        own = np.flatnonzero(ok)
+        base, step = block[own] * 16, step[own].astype(np.uint32)
+        low, high = base, np.minimum(base + 15, len(self.steps) - 1)
+        for _ in range(4):  # the last place whose step is not larger
+            middle = (low + high + 1) >> 1
+            up = self.steps[middle] <= step
+            low, high = np.where(up, middle, low), np.where(up, high, middle - 1)
+        at[own], hit[own] = low, self.steps[low] == step
+        return at, hit
+
+
+def search(column, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in a column of sorted keys that is not empty, and whether they are there."""
+    if isinstance(column, Packed):
+        return column.search(keys)
+    at = np.searchsorted(column, keys)
+    at[at == len(column)] = 0
+    return at, column[at] == keys
+
+
 class SortedHashes:
     """Sorted keys with columns of values, one file for each range of the keys, memory-mapped.
 
@@ -245,13 +337,18 @@ class SortedHashes:
         self.parts: dict[int, dict[str, np.ndarray]] = {}
 
     @staticmethod
-    def write(folder: str, part: int, arrays: dict[str, np.ndarray]) -> None:
-        """Columns other than the key take the narrowest unsigned type that holds the part's values."""
+    def write(folder: str, part: int, arrays: dict[str, np.ndarray], dense: bool = False) -> None:
+        """Columns of mostly small integers are written as Narrow, floats of few distinct values as Coded, ``dense`` keys as Packed."""
         for name, values in arrays.items():
-            if name != "key" and values.dtype == U64:
-                most = int(values.max(initial=0))
-                values = values.astype(next(k for k in (np.uint8, np.uint16, np.uint32, U64) if most <= np.iinfo(k).max))
-            save(folder, f"{name}-{part:06d}", lambda out, v=values: np.lib.format.write_array(out, np.ascontiguousarray(v)))
+            both = [values]
+            if name != "key" and values.dtype == U64 and 16 * len(big := np.flatnonzero(values >= 255)) <= len(values):
+                both = [np.minimum(values, 255).astype(np.uint8), np.stack([big.astype(U64), values[big]])]
+            elif name == "key" and dense:
+                both = Packed.of(values) or both
+            elif values.dtype == np.float32:
+                table, codes = np.unique(values, return_inverse=True)
+                both = [codes.astype(np.uint16), table] if len(table) <= 1 << 16 else both
+            save(folder, f"{name}-{part:06d}", lambda out, both=both: [np.lib.format.write_array(out, np.ascontiguousarray(v)) for v in both])
 
     def part(self, i: int) -> dict[str, np.ndarray]:
         if i not in self.parts:
@@ -262,6 +359,10 @@ class SortedHashes:
                     continue
                 with opened(self.folder, f"{name}-{i:06d}") as path:
                     got[name] = np.load(path, mmap_mode="r")
+                    if form := {np.uint8: Narrow, np.uint16: Coded, np.uint32: Packed}.get(got[name].dtype.type):
+                        with open(path, "rb") as f:
+                            f.seek(got[name].offset + got[name].nbytes)
+                            got[name] = form(got[name], np.load(f))
                 if len(got[name]) != self.sizes[i]:
                     raise ValueError(f"{name}-{i:06d} of {self.folder} has {len(got[name])} entries, not {self.sizes[i]}")
             self.parts[i] = got
@@ -279,9 +380,7 @@ class SortedHashes:
             part = self.part(int(i))
             if not len(part["key"]):
                 continue
-            at = np.searchsorted(part["key"], keys[s:e])
-            at[at == len(part["key"])] = 0
-            hit = part["key"][at] == keys[s:e]
+            at, hit = search(part["key"], keys[s:e])
             there[s:e] = hit
             for n in values:
                 got = at + self.offsets[i] if n == "rank" else part[n][at]

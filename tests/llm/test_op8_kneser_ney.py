@@ -6,9 +6,8 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from sievewright.llm import kneser_ney
+from sievewright.llm import kneser_ney, wordhash
 from sievewright.llm.common import read
-from sievewright.llm.wordhash import mix, unmix
 
 
 def tokens(text):
@@ -99,14 +98,47 @@ def test_probabilities_sum_to_one(spark):
         assert sum(model.p((*context, w)) for w in words) == pytest.approx(1)
 
 
-def test_mix_is_a_bijection():
-    x = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
-    assert (unmix(mix(x)) == x).all()
-
-
 def test_query_is_of_order_three(spark, sf, monkeypatch):
     from sievewright.llm import queries
 
     want = {r.doc_id: r.score for r in kneser_ney.lm_scores(spark, read(spark, sf, "documents"), 3).collect()}
     got = {r.doc_id: r.score for r in queries.op8_lm_scores(spark, sf).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 7, 46, 63, 64])
+def test_spread_is_a_bijection(bits):
+    x = np.arange(1 << bits, dtype=np.uint64) if bits < 8 else np.random.default_rng(1).integers(0, 1 << bits, 5000, dtype=np.uint64)
+    keys = wordhash.spread(x, bits)
+    assert wordhash.unspread(keys, bits).tolist() == x.tolist() and len(set(keys.tolist())) == len(set(x.tolist()))
+    assert not (keys & np.uint64((1 << (64 - bits)) - 1)).any()
+
+
+def test_columns_come_back_as_they_were(tmp_path):
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 300, 4000, dtype=np.uint64) % np.uint64(257)
+    counts[5] = 1 << 40
+    gamma = rng.integers(0, 50, 4000).astype(np.float32) / np.float32(7)
+    wide = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    arrays = {"key": np.arange(4000, dtype=np.uint64), "raw": counts, "gamma": gamma, "check": wide}
+    wordhash.SortedHashes.write(f"file://{tmp_path}", 0, arrays)
+    part = wordhash.SortedHashes(f"file://{tmp_path}", np.array([4000]), {"key": "<u8", "raw": "<u8", "gamma": "<f4", "check": "<u8"}).part(0)
+    assert isinstance(part["raw"], wordhash.Narrow) and isinstance(part["gamma"], wordhash.Coded)
+    at = rng.integers(0, 4000, 900)
+    for name, values in arrays.items():
+        assert np.asarray(part[name][at]).tolist() == values[at].tolist()
+        assert np.asarray(part[name][3:2000]).tolist() == values[3:2000].tolist()
+    assert np.asarray(part["raw"]).tolist() == counts.tolist()
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(3)
+    for n, bits in ((1, 46), (16, 20), (17, 20), (5000, 38)):
+        keys = np.unique(wordhash.spread(rng.integers(0, 1 << bits, n, dtype=np.uint64), bits))
+        packed = wordhash.Packed(*wordhash.Packed.of(keys))
+        assert np.asarray(packed).tolist() == keys.tolist() and packed[np.array([0, len(keys) - 1])].tolist() == keys[[0, -1]].tolist()
+        other = wordhash.spread(rng.integers(0, 1 << bits, 2000, dtype=np.uint64), bits)
+        asked = np.sort(np.concatenate([keys, other, keys + np.uint64(1), [np.uint64(0)]]))
+        at, hit = packed.search(asked)
+        assert hit.tolist() == np.isin(asked, keys).tolist() and (keys[at[hit]] == asked[hit]).all()
+    assert wordhash.Packed.of(np.array([1, 1 << 60], np.uint64)) is None
