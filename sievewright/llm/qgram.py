@@ -7,20 +7,24 @@ with the window of m characters, all on diagonals that lie at most e apart from
 So q-grams of the text that any window has are marked; where too few are marked for any window
 nothing can be; elsewhere marks are counted by window and overlapping diagonal band, and bands
 that reach their window's bound are verified by an alignment inside the band. Nothing that is
-within the budget is lost, and nothing else is returned.
+within the budget is lost, and nothing else is returned. Items too short for the lemma, of
+SHORT_WORDS words or more, are sought as they are, between word boundaries, with no edit.
 
 Texts are compared by letters and digits: A-Z in lower case, all other ASCII characters as one
 space a run. The windows go to every task if the benchmark is at most ``INDEX_CHARS`` long, which
 is measured first; a longer one is gone through in blocks of that length.
 
-Defined results: null and empty texts hold nothing; items with less than ``Q + LEAST - 1``
-characters are not looked for; repeated documents and items each count; a document with a null id
+Defined results: null and empty texts hold nothing; a text of any length is searched whole, by
+itself if it is longer than a chunk; items with less than ``Q + LEAST - 1`` characters and less
+than SHORT_WORDS words name no passage and are not looked for; of equal distances the first end
+counts; an empty benchmark or table gives no hits; repeated documents and items each count; a document with a null id
 is judged like any other; an item of null id is used by ``decontaminate`` only, ``leaks`` has no
 hits for it; other columns are ignored, or kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +42,10 @@ SHORT, SHORT_STEP = 60, 15
 RATE = 0.1
 #: A window's bound is at least this; the budget of short items is lowered to it.
 LEAST = 8
-INDEX_CHARS = 32_000_000
+#: Words from which an item too short for the lemma is sought as it is.
+SHORT_WORDS = 3
+#: Some 150 MB of index in each worker; a longer benchmark takes one pass over the documents a block.
+INDEX_CHARS = 2_000_000
 _BITS = 22
 #: Pairs of a mark and a window's q-gram that are counted at once.
 PAIRS = 500_000
@@ -79,7 +86,7 @@ class Part:
     item: int
     text: bytes
     budget: int
-    bound: int
+    bound: int  # 0: too short for the lemma
 
 
 def windows(items: list[tuple[int, str]]) -> list[Part]:
@@ -94,6 +101,8 @@ def windows(items: list[tuple[int, str]]) -> list[Part]:
             part = whole[s:e]
             most = (len(part) - Q + 1 - LEAST) // Q
             if len(part) - Q + 1 < LEAST:
+                if part.count(b" ") + 1 >= SHORT_WORDS:
+                    found.append(Part(item, part, 0, 0))
                 continue
             budget = max(0, min(int(RATE * len(part)), most))
             found.append(Part(item, part, budget, len(part) - Q + 1 - budget * Q))
@@ -115,12 +124,24 @@ class Index:
     """q-grams of all windows: codes in order with the windows and places where each occurs."""
 
     def __init__(self, parts: list[Part]):
-        self.parts = parts
+        self.whole: dict[bytes, set[int]] = {}
+        for p in parts:
+            if not p.bound:
+                self.whole.setdefault(p.text, set()).add(p.item)
+        self.automaton = None
+        if self.whole:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for text in self.whole:
+                self.automaton.add_word(f" {text.decode('latin-1')} ", text)
+            self.automaton.make_automaton()
+        self.parts = parts = [p for p in parts if p.bound]
         codes = [_codes(np.frombuffer(p.text, np.uint8)) for p in parts]
         sizes = [len(c) for c in codes]
         all_codes = np.concatenate([np.zeros(0, U64), *codes])
-        which = np.repeat(np.arange(len(parts)), sizes)
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)])
+        which = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        place = np.concatenate([np.zeros(0, np.int16), *(np.arange(n, dtype=np.int16) for n in sizes)])
         order = np.argsort(all_codes, kind="stable")
         self.codes, self.first = np.unique(all_codes[order], return_index=True)
         self.last = np.r_[self.first[1:], len(order)]
@@ -215,6 +236,17 @@ class Index:
                 distance[own], end[own] = d[np.arange(len(own)), best], np.minimum(base + m + best, high[:, 0]) - low[:, 0]
         return distance, end
 
+    def contained(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """Text, item and first end of the short items that stand in a text."""
+        if self.automaton is None:
+            return []
+        found = {}
+        for d, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
+            for at, text in self.automaton.iter(f" {data[s:e].tobytes().decode('latin-1')} "):
+                for item in self.whole[text]:
+                    found.setdefault((d, item), at - 1)
+        return [(d, item, at) for (d, item), at in found.items()]
+
     def search(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """For every text and item of which it holds a window: text, item, least distance, windows, first end."""
         data, bounds = normal(data, bounds)
@@ -226,7 +258,9 @@ class Index:
                 own = found.setdefault((int(d), self.parts[w].item), [int(x), set(), int(at)])
                 own[0], own[2] = min(own[0], int(x)), min(own[2], int(at))
                 own[1].add(int(w))
-        return [(d, i, x, len(ws), at) for (d, i), (x, ws, at) in sorted(found.items(), key=lambda kv: kv[0][0])]
+        hits = [(d, i, x, len(ws), at) for (d, i), (x, ws, at) in found.items()]
+        hits += [(d, i, 0, 1, at) for d, i, at in self.contained(data, bounds) if (d, i) not in found]
+        return sorted(hits, key=lambda h: h[0])
 
 
 _indexes: dict[str, Index] = {}
@@ -249,7 +283,7 @@ class Block:
     items: list[Part]
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> list[Block]:
+def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> Iterator[Block]:
     """The benchmark in blocks of at most about INDEX_CHARS characters; one block if it is that short.
 
     Items of null id are taken in if ``unnamed``.
@@ -261,10 +295,8 @@ def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id",
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     count = max(1, -(-size // INDEX_CHARS))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("item", "t"), F.lit(count)))
-    return [
-        Block(uuid.uuid4().hex, windows([(r["item"], r["t"]) for r in dealt.filter(F.col("b") == b).orderBy("item", "t").toLocalIterator()]))
-        for b in range(count)
-    ]
+    for b in range(count):  # the driver holds one block at a time
+        yield Block(uuid.uuid4().hex, windows([(r["item"], r["t"]) for r in dealt.filter(F.col("b") == b).orderBy("item", "t").toLocalIterator()]))
 
 
 HITS = "doc_id long, item_id long, distance int, windows int, first_end long"

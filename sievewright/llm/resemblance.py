@@ -1,9 +1,13 @@
-"""Near-duplicates by resemblance: the Jaccard index of the sets of word shingles.
+"""SimHash near-dedup at a similarity: links are pairs whose shingle sets have a Jaccard index of 0.8.
 
-Rows of equal shingle sets collapse to one node. A node has ``BANDS`` keys, each of ``ROWS`` minimum
-hashes; nodes that share a key are candidates. A pair of resemblance J shares none with probability
-``(1 - J ** ROWS) ** BANDS``, 5e-8 at 0.8. Every candidate is then decided on its whole sets, so no
-link is below the threshold. Only nodes that are candidates have their sets sent.
+Rows of equal shingle sets collapse to one node. Candidates come from the covering search of
+``simhash`` over the nodes' fingerprints: nodes of one fingerprint, and fingerprints within the
+radius, all of which it guarantees to find. Sixty-four bits cannot carry a similarity of 0.8 (two
+such texts differ in some ten of them, and a covering family of that radius has two thousand
+tables), so nodes have ``BANDS`` keys of ``ROWS`` minimum hashes beside it: a pair of resemblance J
+shares none with probability ``(1 - J ** ROWS) ** BANDS``, 5e-8 at 0.8. Every candidate of either
+kind is then decided on its whole sets, so no link is below the threshold. Only nodes that are
+candidates have their sets sent.
 
 Defined results: words are those of ``simhash``; a text of fewer words than a shingle has itself as
 its one shingle; null and empty texts are one node; rows are numbered, so ids may repeat or be null.
@@ -18,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import majority, near_links, shingle_hashes
 from .wordhash import U64, mix
 
-SIZE, THRESHOLD = 5, 0.8
+SIZE, THRESHOLD, RADIUS = 5, 0.8, 4
 BANDS, ROWS = 32, 4
 BLOCK = 2048
 
@@ -55,19 +59,34 @@ def _texts(column: pa.Array):
 
 
 def marks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (row, node, n, keys) of rows (row, t)."""
+    """Rows (row, node, n, fp, keys) of rows (row, t)."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            sets = [shingle_set(t, size) for t in _texts(batch.column(1))]
+            sets, fps = [], []
+            for t in _texts(batch.column(1)):
+                blocks = list(shingle_hashes(t, size))
+                sets.append(np.unique(np.concatenate([np.zeros(0, U64), *blocks])))
+                fps.append(majority([sets[-1]]))  # of the set: rows of one node have one fingerprint
             node = np.fromiter(map(set_hash, sets), U64, len(sets)).view(np.int64)
             flat = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys], ["row", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(fps, U64).view(np.int64)), keys], ["row", "node", "n", "fp", "keys"])
+
+    return rows.mapInArrow(run, "row long, node long, n long, fp long, keys array<long>")
+
 
-    return rows.mapInArrow(run, "row long, node long, n long, keys array<long>")
+def near_fingerprints(spark: SparkSession, nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of (node, fp): each node with the least one of its fingerprint, and the least ones of near fingerprints."""
+    least = cut(spark, nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(least, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = (least.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    near = near_links(least.select("fp"), radius)
+    for x, end in zip("ab", ends):
+        near = near.join(end, x)
+    return same.union(near.select("first_a", "first_b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def node_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -111,19 +130,24 @@ def candidates(keyed: DataFrame, threshold: float, star: bool) -> DataFrame:
     return pairs.filter("root <> top").filter(sizes).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def resemblance_components(spark: SparkSession, rows: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+def resemblance_components(spark: SparkSession, rows: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """Rows (row, component) for rows (row, text): linked are rows whose resemblance reaches the threshold.
 
-    The first round joins each node with the least of its keys only, which makes one component of
-    most of a large group; the second takes all pairs of a key that are not in one component yet.
+    The first round takes the pairs of near fingerprints; the second joins each node with the least
+    of its keys only; by then most of a large group is one component. The third takes all pairs of
+    a key that are not in one component yet.
     """
     rows = rows.select("row", text_of().alias("t"))
     marked = cut(spark, marks(rows, size), "resemblance")
-    nodes = marked.groupBy("node").agg(F.min_by("keys", "row").alias("keys"), F.max("n").alias("n"), F.min("row").alias("row"))
+    nodes = marked.groupBy("node").agg(F.min_by("keys", "row").alias("keys"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.min("row").alias("row"))
     nodes, edges, roots = cut(spark, nodes, "nodes"), None, None
-    for star in (True, False):
-        rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = cut(spark, candidates(rooted.select("node", "n", "root", F.explode("keys").alias("key")), threshold, star), "candidates")
+    for kind in ("fingerprints", "least", "all"):
+        if kind == "fingerprints":
+            found = near_fingerprints(spark, nodes.select("node", "fp"), radius)
+        else:
+            rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            found = candidates(rooted.select("node", "n", "root", F.explode("keys").alias("key")), threshold, kind == "least")
+        pairs = cut(spark, found, "candidates")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         first = nodes.join(wanted, "node", "left_semi").select("row")
         sets = cut(spark, node_sets(rows.join(first, "row", "left_semi").select("row", "t"), size), "sets")

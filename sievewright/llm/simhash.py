@@ -11,14 +11,15 @@ Copies collapse to one fingerprint before any table is built. Inside a bucket a
 unvisited fingerprints returns a spanning forest of the links, never all pairs; a bucket of many
 distinct fingerprints is divided again by an independent covering family of the same guarantee.
 
-Defined results: a null or empty text has fingerprint zero and links like any other; rows that
-repeat keep one row each; rows with a null id get a component by their text; further columns of
+Defined results: a null or empty text has fingerprint zero and links like any other; a text of any
+length counts whole, its shingles in blocks; a bit set in exactly half the hashes is 0; rows that
+repeat keep one row each, an empty table gives none; rows with a null id get a component by their text; further columns of
 the input are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import accumulate
 
@@ -55,8 +56,13 @@ def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes, size: int = 4) -> int:
     """The fingerprint as an unsigned integer."""
+    return majority(shingle_hashes(text, size))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, size):
+    for hashes in blocks:
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
         ones += bits.sum(axis=0, dtype=np.int32)
         n += len(hashes)

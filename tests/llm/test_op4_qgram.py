@@ -112,3 +112,10 @@ def test_decontaminate_uses_items_of_null_id(spark):
     docs = spark.createDataFrame([(1, "so " + passage), (2, "clean text")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, passage)], "item_id long, text string")
     assert [r.doc_id for r in qgram.decontaminate(spark, docs, bench).collect()] == [2]
+
+
+def test_short_items_are_sought_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "so The ANSWER, is: 42!"), (2, "the answer is 421"), (3, "answer is 42"), (4, None), (5, "yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "answer is 42"), (8, "Answer is 42."), (9, "yes")], "item_id long, text string")
+    assert sorted(tuple(r)[:3] for r in qgram.leaks(spark, docs, bench).collect()) == [(1, 7, 0), (1, 8, 0), (3, 7, 0), (3, 8, 0)]
+    assert sorted(r.doc_id for r in qgram.decontaminate(spark, docs, bench).collect()) == [2, 4, 5]

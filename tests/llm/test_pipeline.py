@@ -6,7 +6,27 @@ from sievewright.llm.common import read
 
 from test_op2_line_templates import brute as brute_lines
 from test_op4_qgram import brute as brute_leaks
-from test_op10_simhash import brute_components, brute_fingerprint
+
+def brute_near(rows, size=5, threshold=0.8):
+    """Least id of each document's component; links are Jaccard indices of word shingle sets."""
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) > size else {tuple(w)} - {()}
+
+    sets, first = [(d, shingles(t)) for d, t in rows], {d: d for d, _ in rows}
+
+    def top(d):
+        while first[d] != d:
+            d = first[d]
+        return d
+
+    for k, (d, x) in enumerate(sets):
+        for e, y in sets[:k]:
+            if len(x & y) >= threshold * len(x | y):
+                a, b = sorted((top(d), top(e)))
+                first[b] = a
+    return {d: top(d) for d, _ in rows}
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -24,7 +44,7 @@ def test_stages_against_brute_force(spark, sf):
         if k == 1:
             rows = [(d, t) for d, _, _, t in brute_lines(rows)]
         if k == 2:
-            parts = {d: c for d, _, c in brute_components([(d, brute_fingerprint(t)) for d, t in rows])}
+            parts = brute_near(rows)
             rows = [(d, t) for d, t in rows if parts[d] == d]
         if k == 3:
             short = [(d, t) for d, t in rows if len(t) <= 4000]
