@@ -28,6 +28,8 @@ from .wordhash import U64, mix
 SIZE, THRESHOLD, RADIUS = 5, 0.8, 4
 BANDS, ROWS = 32, 4
 BLOCK = 2048
+#: Nodes of a key whose pairs are sent; nodes of a block, and shingles counted at once, where there are more.
+CROWD, BLOCK_NODES, COLUMNS = 16, 256, 4096
 
 _rng = np.random.default_rng(5)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=U64) * U64(2) + U64(1)
@@ -118,41 +120,106 @@ def verified(threshold: float):
     return run
 
 
-def candidates(keyed: DataFrame, threshold: float, star: bool) -> DataFrame:
-    """Pairs (a, b) of (node, n, root, key) that share a key and no root: with the least node of the key, or all."""
-    crossing = keyed.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    if star:
-        pairs = keyed.join(crossing.select("key", "c.*").toDF("key", "other", "m", "top"), "key")
-    else:
-        live = keyed.join(crossing.select("key"), "key", "left_semi")
-        pairs = live.join(live.select("key", "node", "n", "root").toDF("key", "other", "m", "top"), "key").filter("root < top")
+def crossing(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """The rows (node, n, root, key) whose key still joins several roots, with the key's number of nodes."""
+    keys = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
+    return cut(spark, keyed.join(keys.select("key", "size"), "key"), "crossing")
+
+
+def _pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     sizes = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
     return pairs.filter("root <> top").filter(sizes).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def hub_pairs(live: DataFrame, threshold: float) -> DataFrame:
+    """Each node with the hub of its key: the node whose keys are shared most, an original among its variants."""
+    drawn = live.groupBy("node").agg(F.sum("size").alias("drawn"))
+    rank = F.struct("drawn", (-F.col("node")).alias("first"))
+    hubs = live.join(drawn, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "root"), rank).alias("h")).select("key", "h.*").toDF("key", "other", "m", "top")
+    return _pairs(live.join(hubs, "key"), threshold)
+
+
+def small_pairs(live: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of the keys of at most CROWD nodes."""
+    few = live.filter(F.col("size") <= CROWD)
+    return _pairs(few.join(few.select("key", "node", "n", "root").toDF("key", "other", "m", "top"), "key").filter("root < top"), threshold)
+
+
+def block_links(threshold: float):
+    """For applyInArrow over (node, root, hashes) of two blocks of a key: a spanning forest of the links between roots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+        sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        flat, column, times = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_inverse=True, return_counts=True)
+        row, often = np.repeat(np.arange(len(sets)), size), np.cumsum(times > 1) - 1
+        keep = times[column] > 1
+        row, column = row[keep], often[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int((times > 1).sum()), COLUMNS):  # exact: whole numbers far below 2 ** 24
+            own = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[own], column[own] - at] = 1
+            shared += part @ part.T
+        near = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
+        near &= root[:, None] != root[None, :]
+        a, b, left = [], [], np.arange(len(sets))
+        while len(left):
+            frontier, left = left[:1], left[1:]
+            while len(frontier) and len(left):
+                some = near[np.ix_(left, frontier)]
+                hit = some.any(axis=1)
+                a.append(frontier[some[hit].argmax(axis=1)])
+                b.append(left[hit])
+                frontier, left = left[hit], left[~hit]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    return run
+
+
+def crowd_links(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links within the keys of over CROWD nodes, which are dealt to blocks; a task has two blocks and returns no pair but links."""
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    dealt = live.filter(F.col("size") > CROWD).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    both = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(sets, "node")
+    return both.groupBy("key", "i", "j").applyInArrow(block_links(threshold), "a long, b long")
+
+
 def resemblance_components(spark: SparkSession, rows: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """Rows (row, component) for rows (row, text): linked are rows whose resemblance reaches the threshold.
 
-    The first round takes the pairs of near fingerprints; the second joins each node with the least
-    of its keys only; by then most of a large group is one component. The third takes all pairs of
-    a key that are not in one component yet.
+    The first round takes the pairs of near fingerprints, the second joins each node with the hub
+    of each of its keys; by then most of a large group is one component. The third compares what
+    shares a key and is not in one component yet: by pairs where the key has at most CROWD nodes,
+    and within tasks of two blocks where it has more.
     """
     rows = rows.select("row", text_of().alias("t"))
     marked = cut(spark, marks(rows, size), "resemblance")
     nodes = marked.groupBy("node").agg(F.min_by("keys", "row").alias("keys"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.min("row").alias("row"))
     nodes, edges, roots = cut(spark, nodes, "nodes"), None, None
-    for kind in ("fingerprints", "least", "all"):
+    for kind in ("fingerprints", "hubs", "all"):
         if kind == "fingerprints":
             found = near_fingerprints(spark, nodes.select("node", "fp"), radius)
         else:
             rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            found = candidates(rooted.select("node", "n", "root", F.explode("keys").alias("key")), threshold, kind == "least")
+            live = crossing(spark, rooted.select("node", "n", "root", F.explode("keys").alias("key")))
+            found = hub_pairs(live, threshold) if kind == "hubs" else small_pairs(live, threshold)
         pairs = cut(spark, found, "candidates")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        first = nodes.join(wanted, "node", "left_semi").select("row")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        if kind == "all":
+            wanted = wanted.union(live.filter(F.col("size") > CROWD).select("node"))
+        first = nodes.join(wanted.distinct(), "node", "left_semi").select("row")
         sets = cut(spark, node_sets(rows.join(first, "row", "left_semi").select("row", "t"), size), "sets")
         x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-        linked = cut(spark, pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(threshold), "a long, b long"), "links")
+        linked = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(threshold), "a long, b long")
+        if kind == "all":
+            linked = linked.union(crowd_links(live, sets, threshold))
+        linked = cut(spark, linked, "links")
         edges = linked if edges is None else edges.union(linked)
         roots = components(spark, edges)
     return marked.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("component"))

@@ -65,3 +65,23 @@ def test_one_row_of_each_group_whatever_its_ids(spark, sf):
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], read(spark, sf, "documents").schema)
     got = sorted((str(r.doc_id), r.text[:2]) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect())
     assert got == [("1", "a0"), ("7", "ot"), ("None", "b0")]
+
+
+def test_crowds_of_variants(spark, monkeypatch):
+    """An original with many variants that resemble it and not each other, and a crowd that has no original."""
+    monkeypatch.setattr(resemblance, "CROWD", 4)
+    monkeypatch.setattr(resemblance, "BLOCK_NODES", 8)
+    base = [f"w{i}" for i in range(60)]
+
+    def variant(*at):
+        return " ".join(f"x{k}" if i in at else w for i, w in enumerate(base) for k in [at])
+
+    rows = [(1, variant(30))] + [(i, variant(6 + i)) for i in range(2, 40)] + [(90, " ".join(base))]
+    rows += [(100 + i, " ".join(f"y{(k if k % 10 else f'{i}a{k}')}" for k in range(50))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "row long, text string")
+    for chosen in (rows, rows[:39], rows[40:]):
+        got = {r.row: r.component for r in resemblance.resemblance_components(spark, docs.filter(docs.row.isin([r for r, _ in chosen]))).collect()}
+        groups = {}
+        for r, c in got.items():
+            groups.setdefault(c, []).append(r)
+        assert sorted(map(min, groups.values())) == sorted(brute_kept(chosen))
