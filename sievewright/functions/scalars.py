@@ -128,3 +128,14 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = k / n
     centre, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return (centre - spread) / (1 + z * z / n), (centre + spread) / (1 + z * z / n)
+
+
+def portable(path: Column, root: str) -> Column:
+    """A path relative to a root that it lies in, else as it is."""
+    top = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(top)), F.substring(path, F.lit(len(top) + 1), F.length(path))).otherwise(path)
+
+
+def sorted_struct(**fields: Column) -> Column:
+    """A struct of named columns in order of their names, as compact JSON with sorted keys needs it."""
+    return F.struct(*[fields[n].alias(n) for n in sorted(fields)])

@@ -60,3 +60,33 @@ def mode_policy(df: DataFrame, valid: Column, mode: str) -> DataFrame:
     if mode == "failfast":
         return df.filter(F.when(valid, True).otherwise(F.raise_error(F.lit("a row is not valid")).cast("boolean")))
     raise ValueError(f"unknown mode {mode}")
+
+
+def required(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """A lookup in which a key that ``right`` lacks is an error."""
+    found = left.join(right.withColumn("_there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"{key} is not there: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return found.filter(F.coalesce("_there", missing)).drop("_there")
+
+
+def numbered(df: DataFrame, order: str, name: str = "_place") -> DataFrame:
+    """Places from 0 in order of a column: counts of ranges first, then ranks inside each, so no task sorts all rows."""
+    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(order)
+    return ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+
+
+def zip_rows(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Rows of two relations at equal places; relations of unequal length are an error, before anything is joined."""
+    a, b = left.count(), right.count()
+    if a != b:
+        raise ValueError(f"{a} rows of one side and {b} of the other")
+
+    def placed(df: DataFrame, order: str) -> DataFrame:
+        parts = numbered(df, order)
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        return parts.join(sizes, "_part").withColumn("_place", F.col("_place") + F.col("_base")).drop("_part", "_base")
+
+    other = placed(right, right_order)
+    clash = [c for c in right.columns if c in left.columns]
+    return placed(left, left_order).join(other.drop(*clash), "_place").drop("_place")

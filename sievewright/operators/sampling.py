@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, hash_rank
@@ -49,3 +49,13 @@ def ratio_prefix(df: DataFrame, combo: str, source: str, real: str, ratio: float
     rank = F.row_number().over(Window.partitionBy(combo, source).orderBy(order))
     rows = df.withColumn("_q", half_even(n_real * F.lit(ratio))).withColumn("_r", rank)
     return rows.filter((F.col(source) == real) | (F.col("_r") <= F.col("_q"))).drop("_q", "_r")
+
+
+def fallback_stratum(levels: list[list[str]], least: int) -> Column:
+    """The finest of the given strata that has ``least`` rows, by name; ``all`` where none has."""
+    case = None
+    for columns in levels:
+        enough = F.count(F.lit(1)).over(Window.partitionBy(*columns)) >= least
+        name = F.concat_ws("/", *columns)
+        case = F.when(enough, name) if case is None else case.when(enough, name)
+    return case.otherwise("all")

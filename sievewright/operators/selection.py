@@ -27,20 +27,28 @@ def shrunk_precision(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.linalg.inv((1 - share) * cov + share * mu * np.eye(d) + 1e-12 * np.eye(d))
 
 
-def squared_mahalanobis(real: np.ndarray, rows: np.ndarray, components: int = 200) -> np.ndarray:
-    """m² of rows in the PCA space of the real ones."""
+def whitened(real: np.ndarray, rows: np.ndarray, components: int = 200) -> np.ndarray:
+    """Rows in the PCA space of the real ones, less their mean and scaled so that m² is the squared length."""
     centre = real.mean(axis=0)
     k = max(1, min(len(real) - 1, components, real.shape[1]))
     axes = np.linalg.svd(real - centre, full_matrices=False)[2][:k]
     mean, precision = shrunk_precision((real - centre) @ axes.T)
     d = (rows - centre) @ axes.T - mean
-    return np.einsum("ij,jk,ik->i", d, precision, d)
+    try:
+        return d @ np.linalg.cholesky(precision)
+    except np.linalg.LinAlgError:  # not positive definite: plain distances from the mean
+        return d
+
+
+def squared_mahalanobis(real: np.ndarray, rows: np.ndarray, components: int = 200) -> np.ndarray:
+    """m² of rows in the PCA space of the real ones."""
+    return (whitened(real, rows, components) ** 2).sum(axis=1)
 
 
-def farthest_points(x: np.ndarray, n: int, start: int) -> list[int]:
-    """Order in which points are taken, each farthest from those before; stops where only copies are left."""
-    taken = [start]
-    near = ((x - x[start]) ** 2).sum(axis=1)
+def farthest_points(x: np.ndarray, n: int) -> list[int]:
+    """Order in which points are taken, each farthest from the origin and those before; stops where only copies are left."""
+    taken: list[int] = []
+    near = (x**2).sum(axis=1)
     while len(taken) < min(n, len(x)):
         best = int(near.argmax())
         if near[best] <= 1e-18:
@@ -57,7 +65,8 @@ def gate(df: DataFrame, percentile: float = 97.5) -> DataFrame:
     """Rows (combo, id, is_real, vector) to the gate and the diversity rank of each other row.
 
     The threshold is a percentile of the real rows' own m²; less than two real rows keep all.
-    Ranks begin at the kept row of least m² and are nested: a prefix is the choice of its size.
+    Ranks follow the whitened space from its origin, the real rows' mean, and are nested: a prefix is
+    the choice of its size.
     """
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +83,8 @@ def gate(df: DataFrame, percentile: float = 97.5) -> DataFrame:
         rank = np.full(len(other), -1)
         if kept.any():
             at = np.flatnonzero(kept)
-            order = farthest_points(x[~real][at], len(at), int(m2[at].argmin()))
+            space = whitened(x[real], x[~real][at]) if real.sum() > 1 else x[~real][at]
+            order = farthest_points(space, len(at))
             rank[at[order]] = np.arange(1, len(order) + 1)
         return other.assign(m2=m2, threshold=limit, kept=kept, fps_rank=rank)
 

@@ -2,20 +2,25 @@
 
 A band join finds all pairs within a Hamming distance t without comparing all rows: 64 bits fall
 into t + 1 bands, and of two hashes within t bits one band at least is equal. Nearest-neighbour
-searches compare a stated query set with all rows; the query side is broadcast only while its
-size, measured first, is below ``BROADCAST_ROWS``, and is cut into blocks of that size otherwise.
+searches compare a stated query set with all rows. The queries go to the tasks as matrices of at
+most ``BLOCK_ROWS`` rows, whose number is measured first; a task multiplies each Arrow batch with a
+matrix and keeps the least distance of every query, so no pair is ever a row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine_distance, hamming
 
 BROADCAST_ROWS = 50_000
+#: Queries of a block, and base rows that are multiplied with them at once.
+BLOCK_ROWS, BASE_ROWS = 8192, 1024
 
 
 def bands(column: Column, limit: int) -> list[Column]:
@@ -51,9 +56,68 @@ def _nearest(queries: DataFrame, base: DataFrame, distance: Column, k: int) -> D
     return reduce(DataFrame.unionAll, out)
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    """Rows of a column of vectors, scaled to length one; a norm counts as 1e-12 at least."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    if x.ndim == 1:
+        return np.bitwise_count(x[:, None] ^ q[None, :]).astype(float)
+    return np.round(1 - x @ q.T, 9)
+
+
+def _least(ids: np.ndarray, matrix: np.ndarray, read):
+    """For mapInArrow over (base_id, base_value): the least (distance, base_id) of every query of a block."""
+
+    def run(batches):
+        best, first = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), BASE_ROWS):
+                some = batch.slice(at, BASE_ROWS)
+                base = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(base)
+                d = _distances(read(some.column(1))[order], matrix)
+                own = d.argmin(axis=0)
+                d, own = d[own, np.arange(len(ids))], base[order][own]
+                better = (d < best) | ((d == best) & (own < first))
+                best[better], first[better] = d[better], own[better]
+        there = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(first[there]), pa.array(best[there])], ["query_id", "base_id", "distance"])
+
+    return run
+
+
+def _nearest_of_all(queries: DataFrame, base: DataFrame, metric: str) -> DataFrame:
+    """For each query the base row of least distance, the lower id first; rows of null id or value have none."""
+    read = _bits if metric == "hamming" else _unit
+    queries, base = (df.dropna() for df in (queries, base))
+    count = max(1, -(-queries.count() // BLOCK_ROWS))
+    out = []
+    for b in range(count):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).toArrow()
+        ids = block.column(0).to_numpy().astype(np.int64)
+        matrix = read(block.column(1).combine_chunks())
+        if len(ids):
+            out.append(base.mapInArrow(_least(ids, matrix, read), "query_id long, base_id long, distance double"))
+    if not out:
+        return queries.sparkSession.createDataFrame([], "query_id long, base_id long, distance double")
+    m = F.min(F.struct("distance", "base_id")).alias("m")
+    kind = "int" if metric == "hamming" else "double"
+    return reduce(DataFrame.unionAll, out).groupBy("query_id").agg(m).select("query_id", "m.base_id", F.col("m.distance").cast(kind).alias("distance"))
+
+
 def nearest(queries: DataFrame, base: DataFrame, value: str, metric: str, id_col: str = "id", group: str | None = None) -> DataFrame:
     """Rows (query_id, base_id, distance): nearest base row by ``hamming`` or ``cosine``, within a group if named."""
-    g = F.col(group) if group else F.lit(0)
+    if not group:
+        return _nearest_of_all(queries.select(F.col(id_col).alias("query_id"), F.col(value).alias("query_value")), base.select(F.col(id_col).alias("base_id"), F.col(value).alias("base_value")), metric)
+    g = F.col(group)
     q = queries.select(F.col(id_col).alias("query_id"), F.col(value).alias("query_value"), g.alias("query_group"))
     b = base.select(F.col(id_col).alias("base_id"), F.col(value).alias("base_value"), g.alias("base_group"))
     of = {"hamming": hamming, "cosine": lambda x, y: F.round(cosine_distance(x, y), 9)}[metric]

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import hash_rank
 
@@ -64,6 +67,7 @@ def sign_flip(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exact two-sided paired sign-flip p over the 2**n sign patterns of each group's n values (n <= 20)."""
     w = Window.partitionBy(*by).orderBy("seed")
     rows = df.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    rows = rows.filter(F.when(F.col("n") > 20, F.raise_error(F.lit("more than 20 values have too many sign patterns")).cast("boolean")).otherwise(True))
     patterns = rows.withColumn("pattern", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n").cast("int")) - 1)))
     bit = F.call_function("shiftright", F.col("pattern"), F.col("k").cast("int")).bitwiseAND(F.lit(1))
     sums = patterns.groupBy(*by, "pattern").agg(F.round(F.sum(F.col(value) * (1 - 2 * bit)), 9).alias("s"))
@@ -90,3 +94,17 @@ def student_upper(t: Column, df: Column) -> Column:
     even_sum = F.aggregate(even_steps, start(), lambda a, k: F.struct((a["term"] * (2.0 * k - 1) / (2 * k) * cos2).alias("term"), (a["sum"] + a["term"] * (2.0 * k - 1) / (2 * k) * cos2).alias("sum")), lambda a: a["sum"])
     central = F.when(odd, 2 / math.pi * (theta + F.sin(theta) * F.cos(theta) * odd_sum)).otherwise(F.sin(theta) * (1 + even_sum))
     return (1 - central) / 2
+
+
+def _two_sided(k: int, n: int) -> float:
+    low = min(k, n - k)
+    if 2 * low >= n - 1:
+        return 1.0
+    steps = np.r_[0.0, np.cumsum(np.log((n - np.arange(low)) / (np.arange(low) + 1.0)))]
+    return min(1.0, 2 * float(np.exp(steps - n * np.log(2)).sum()))
+
+
+@F.pandas_udf(DoubleType())
+def binomial_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
+    """Exact two-sided p of k successes in n fair draws."""
+    return pd.Series([_two_sided(int(a), int(b)) for a, b in zip(k, n)])

@@ -159,9 +159,9 @@ def ratio_prefix_r2_5(spark, sf):
 _M = sql_mix(42, "doc_id")
 
 
-@query(f"WITH d AS (SELECT doc_id, lang, (doc_id % 3 = 0) AS odd, {_M} AS h FROM documents WHERE lang <> 'es'), q AS (SELECT *, row_number() OVER (PARTITION BY lang, odd ORDER BY h, doc_id) AS r, least(count(*) FILTER (odd) OVER (PARTITION BY lang), count(*) FILTER (NOT odd) OVER (PARTITION BY lang)) AS q FROM d) SELECT doc_id, lang, CASE WHEN odd THEN 'a' ELSE 'b' END AS side FROM q WHERE r <= q")
+@query(f"WITH d AS (SELECT doc_id, lang, (doc_id % 3 = 0) AS odd, {_M} AS h FROM documents), q AS (SELECT *, row_number() OVER (PARTITION BY lang, odd ORDER BY h, doc_id) AS r, least(count(*) FILTER (odd) OVER (PARTITION BY lang), count(*) FILTER (NOT odd) OVER (PARTITION BY lang)) AS q FROM d) SELECT doc_id, lang, CASE WHEN odd THEN 'a' ELSE 'b' END AS side FROM q WHERE r <= q")
 def balanced_sample(spark, sf):
-    d = table(spark, sf, "documents").filter("lang <> 'es'").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("side"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("side"))
     return sampling.balanced(d, ["lang"], "side", ["a", "b"], 42, "doc_id")
 
 

@@ -108,7 +108,7 @@ def test_gate_edges(spark):
     assert got[1, 2].kept and got[1, 3].kept and sorted((got[1, 2].fps_rank, got[1, 3].fps_rank)) == [-1, 1]
     ranks = sorted(r.fps_rank for (c, _), r in got.items() if c == 0 and r.kept)
     assert ranks == list(range(1, len(ranks) + 1)) and not any(c == 2 for c, _ in got)
-    first = min((r for (c, _), r in got.items() if c == 0 and r.kept), key=lambda r: r.m2)
+    first = max((r for (c, _), r in got.items() if c == 0 and r.kept), key=lambda r: r.m2)  # farthest from the mean
     assert first.fps_rank == 1
 
 
@@ -123,3 +123,46 @@ def test_slerp_and_hash(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0))
     got = spark.range(1).select(S.slerp(a, b, F.lit(0.5)).alias("v"), S.sign_hash(F.array(*[F.lit(float(i)) for i in range(64)])).alias("h")).first()
     assert got.v == pytest.approx([math.sqrt(0.5)] * 2) and got.h == (1 << 32) - 1
+
+
+def test_farthest_points_in_whitened_space():
+    rng = np.random.default_rng(4)
+    real, rows = rng.normal(size=(300, 6)) * [1, 5, 1, 1, 9, 1], rng.normal(size=(40, 6)) * [2, 5, 2, 2, 9, 2]
+    space = selection.whitened(real, rows)
+    centre = real.mean(axis=0)
+    axes = np.linalg.svd(real - centre, full_matrices=False)[2]
+    mean, precision = selection.shrunk_precision((real - centre) @ axes.T)
+    d = (rows - centre) @ axes.T - mean
+    assert np.allclose((space**2).sum(axis=1), [x @ precision @ x for x in d])
+    taken = []
+    for _ in range(10):  # by hand: the next is farthest, in that metric, from the mean and all before
+        least = [min([x @ precision @ x] + [(x - d[t]) @ precision @ (x - d[t]) for t in taken]) for x in d]
+        taken.append(int(np.argmax(least)))
+    assert selection.farthest_points(space, 10) == taken
+    assert selection.farthest_points(np.repeat(space[:2], 3, axis=0), 6) in ([0, 3], [3, 0])
+
+
+def test_guards(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="k is not there: 2"):
+        relational.required(left, right, "k", "v").collect()
+    with pytest.raises(ValueError, match="2 rows of one side and 1"):
+        relational.zip_rows(left, "k", right, "k")
+    other = spark.createDataFrame([(9, "y"), (8, "x")], "o int, v string")
+    assert sorted(map(tuple, relational.zip_rows(left, "k", other, "o").collect())) == [(1, 8, "x"), (2, 9, "y")]
+
+
+def test_nearest_without_pairs(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)] + [(None, [1.0, 1.0]), (900, None)], "id long, v array<double>")
+    got = similarity.nearest(rows.filter("id % 20 = 0"), rows, "v", "cosine")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(i, i % 7, 0.0) for i in range(0, 200, 20)]
+    assert similarity.nearest(rows.limit(0), rows, "v", "cosine").collect() == []
+
+
+def test_binomial(spark):
+    rows = spark.createDataFrame([(519, 899), (5, 10), (0, 10), (10, 10), (0, 0)], "k long, n long")
+    got = [r[0] for r in rows.select(stats.binomial_two_sided("k", "n")).collect()]
+    exact = [min(1.0, sum(math.comb(n, j) for j in range(n + 1) if abs(2 * j - n) >= abs(2 * k - n)) / 2**n) for k, n in ((519, 899), (5, 10), (0, 10), (10, 10), (0, 0))]
+    assert got == pytest.approx(exact)
