@@ -2,6 +2,9 @@
 
 The quality classifier and decontamination drop documents, line dedup cuts lines out of texts,
 near-dedup keeps one document of each group, and the last stage returns the encoded corpus.
+
+Every stage takes texts of any length whole. A null text counts as empty; an empty table passes as
+such; columns beside those of documents stay, except in the last stage.
 """
 
 from __future__ import annotations
@@ -18,20 +21,24 @@ from sievewright.llm.resemblance import resemblance_components
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold."""
+    """Documents whose score reaches the threshold, repeated rows each; all where there is nothing to learn from."""
     net, _ = fit_quality(spark, docs, read(spark, sf_dir, "labels"))
     return keep_quality(docs, net)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates; n_chars follows the text."""
+    """All documents, without the lines of recurring templates; n_chars, where there is one, follows the text."""
     out = without_templates(spark, docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more).
 
+    Candidates come from the covering tables over SimHash fingerprints and from minimum hashes beside
+    them; each is decided on its whole shingle sets.
     It is the one of least id, a null id last; of equal ids the one of least text hash, then of least row number.
     """
     numbered = cut(spark, docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
@@ -41,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark, items of null id included."""
     return decontaminate(spark, docs, read(spark, sf_dir, "benchmark"))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_overlap(left: DataFrame, right: DataFrame, key: str, recheck: str) -> DataFrame:
-    """All pairs of rows with equal key whose ``recheck`` columns are truly equal."""
-    return left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}")).filter(F.col(f"l.{recheck}") == F.col(f"r.{recheck}"))
+def exact_overlap(left: DataFrame, right: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Rows of ``left`` whose key ``right`` has, with the number of links and the least id there; ``right`` is counted before it is joined."""
+    return left.join(right.groupBy(key).agg(F.count(F.lit(1)).alias("links"), F.min(id_col).alias("first_id")), key)
 
 
 def without(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:

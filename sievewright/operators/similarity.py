@@ -1,7 +1,9 @@
 """Nearest neighbours and similarity joins under Hamming and cosine distance.
 
 A band join finds all pairs within a Hamming distance t without comparing all rows: 64 bits fall
-into t + 1 bands, and of two hashes within t bits one band at least is equal. Nearest-neighbour
+into t + 1 bands, and of two hashes within t bits one band at least is equal. Beyond ``BANDED`` bits
+bands would be so narrow that their candidates outnumber all pairs; there the hashes are compared in
+blocks inside the tasks, and only pairs within the distance become rows. Nearest-neighbour
 searches compare a stated query set with all rows. The queries go to the tasks as matrices of at
 most ``BLOCK_ROWS`` rows, whose number is measured first; a task multiplies each Arrow batch with a
 matrix and keeps the least distance of every query, so no pair is ever a row.
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine_distance, hamming
 
 BROADCAST_ROWS = 50_000
+#: Widest limit of the band join: bands of eight bits.
+BANDED = 7
 #: Queries of a block, and base rows that are multiplied with them at once.
 BLOCK_ROWS, BASE_ROWS = 8192, 1024
 
@@ -33,8 +37,37 @@ def bands(column: Column, limit: int) -> list[Column]:
     return found
 
 
+def _within(ids: np.ndarray, hashes: np.ndarray, limit: int):
+    """For mapInArrow over (right_id, right_hash): its pairs with a block of the left side within ``limit`` bits."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), BASE_ROWS):
+                some = batch.slice(at, BASE_ROWS)
+                distance = np.bitwise_count(_bits(some.column(1))[:, None] ^ hashes[None, :])
+                right, own = np.nonzero(distance <= limit)
+                columns = [pa.array(ids[own]), some.column(0).take(pa.array(right)).cast(pa.int64()), pa.array(distance[right, own], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["left_id", "right_id", "distance"])
+
+    return run
+
+
+def _compared(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
+    left, right = left.dropna(), right.dropna()
+    count = max(1, -(-left.count() // BLOCK_ROWS))
+    out = []
+    for b in range(count):
+        block = left.filter(F.pmod(F.xxhash64("id"), F.lit(count)) == b).toArrow()
+        ids, hashes = block.column(0).to_numpy().astype(np.int64), _bits(block.column(1).combine_chunks())
+        out.append(right.mapInArrow(_within(ids, hashes, limit), "left_id long, right_id long, distance int"))
+    return reduce(DataFrame.unionAll, out)
+
+
 def hamming_join(left: DataFrame, right: DataFrame, limit: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
     """Rows (left_id, right_id, distance) of all pairs within ``limit`` bits, each once."""
+    if limit > BANDED:
+        return _compared(*(df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash")) for df in (left, right)), limit).distinct()
+
     def banded(df: DataFrame, side: str) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(k).alias("band"), b.alias("value")) for k, b in enumerate(bands(F.col(hash_col), limit))])
         return df.select(F.col(id_col).alias(f"{side}_id"), F.col(hash_col).alias(f"{side}_hash"), F.explode(keys).alias("k")).select(f"{side}_id", f"{side}_hash", "k.band", "k.value")

@@ -29,10 +29,11 @@ def identity_clusters(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("n_rows > 1")
 
 
-@query(f"WITH {_SPLIT} SELECT l.doc_id AS train_id, r.doc_id AS test_id, l.sha AS sha FROM train l JOIN test r ON l.sha = r.sha AND l.text = r.text")
+@query(f"WITH {_SPLIT} SELECT l.doc_id AS train_id, l.sha AS sha, count(*) AS links, min(r.doc_id) AS first_test_id FROM train l JOIN test r ON l.sha = r.sha AND l.text = r.text GROUP BY 1, 2")
 def exact_hash_overlap(spark, sf):
+    """Train rows whose text is in test too, with their class and number of links; copies are not expanded into pairs."""
     train, test = _split(spark, sf)
-    return relational.exact_overlap(train, test, "sha", "text").select(F.col("l.doc_id").alias("train_id"), F.col("r.doc_id").alias("test_id"), F.col("l.sha").alias("sha"))
+    return relational.exact_overlap(train.select("doc_id", "sha"), test, "sha", "doc_id").select(F.col("doc_id").alias("train_id"), "sha", "links", F.col("first_id").alias("first_test_id"))
 
 
 @query(
@@ -41,9 +42,10 @@ def exact_hash_overlap(spark, sf):
 )
 def overlap_clusters(spark, sf):
     train, test = _split(spark, sf)
-    pairs = relational.exact_overlap(train, test, "sha", "text")
-    ids = F.array_join(F.array_sort(F.collect_set(F.col("l.doc_id").cast("string"))), " | ")
-    return pairs.groupBy(F.col("l.sha").alias("sha")).agg(F.count_distinct("l.doc_id").alias("train_rows"), F.count_distinct("r.doc_id").alias("test_rows"), F.count(F.lit(1)).alias("links"), ids.alias("train_ids"))
+    ids = F.array_join(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))), " | ")
+    a = train.groupBy("sha").agg(F.count_distinct("doc_id").alias("train_rows"), F.count(F.lit(1)).alias("l"), ids.alias("train_ids"))
+    b = test.groupBy("sha").agg(F.count_distinct("doc_id").alias("test_rows"), F.count(F.lit(1)).alias("r"))
+    return a.join(b, "sha").select("sha", "train_rows", "test_rows", (F.col("l") * F.col("r")).alias("links"), "train_ids")
 
 
 @query(f"WITH {_SPLIT} SELECT doc_id, sha FROM train WHERE sha NOT IN (SELECT sha FROM test)")
