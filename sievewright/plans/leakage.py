@@ -86,18 +86,35 @@ def prefix_contamination(spark, sf):
     return both.filter(F.contains("text", F.col("head"))).select("doc_id", "item_id")
 
 
-@query(
-    f"""WITH {_SPLIT} SELECT (SELECT count(*) FROM train) AS train_rows, (SELECT count(*) FROM test) AS test_rows,
-    (SELECT count(*) FROM train l JOIN test r ON l.sha = r.sha) AS exact_pairs, (SELECT count(DISTINCT l.sha) FROM train l JOIN test r ON l.sha = r.sha) AS shared_hashes,
-    (SELECT count(DISTINCT l.source) FROM train l JOIN test r ON l.source = r.source) AS shared_sources"""
-)
+_SUMMARY = {
+    "train_rows": "sum(a)", "test_rows": "sum(b)", "train_hashes": "count(a)", "test_hashes": "count(b)", "shared_hashes": "count(a * b)",
+    "train_only_hashes": "count(a) - count(a * b)", "test_only_hashes": "count(b) - count(a * b)", "exact_pairs": "sum(a * b)",
+    "removed_train_rows": "sum(CASE WHEN b IS NOT NULL THEN a END)", "kept_train_rows": "sum(CASE WHEN b IS NULL THEN a END)",
+    "affected_test_rows": "sum(CASE WHEN a IS NOT NULL THEN b END)", "clean_test_rows": "sum(CASE WHEN a IS NULL THEN b END)",
+    "largest_train_class": "max(a)", "largest_test_class": "max(b)", "most_links": "max(a * b)",
+}
+_FLAGS = {f"{side}_{c}s": f"count(CASE WHEN {test} THEN 1 END)" for c in ("source", "lang") for side, test in (("train", "a > 0"), ("test", "b > 0"), ("shared", "a > 0 AND b > 0")) if (side, c) != ("test", "lang")}
+
+
+def _summary_sql() -> str:
+    keys = ", ".join(f"coalesce({e}, 0)::BIGINT AS {n}" for n, e in _SUMMARY.items())
+    of = lambda c: ", ".join(f"(SELECT {e} FROM {c}s) AS {n}" for n, e in _FLAGS.items() if n.endswith(f"{c}s"))
+    sides = lambda c: f"{c}s AS (SELECT {c}, count(*) FILTER (doc_id % 5 <> 4) AS a, count(*) FILTER (doc_id % 5 = 4) AS b FROM documents WHERE {c} IS NOT NULL GROUP BY 1)"
+    return f"""WITH {_SPLIT}, classes AS (SELECT * FROM (SELECT sha, count(*) AS a FROM train GROUP BY 1) FULL JOIN (SELECT sha, count(*) AS b FROM test GROUP BY 1) USING (sha)),
+    {sides("source")}, {sides("lang")} SELECT {keys}, {of("source")}, {of("lang")} FROM classes"""
+
+
+@query(_summary_sql())
 def leakage_summary(spark, sf):
+    """Twenty sizes, overlaps and extremes of the two sides in one row; classes are counted on each side before they meet."""
     train, test = _split(spark, sf)
-    counts = train.groupBy("sha").agg(F.count(F.lit(1)).alias("a")).join(test.groupBy("sha").agg(F.count(F.lit(1)).alias("b")), "sha")
-    pairs = counts.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("exact_pairs"), F.count(F.lit(1)).alias("shared_hashes"))
-    sources = train.select("source").intersect(test.select("source")).agg(F.count(F.lit(1)).alias("shared_sources"))
-    one = train.agg(F.count(F.lit(1)).alias("train_rows")).crossJoin(test.agg(F.count(F.lit(1)).alias("test_rows")))
-    return one.crossJoin(pairs).crossJoin(sources)
+    classes = train.groupBy("sha").agg(F.count(F.lit(1)).alias("a")).join(test.groupBy("sha").agg(F.count(F.lit(1)).alias("b")), "sha", "full")
+    out = classes.agg(*[F.coalesce(F.expr(e), F.lit(0)).cast("long").alias(n) for n, e in _SUMMARY.items()])
+    docs, in_test = table(spark, sf, "documents"), F.col("doc_id") % 5 == 4
+    for c in ("source", "lang"):
+        sides = docs.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count_if(~in_test).alias("a"), F.count_if(in_test).alias("b"))
+        out = out.crossJoin(sides.agg(*[F.expr(e).alias(n) for n, e in _FLAGS.items() if n.endswith(f"{c}s")]))  # one row each
+    return out
 
 
 @query("SELECT count(*) AS shared FROM (SELECT DISTINCT sha256(text) FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT DISTINCT sha256(text) FROM documents WHERE doc_id % 2 = 1)")

@@ -163,3 +163,25 @@ def metric_families(spark, sf):
     names = ["accuracy", "macro_f1", *(f"f1_{k}" for k in range(4)), "weighted_f1"]
     rows = spark.createDataFrame([(n, "forest", int(n.startswith("f1_"))) for n in names], "metric string, family string, per_class int")
     return rows.crossJoin(table(spark, sf, "labels").agg(F.count_distinct(F.col("quality") * 2 + F.col("toxic")).alias("classes")))
+
+
+@query(
+    """WITH b AS (SELECT doc_id, source, lang, left(sha256('seed-7:' || doc_id), 12) AS blind_id FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY blind_id) AS place FROM b)
+    SELECT 'public' AS part, blind_id, lang, place, NULL::VARCHAR AS source, NULL::BIGINT AS doc_id FROM p UNION ALL SELECT 'response', blind_id, lang, place, NULL, NULL FROM p UNION ALL SELECT 'key', blind_id, lang, place, source, doc_id FROM p"""
+)
+def blinded_export(spark, sf):
+    """Three rows an item: what judges see, what they fill in, and the key that alone names the source."""
+    blind = F.substring(F.sha2(F.concat(F.lit("seed-7:"), F.col("doc_id").cast("string")), 256), 1, 12)
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang", blind.alias("blind_id"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("blind_id"))).withColumn("part", F.explode(F.array(*map(F.lit, ("public", "response", "key")))))
+    own = F.col("part") == "key"
+    return placed.select("part", "blind_id", "lang", "place", F.when(own, F.col("source")).alias("source"), F.when(own, F.col("doc_id")).alias("doc_id"))
+
+
+@query("SELECT chunk, n, fingerprint, fingerprint = CASE WHEN chunk % 3 = 0 THEN 'stale' ELSE fingerprint END AS valid FROM (SELECT doc_id % 16 AS chunk, count(*) AS n, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY 1)")
+def cache_validity(spark, sf):
+    """Parts of a feature cache by the content hash they were made from: stale ones are to be made again."""
+    hashes = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))), lambda x: x["h"])
+    parts = table(spark, sf, "documents").groupBy((F.col("doc_id") % 16).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(hashes, "")).alias("fingerprint"))
+    stored = F.when(F.col("chunk") % 3 == 0, "stale").otherwise(F.col("fingerprint"))
+    return parts.select("chunk", "n", "fingerprint", (F.col("fingerprint") == stored).alias("valid"))
