@@ -6,7 +6,8 @@ covers. A rule runs only where its keyword occurs. Detections are ordered by sta
 then priority, and one pass drops each that lies within another of at least its priority.
 All of it is one projection of built-in functions; nothing is shuffled.
 
-Defined results: null and empty texts have no words and no labels, score 0; repeated rows are
+Defined results: null and empty texts have no words and no labels, score 0; a text of any length is
+scanned whole; of equal spans and priorities the first rule's stays; an empty table gives no rows; repeated rows are
 scanned one by one; columns of the input with names of the result are not used.
 """
 
@@ -27,8 +28,11 @@ NO_WORD = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Fixed values of the contract: phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: A text without any of these has no license; each rule's keyword holds one of them or is one.
-GATES = ("licen", "lizenz", "copyright", "reserved", "domain", "commons", "copyleft", "spdx", "wtfpl", "permission", "warrant")
+#: A text without any of these has no detection: every rule has a word that it cannot do without and that holds one of them.
+GATES = (
+    "licen", "lizenz", "copyright", "reserved", "domain", "commons", "permission", "warrant", "gpl", "released", "distributed",
+    "redistribution", "compliance", "endorse", "unencumbered", "foundation", "waived", "provided",
+)
 
 #: Licenses by label: names as they are written, one word a token; ``(x)`` is an optional word.
 NAMES = {
@@ -80,7 +84,11 @@ CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 FORMS = (
     ("spdx license identifier", "", 3, 1.0),
     ("licensed under (the) (terms) (of) (the)", "(license)", 2, 0.95),
-    ("(released) (distributed) under (the) (terms) (of) (the)", "(license)", 2, 0.9),
+    ("released under (the) (terms) (of) (the)", "(license)", 2, 0.9),
+    ("distributed under (the) (terms) (of) (the)", "(license)", 2, 0.9),
+    ("provided under (the) (terms) (of) (the)", "(license)", 2, 0.9),
+    ("spdx license identifier [0-9a-z]+ ([0-9]+) ([0-9]+) (clause) or", "", 2, 1.0),
+    ("spdx license identifier [0-9a-z]+ ([0-9]+) ([0-9]+) (clause) and", "", 2, 1.0),
     ("license", "", 1, 0.7),
     ("", "license", 1, 0.8),
     ("", "licence", 1, 0.8),
@@ -95,6 +103,34 @@ STATEMENTS = (
     ("(in) (the) public domain", "public-domain", 0, 0.5),
     ("permission is hereby granted free of charge", "mit", 2, 0.9),
     ("redistribution and use in source and binary forms", "bsd", 2, 0.9),
+    ("names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause", 2, 0.95),
+    ("used to endorse or promote products derived from this software", "bsd-3-clause", 1, 0.8),
+    ("advertising materials mentioning features or use of this software must display the following acknowledgement (this) (product) (includes) (software) (developed) (by) (the) copyright", "bsd-4-clause", 2, 0.9),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd-3-clause", 2, 0.95),
+    ("you may not use this file except in compliance with the license", "apache-2.0", 2, 0.9),
+    ("gnu general public license as published by the free software foundation (either) version 1", "gpl-1.0", 3, 0.95),
+    ("gnu general public license as published by the free software foundation (either) version 2", "gpl-2.0", 3, 0.95),
+    ("gnu general public license as published by the free software foundation (either) version 3", "gpl-3.0", 3, 0.95),
+    ("gnu lesser general public license as published by the free software foundation (either) version 2 1", "lgpl-2.1", 3, 0.95),
+    ("gnu lesser general public license as published by the free software foundation (either) version 3", "lgpl-3.0", 3, 0.95),
+    ("gnu affero general public license as published by the free software foundation (either) version 3", "agpl-3.0", 3, 0.95),
+    ("version 2 of the license or (at) (your) (option) any later version", "gpl-2.0-or-later", 1, 0.7),
+    ("version 3 of the license or (at) (your) (option) any later version", "gpl-3.0-or-later", 1, 0.7),
+    ("gpl 2( 0) or later", "gpl-2.0-or-later", 2, 0.9),
+    ("gpl 3( 0) or later", "gpl-3.0-or-later", 2, 0.9),
+    ("lgpl 2 1 or later", "lgpl-2.1-or-later", 2, 0.9),
+    ("lgpl 3( 0) or later", "lgpl-3.0-or-later", 2, 0.9),
+    ("agpl 3( 0) or later", "agpl-3.0-or-later", 2, 0.9),
+    ("gpl 2( 0) only", "gpl-2.0-only", 2, 0.9),
+    ("gpl 3( 0) only", "gpl-3.0-only", 2, 0.9),
+    ("free and unencumbered software released into the public domain", "unlicense", 2, 0.95),
+    ("waived all copyright and related or neighboring rights", "cc0-1.0", 2, 0.95),
+    ("subject to the terms of the mozilla public license v (version) 2 0", "mpl-2.0", 3, 0.95),
+    ("accompanying materials are made available under the terms of the eclipse public license v2 0", "epl-2.0", 3, 0.95),
+    ("accompanying materials are made available under the terms of the eclipse public license v1 0", "epl-1.0", 3, 0.95),
+    ("provided as is without any express or implied warranty in no event will the authors be held liable", "zlib", 2, 0.8),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose", "hpnd", 2, 0.8),
+    ("the above copyright notice and this permission notice shall be included in all copies", "mit", 2, 0.9),
     ("permission to use copy modify and or distribute this software", "isc", 2, 0.9),
     ("without warranty of any kind", "no-warranty", 0, 0.3),
     ("gnu general public license", "gpl", 1, 0.8),
