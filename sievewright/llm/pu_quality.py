@@ -9,15 +9,18 @@ of the other class take no part in fitting.
 
 The prior is estimated from P and U alone: a first network is fitted to tell P from U, and the
 share of U above a score over that of P above it, lessened least, bounds the prior from above
-(best bin); the bound is taken on rows that the first fit did not see.
+(best bin); the bound is taken on texts that the first fit did not see, which for U are all texts
+outside its sample, scored and counted where they lie.
 
-Fitting uses at most ``fit_rows`` positives and as many unlabelled texts, those of least hash of
-their id; scoring covers every row. The measures are language-blind counts: neither id, nor
+The gradient steps draw on at most ``fit_rows`` positives and as many unlabelled texts, those of
+least hash of their id; the prior and the scores cover every row. The measures are language-blind counts: neither id, nor
 language, source or label enters a score.
 
 Defined results: a null or empty text has all measures 0 and is scored like any other; rows
 repeat as they come; a null id counts as remainder null, which is not held out, and finds no
-label; without any positive every score is 0.5; other columns are ignored.
+label; without any positive every score is 0.5; with one positive or one unlabelled text there is
+nothing to bound the prior with, and it is 0.5; equal scores reach a cut alike; very long texts are
+measured whole; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,46 +190,82 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int = 0) -> Networ
     return net
 
 
+def _cuts(s_p: np.ndarray) -> np.ndarray:
+    """Scores to bound the prior at: quantiles of the scores of positives that the fit did not see."""
+    return np.unique(np.quantile(s_p, np.linspace(0, 0.9, 91)))
+
+
+def best_bin(s_p: np.ndarray, cut: np.ndarray, above: np.ndarray, n_u: int) -> float:
+    """The least bound on the share of positives in U, of which ``above`` texts of ``n_u`` reach each cut."""
+    q_p = 1 - np.searchsorted(np.sort(s_p), cut) / len(s_p)
+    q_u = above / n_u
+    slack = np.sqrt(np.log(20) / 2) * (len(s_p) ** -0.5 + n_u**-0.5)
+    best = int(np.argmin((q_u + slack) / q_p))
+    return float(np.clip(q_u[best] / q_p[best], 1 / (n_u + 1), 1))
+
+
+def _above(scores: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    return len(scores) - np.searchsorted(np.sort(scores), cut)
+
+
 def estimate_prior(x_p: np.ndarray, x_u: np.ndarray, seed: int = 0) -> float:
     """Best-bin estimate of the share of positives in U, from rows that the fit did not see."""
     a, b = len(x_p) // 2, len(x_u) // 2
-    if a < 20 or b < 20:
-        return 0.5
     net = fit(x_p[:a], x_u[:b], 0.5, seed)
-    s_p, s_u = np.sort(net.score(x_p[a:])), np.sort(net.score(x_u[b:]))
-    cut = np.unique(np.quantile(s_p, np.linspace(0, 0.9, 91)))
-    q_p = 1 - np.searchsorted(s_p, cut) / len(s_p)
-    q_u = 1 - np.searchsorted(s_u, cut) / len(s_u)
-    slack = np.sqrt(np.log(20) / 2) * (len(s_p) ** -0.5 + len(s_u) ** -0.5)
-    best = int(np.argmin((q_u + slack) / np.maximum(q_p, 1e-9)))
-    return float(np.clip(q_u[best] / max(q_p[best], 1e-9), 0.05, 0.95))
+    s_p, s_u = net.score(x_p[a:]), net.score(x_u[b:])
+    cut = _cuts(s_p)
+    return best_bin(s_p, cut, _above(s_u, cut), len(s_u))
+
+
+def counts_above(docs: DataFrame, net: Network, cut: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all texts of ``docs`` reach each cut, and how many there are; a task sends one row a cut."""
+
+    def run(batches):
+        total = np.zeros(len(cut) + 1, np.int64)
+        for batch, words in chunks(batches, 1):
+            total += np.r_[_above(net.score(measures(words)), cut), len(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["at", "n"])
+
+    found = docs.select("doc_id", text_of("text").alias("t")).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(len(cut) + 1, np.int64)
+    for r in found:
+        n[r["at"]] = r["n"]
+    return n[:-1], int(n[-1])
 
 
-def _sample(rows: DataFrame, limit: int) -> np.ndarray:
-    """Measures of the ``limit`` rows of least hash of their id."""
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
-    return np.array(picked["x"].tolist(), float).reshape(len(picked), len(NAMES))
+def _sample(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ids and measures of the ``limit`` rows of least hash of their id, in that order."""
+    h = F.xxhash64("doc_id").alias("h")
+    picked = rows.select("doc_id", "x", h).orderBy("h", "doc_id").limit(limit).toPandas()
+    return picked["h"].to_numpy(np.int64), np.array(picked["x"].tolist(), float).reshape(len(picked), len(NAMES))
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5, held_out: int = 0):
     """The network and the estimated prior from documents outside the held-out fold.
 
-    Unlabelled texts are those without a trusted positive label; their labels, if any, are not read.
+    Unlabelled texts are all of these, trusted or not: the corpus whose prior is sought. Labels of
+    the other class are not read.
     """
-    rows = docs.select("doc_id", "text").filter((bucket("doc_id", folds) != held_out) & F.col("doc_id").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter((bucket("doc_id", folds) != held_out) & F.col("doc_id").isNotNull())
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
     # at most fit_rows ids of 8 bytes: small enough to broadcast whatever the tables hold
     chosen = lambda ids: F.broadcast(ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     positive = with_measures(rows.join(chosen(rows.join(trusted, "doc_id", "left_semi")), "doc_id", "left_semi"))
-    # a share of all rows, trusted or not: the text whose prior is sought
     unlabelled = with_measures(rows.join(chosen(rows), "doc_id", "left_semi"))
-    x_p, x_u = _sample(positive, fit_rows), _sample(unlabelled, fit_rows)
+    (_, x_p), (h_u, x_u) = _sample(positive, fit_rows), _sample(unlabelled, fit_rows)
     if not len(x_p) or not len(x_u):
         return None, 0.5
     rng = np.random.default_rng(5)
-    x_p, x_u = x_p[rng.permutation(len(x_p))], x_u[rng.permutation(len(x_u))]
-    prior = estimate_prior(x_p, x_u)
-    return fit(x_p, x_u, prior), prior
+    x_p = x_p[rng.permutation(len(x_p))]
+    prior, a, b = 0.5, len(x_p) // 2, len(x_u) // 2
+    if a and b:
+        net = fit(x_p[:a], x_u[:b], 0.5)
+        s_p = net.score(x_p[a:])
+        cut = _cuts(s_p)
+        # the fit saw the texts of least hash: all others bound the prior
+        above, n_u = counts_above(rows.filter(F.xxhash64("doc_id") > int(h_u[b - 1])), net, cut)
+        prior = best_bin(s_p, cut, above, n_u) if n_u else prior
+    return fit(x_p, x_u[rng.permutation(len(x_u))], prior), prior
 
 
 def score_quality(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:

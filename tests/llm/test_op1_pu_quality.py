@@ -44,6 +44,20 @@ def test_prior_and_risk():
         assert ((net.score(test) > 0.5) == truth).mean() > 0.95
 
 
+def test_prior_counts_every_unlabelled_text_beyond_the_sample(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    net, prior = pu_quality.fit_quality(spark, docs, labels, fit_rows=400)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    shares = [quality[r.doc_id] for r in docs.select("doc_id").collect() if r.doc_id in quality]
+    assert abs(prior - np.mean(shares)) < 0.1
+    cut = np.array([0.1, 0.5, 0.9])
+    above, n = pu_quality.counts_above(docs, net, cut)
+    scores = np.array([r.score for r in pu_quality.score_quality(docs, net).collect()])
+    assert n == len(scores) and above.tolist() == [(scores >= c).sum() for c in cut]
+    assert pu_quality.counts_above(docs.limit(0), net, cut)[1] == 0
+
+
 def test_slopes_are_the_gradient_of_the_risk():
     rng = np.random.default_rng(1)
     f_p, f_u = rng.normal(size=7), rng.normal(size=9) + 1
