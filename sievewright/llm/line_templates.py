@@ -5,15 +5,18 @@ which a token with a digit counts as a variable. Within a leaf, a token at a lat
 constant if enough documents have it there, and a variable otherwise; the line's template is its
 constants with a mark for each variable, provided that enough of it is constant. Templates that
 recur in ``min_docs`` documents are boilerplate: the line goes from every document but the one of
-least id, which keeps it, so that no text is lost altogether.
+least id, which keeps it, so that no text is lost altogether. A line without variable fields needs
+less evidence: of ``long_tokens`` tokens or more, the same in ``min_copies`` documents, it goes alike.
 
 The tree is built for all lines at once instead of line by line, hence independently of their
-order, in three passes that count documents: leaves, tokens in the leaves that recur, templates.
+order, in passes that count documents: leaves, tokens in the leaves that recur, templates, and long
+lines as they are.
 Counts are reduced in each task and then by range of a hash, so a line of every document costs
 one entry a task; what a pass looks up lies in sorted arrays in the shared folder, memory-mapped.
 
 Defined results: null and empty texts have one line without tokens, which stays; lines with less
-than ``MIN_TOKENS`` tokens always stay; documents with equal ids that hold the least id both keep
+than ``MIN_TOKENS`` tokens always stay (a brace or a heading of one word is no boilerplate); very long
+lines and texts are taken whole; lines that differ in white space only are the same; documents with equal ids that hold the least id both keep
 the line; a null id counts as greater than any other; other columns pass through unchanged.
 """
 
@@ -30,6 +33,7 @@ from .common import shared_folder, text_of
 from .wordhash import U64, SortedHashes, Words, chunks, find_unsorted, mix, pack, pack_values, range_count, ranges, sizes_of, unpack, unpack_values
 
 DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT_SHARE = 3, 3, 10, 0.7
+LONG_TOKENS, MIN_COPIES = 20, 2
 HELD = 2_000_000
 NONE = np.iinfo(np.int64).max
 _VARIABLE = U64(0x2545F4914F6CDD1D)
@@ -40,6 +44,9 @@ _STEP = U64(0x9FB21C651E98DF25)
 class Rules:
     min_docs: int = MIN_DOCS
     constant_share: float = CONSTANT_SHARE
+    long_tokens: int | None = LONG_TOKENS
+    """None: templates only."""
+    min_copies: int = MIN_COPIES
 
 
 class Lines:
@@ -63,6 +70,16 @@ class Lines:
         for k in range(DEPTH):
             leaf = leaf * _STEP + self.tokens[self.first[self.at] + k]
         self.leaf = mix(leaf)
+        self.words = words.hashes
+
+    def long(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lines of ``least`` tokens or more, and their keys: all tokens, digits included, in order."""
+        lines = np.flatnonzero(self.n >= least)
+        n = self.n[lines]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        token = mix(self.words[np.repeat(self.first[lines], n) + k] + mix((k + 1).astype(U64)))
+        total = np.add.reduceat(token, np.cumsum(n) - n) if len(n) else np.zeros(0, U64)
+        return lines, mix(total * _STEP + n.astype(U64))
 
     def places(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For lines ``of`` (places of ``at``): the tokens after the leading ones, as their line and key."""
@@ -125,7 +142,7 @@ BLOBS = "part int, keys binary, counts binary, ids binary"
 
 
 def send(stage: int, tables: list[SortedHashes], rules: Rules, parts: int):
-    """Per task: keys of leaves (0), tokens (1) or templates (2) with their numbers of documents and least ids."""
+    """Per task: keys of leaves (0), tokens (1), templates (2) or long lines (3) with their numbers of documents and least ids."""
 
     def flush(held):
         keys, counts, ids = map(np.concatenate, zip(*held))
@@ -147,7 +164,7 @@ def send(stage: int, tables: list[SortedHashes], rules: Rules, parts: int):
                 row, keys = lines.places(of)
                 docs = lines.doc[lines.at[of]][row]
             else:
-                at, keys = tree.templates(lines)
+                at, keys = tree.templates(lines) if stage == 2 else lines.long(rules.long_tokens)
                 docs = lines.doc[at]
             ids = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)[docs]
             own, counts = by_documents(keys, docs)
@@ -188,10 +205,10 @@ def build(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), id_col:
     volume = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = range_count(volume // 40, HELD, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tables: list[SortedHashes] = []
-    for stage in range(3):
+    for stage in range(3 if rules.long_tokens is None else 4):
         folder = shared_folder(spark, f"lines{stage}")
         sent = rows.mapInArrow(send(stage, list(tables), rules, parts), BLOBS).repartitionById(parts, F.col("part"))
-        sizes = sizes_of(sent.mapInArrow(store(folder, rules.min_docs), "part int, n long").collect(), parts)  # one row a range
+        sizes = sizes_of(sent.mapInArrow(store(folder, rules.min_docs if stage < 3 else rules.min_copies), "part int, n long").collect(), parts)  # one row a range
         tables.append(SortedHashes(folder, sizes, {"key": "<u8", "doc": "<i8"}))
     return Tree(tables, rules)
 
@@ -199,10 +216,11 @@ def build(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), id_col:
 def dropped(tree: Tree, words: Words, ids: np.ndarray) -> tuple[Lines, np.ndarray]:
     """The lines of a chunk and which of them go."""
     lines = Lines(words)
-    at, keys = tree.templates(lines)
-    there, found = find_unsorted(tree.tables[2], keys)
     go = np.zeros(len(lines.starts), bool)
-    go[at] = there & (found["doc"] < ids[lines.doc[at]])
+    kinds = [tree.templates(lines)] if tree.rules.long_tokens is None else [tree.templates(lines), lines.long(tree.rules.long_tokens)]
+    for table, (at, keys) in zip(tree.tables[2:], kinds):
+        there, found = find_unsorted(table, keys)
+        go[at] |= there & (found["doc"] < ids[lines.doc[at]])
     return lines, go
 
 
@@ -243,10 +261,14 @@ def without_templates(spark: SparkSession, docs: DataFrame, rules: Rules = Rules
 def oracle_sql(rules: Rules = Rules()) -> str:
     """The dedup of ``documents`` as DuckDB SQL, with lines, leaves and templates as rows."""
     words = "list_filter(string_split_regex(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+    same = union = ""
+    if rules.long_tokens is not None:
+        same = f"copies AS (SELECT raw, min(doc_id) AS first FROM tokens WHERE len(w) >= {rules.long_tokens} GROUP BY raw HAVING count(DISTINCT rid) >= {rules.min_copies}),\n"
+        union = " UNION SELECT rid, no FROM tokens JOIN copies USING (raw) WHERE first < doc_id"
     return f"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM texts),
-tokens AS (SELECT rid, doc_id, no, list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines),
+tokens AS (SELECT rid, doc_id, no, array_to_string({words}, ' ') AS raw, list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines),
 leaves AS (SELECT *, len(w) AS n, len(w) || '|' || array_to_string(w[1:{DEPTH}], ' ') AS leaf FROM tokens WHERE len(w) >= {MIN_TOKENS}),
 often AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT rid) >= {rules.min_docs}),
 inside AS (SELECT leaves.* FROM leaves JOIN often USING (leaf)),
@@ -255,6 +277,6 @@ constants AS (SELECT leaf, i, x, true AS fixed FROM places GROUP BY leaf, i, x H
 masks AS (SELECT rid, no, string_agg(CASE WHEN fixed THEN x ELSE chr(1) END, ' ' ORDER BY i) AS mask, count(fixed) AS c FROM places LEFT JOIN constants USING (leaf, i, x) GROUP BY rid, no),
 templates AS (SELECT rid, doc_id, no, leaf || '#' || coalesce(mask, '') AS template FROM inside LEFT JOIN masks USING (rid, no) WHERE {DEPTH} + coalesce(c, 0) >= {rules.constant_share} * n),
 recurring AS (SELECT template, min(doc_id) AS first FROM templates GROUP BY template HAVING count(DISTINCT rid) >= {rules.min_docs}),
-gone AS (SELECT rid, no, true AS g FROM templates JOIN recurring USING (template) WHERE first < doc_id)
+{same}gone AS (SELECT rid, no, true AS g FROM (SELECT rid, no FROM templates JOIN recurring USING (template) WHERE first < doc_id{union}))
 SELECT doc_id, count(*) AS n_lines, count(g) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (g IS NULL), '') AS text
 FROM lines LEFT JOIN gone USING (rid, no) GROUP BY rid, doc_id"""
