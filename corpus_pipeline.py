@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import cut, read, shared_folder
-from sievewright.llm.line_templates import without_templates
+from sievewright.llm.line_templates import Rules, without_templates
 from sievewright.llm.pieces import segment
 from sievewright.llm.pu_quality import fit_quality, keep_quality
 from sievewright.llm.qgram import decontaminate
@@ -27,8 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates; n_chars, where there is one, follows the text."""
-    out = without_templates(spark, docs)
+    """All documents, without the lines of recurring templates; n_chars, where there is one, follows the text.
+
+    Templates only: without the long lines that two documents share, a near copy would come down to the
+    lines it changed, and near-dedup could no longer tell what it is a copy of.
+    """
+    out = without_templates(spark, docs, Rules(long_tokens=None))
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
