@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, sf):
         if k < 4:
             assert out.columns == docs.columns
         if k == 1:
-            rows = [(d, t) for d, _, _, t in brute_lines(rows)]
+            rows = [(d, t) for d, _, _, t in brute_lines(rows, long=None)]
         if k == 2:
             parts = brute_near(rows)
             rows = [(d, t) for d, t in rows if parts[d] == d]
