@@ -216,10 +216,9 @@ def resemblance_components(spark: SparkSession, rows: DataFrame, size: int = SIZ
         first = nodes.join(wanted.distinct(), "node", "left_semi").select("row")
         sets = cut(spark, node_sets(rows.join(first, "row", "left_semi").select("row", "t"), size), "sets")
         x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-        linked = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(threshold), "a long, b long")
+        linked = cut(spark, pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified(threshold), "a long, b long"), "links")
         if kind == "all":
-            linked = linked.union(crowd_links(live, sets, threshold))
-        linked = cut(spark, linked, "links")
+            linked = linked.union(cut(spark, crowd_links(live, sets, threshold), "crowds"))
         edges = linked if edges is None else edges.union(linked)
         roots = components(spark, edges)
     return marked.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("component"))
