@@ -18,7 +18,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is worked on alone, whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20_240_229)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
