@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, license_scan, line_templates, prefix_trie, qgram, quality_rules, recompression, wavelet
+from . import centroids, license_scan, line_templates, mtree, prefix_trie, qgram, quality_rules, recompression, wavelet
 from .common import read
 from .kneser_ney import lm_scores
 from .pieces import segment
@@ -66,9 +66,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(spark, read(spark, sf_dir, "embeddings"), k=40, rounds=5)
 
 
+def op13_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_scores(spark, read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pu_quality, op2_line_dedup, op3_license_scan, op4_benchmark_leaks, op5_pieces, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash, op11_prefix_trie, op12_centroids)
+    for f in (op1_pu_quality, op2_line_dedup, op3_license_scan, op4_benchmark_leaks, op5_pieces, op6_quality_rules, op7_token_shards, op8_lm_scores, op9_substring_dedup, op10_simhash, op11_prefix_trie, op12_centroids, op13_mtree)
 }
 
 ORACLE: dict[str, str] = {
@@ -78,4 +82,5 @@ ORACLE: dict[str, str] = {
     "op9_substring_dedup": recompression.oracle_sql(),
     "op11_prefix_trie": prefix_trie.oracle_sql(),
     "op12_centroids": centroids.oracle_sql(),
+    "op13_mtree": mtree.oracle_sql(),
 }
