@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Callable
@@ -94,6 +95,22 @@ def images(spark: SparkSession, path, content: bool = False) -> DataFrame:
     return rows.select(*kept, *(["content"] if content else [])).orderBy("path")
 
 
+@reader("image_folder")
+def image_folder(spark: SparkSession, path, max_images: int | None = None) -> DataFrame:
+    """Images below a folder with the labels of its dataset.json, by path relative to the folder; at most ``max_images`` in lexical order."""
+    top = path.rstrip("/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    place = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    root = "/" + re.sub("^[a-z]+:/+", "", top).lstrip("/") + "/"
+    images = rows.filter(F.rlike("path", F.lit(r"(?i)\.(jpg|jpeg|png)$"))).select(F.substring(place, F.lit(len(root) + 1), F.length(place)).alias("name"), "content")
+    if max_images is not None:
+        images = images.orderBy("name").limit(max_images)
+    meta = rows.filter(F.endswith("path", F.lit("/dataset.json")) & (F.length(place) == len(root) + len("dataset.json")))
+    pairs = F.explode(F.from_json(F.col("content").cast("string"), "labels array<array<string>>")["labels"])
+    labels = meta.select(pairs.alias("p")).select(F.col("p")[0].alias("name"), F.col("p")[1].cast("int").alias("label"))
+    return images.join(labels, "name", "left").select("name", "content", "label")
+
+
 @reader("metric_lines")
 def metric_lines(spark: SparkSession, path, schema: str) -> DataFrame:
     """JSON objects among other lines of logs; lines that are none are ignored."""
