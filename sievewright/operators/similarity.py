@@ -1,30 +1,26 @@
-"""Nearest neighbours and similarity joins under Hamming and cosine distance.
-
-A band join finds all pairs within a Hamming distance t without comparing all rows: 64 bits fall
-into t + 1 bands, and of two hashes within t bits one band at least is equal. Beyond ``BANDED`` bits
-bands would be so narrow that their candidates outnumber all pairs; there the hashes are compared in
-blocks inside the tasks, and only pairs within the distance become rows. Nearest-neighbour
-searches compare a stated query set with all rows. The queries go to the tasks as matrices of at
-most ``BLOCK_ROWS`` rows, whose number is measured first; a task multiplies each Arrow batch with a
-matrix and keeps the least distance of every query, so no pair is ever a row.
+"""Similarity joins and nearest neighbours under Hamming and cosine distance.
+
+A band join finds all pairs within a Hamming distance t without comparing all rows. Up to ``BANDED``
+bits, 64 bits fall into t + 1 bands, of which one at least is equal. Up to ``ERRORS`` bits, they fall into
+four bands of 16 bits, and one of them differs by a quarter of t at most: one side sends every band with
+up to so many bits turned, the other as it is. Wider limits would send more candidates than there are
+pairs; there, and for nearest neighbours, rows are compared block against block (``neighbours``).
+All of it goes by shuffle; the driver sees no row but the bounded sample that cells are made of.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine_distance, hamming
+from ..functions.scalars import hamming
+from . import neighbours
 
 BROADCAST_ROWS = 50_000
-#: Widest limit of the band join: bands of eight bits.
-BANDED = 7
-#: Queries of a block, and base rows that are multiplied with them at once.
-BLOCK_ROWS, BASE_ROWS = 8192, 1024
+#: Widest limits of the band joins: bands of eight bits, and two turned bits in one of four bands.
+BANDED, ERRORS = 7, 11
 
 
 def bands(column: Column, limit: int) -> list[Column]:
@@ -37,121 +33,42 @@ def bands(column: Column, limit: int) -> list[Column]:
     return found
 
 
-def _within(ids: np.ndarray, hashes: np.ndarray, limit: int):
-    """For mapInArrow over (right_id, right_hash): its pairs with a block of the left side within ``limit`` bits."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), BASE_ROWS):
-                some = batch.slice(at, BASE_ROWS)
-                distance = np.bitwise_count(_bits(some.column(1))[:, None] ^ hashes[None, :])
-                right, own = np.nonzero(distance <= limit)
-                columns = [pa.array(ids[own]), some.column(0).take(pa.array(right)).cast(pa.int64()), pa.array(distance[right, own], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["left_id", "right_id", "distance"])
-
-    return run
-
-
-def _compared(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
-    left, right = left.dropna(), right.dropna()
-    count = max(1, -(-left.count() // BLOCK_ROWS))
-    out = []
-    for b in range(count):
-        block = left.filter(F.pmod(F.xxhash64("id"), F.lit(count)) == b).toArrow()
-        ids, hashes = block.column(0).to_numpy().astype(np.int64), _bits(block.column(1).combine_chunks())
-        out.append(right.mapInArrow(_within(ids, hashes, limit), "left_id long, right_id long, distance int"))
-    return reduce(DataFrame.unionAll, out)
+def turned(width: int, errors: int) -> list[int]:
+    """All masks of ``width`` bits with at most ``errors`` set."""
+    return [sum(1 << i for i in c) for e in range(errors + 1) for c in combinations(range(width), e)]
 
 
 def hamming_join(left: DataFrame, right: DataFrame, limit: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
-    """Rows (left_id, right_id, distance) of all pairs within ``limit`` bits, each once."""
-    if limit > BANDED:
-        return _compared(*(df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash")) for df in (left, right)), limit).distinct()
-
-    def banded(df: DataFrame, side: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(k).alias("band"), b.alias("value")) for k, b in enumerate(bands(F.col(hash_col), limit))])
-        return df.select(F.col(id_col).alias(f"{side}_id"), F.col(hash_col).alias(f"{side}_hash"), F.explode(keys).alias("k")).select(f"{side}_id", f"{side}_hash", "k.band", "k.value")
-
-    pairs = banded(left, "left").join(banded(right, "right"), ["band", "value"])
+    """Rows (left_id, right_id, distance) of all pairs within ``limit`` bits, each once; rows of null hash have none."""
+    if limit > ERRORS:
+        found = neighbours.pairs_within(left, right, hash_col, "hamming", limit, id_col)
+        return found.select(F.col("query_id").alias("left_id"), F.col("base_id").alias("right_id"), F.col("distance").cast("int").alias("distance")).distinct()
+    n = limit + 1 if limit <= BANDED else 4
+    masks = [0] if limit <= BANDED else turned(16, limit // 4)
+
+    def banded(df: DataFrame, side: str, masks: list[int]) -> DataFrame:
+        rows = df.select(F.col(id_col).alias(f"{side}_id"), F.col(hash_col).alias(f"{side}_hash")).filter(F.col(f"{side}_hash").isNotNull())
+        keys = F.array(*[F.struct(F.lit(k).alias("band"), b.alias("value")) for k, b in enumerate(bands(F.col(f"{side}_hash"), n - 1))])
+        rows = rows.select(f"{side}_id", f"{side}_hash", F.explode(keys).alias("k"))
+        if len(masks) == 1:
+            return rows.select(f"{side}_id", f"{side}_hash", "k.band", "k.value")
+        wrong = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("k.value").bitwiseXOR(m))
+        return rows.select(f"{side}_id", f"{side}_hash", "k.band", F.explode(wrong).alias("value"))
+
+    pairs = banded(left, "left", masks).join(banded(right, "right", [0]), ["band", "value"])
     near = pairs.withColumn("distance", hamming(F.col("left_hash"), F.col("right_hash"))).filter(F.col("distance") <= limit)
     return near.select("left_id", "right_id", "distance").distinct()
 
 
-def _nearest(queries: DataFrame, base: DataFrame, distance: Column, k: int) -> DataFrame:
-    """For each query the base row of least distance, the lower id first."""
-    n = queries.count()
-    count = max(1, -(-n // BROADCAST_ROWS))
-    parts = [queries] if count == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b) for b in range(count)]
-    out = []
-    for part in parts:
-        pairs = base.join(F.broadcast(part), F.col("base_group").eqNullSafe(F.col("query_group")), "inner")
-        out.append(pairs.groupBy("query_id").agg(F.min(F.struct(distance.alias("distance"), F.col("base_id"))).alias("m")).select("query_id", "m.base_id", "m.distance"))
-    return reduce(DataFrame.unionAll, out)
-
-
-def _unit(column: pa.Array) -> np.ndarray:
-    """Rows of a column of vectors, scaled to length one; a norm counts as 1e-12 at least."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
-
-
-def _bits(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-
-
-def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    if x.ndim == 1:
-        return np.bitwise_count(x[:, None] ^ q[None, :]).astype(float)
-    return np.round(1 - x @ q.T, 9)
-
-
-def _least(ids: np.ndarray, matrix: np.ndarray, read):
-    """For mapInArrow over (base_id, base_value): the least (distance, base_id) of every query of a block."""
-
-    def run(batches):
-        best, first = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), BASE_ROWS):
-                some = batch.slice(at, BASE_ROWS)
-                base = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(base)
-                d = _distances(read(some.column(1))[order], matrix)
-                own = d.argmin(axis=0)
-                d, own = d[own, np.arange(len(ids))], base[order][own]
-                better = (d < best) | ((d == best) & (own < first))
-                best[better], first[better] = d[better], own[better]
-        there = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(first[there]), pa.array(best[there])], ["query_id", "base_id", "distance"])
-
-    return run
-
-
-def _nearest_of_all(queries: DataFrame, base: DataFrame, metric: str) -> DataFrame:
-    """For each query the base row of least distance, the lower id first; rows of null id or value have none."""
-    read = _bits if metric == "hamming" else _unit
-    queries, base = (df.dropna() for df in (queries, base))
-    count = max(1, -(-queries.count() // BLOCK_ROWS))
-    out = []
-    for b in range(count):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).toArrow()
-        ids = block.column(0).to_numpy().astype(np.int64)
-        matrix = read(block.column(1).combine_chunks())
-        if len(ids):
-            out.append(base.mapInArrow(_least(ids, matrix, read), "query_id long, base_id long, distance double"))
-    if not out:
-        return queries.sparkSession.createDataFrame([], "query_id long, base_id long, distance double")
-    m = F.min(F.struct("distance", "base_id")).alias("m")
-    kind = "int" if metric == "hamming" else "double"
-    return reduce(DataFrame.unionAll, out).groupBy("query_id").agg(m).select("query_id", "m.base_id", F.col("m.distance").cast(kind).alias("distance"))
+def near_rows(left: DataFrame, right: DataFrame, limit: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
+    """The ids (id) of ``left`` that have a row of ``right`` within ``limit`` bits, each once; copies are not expanded into pairs."""
+    if limit > ERRORS:
+        return neighbours.with_neighbour(left, right, hash_col, "hamming", limit, id_col).select(F.col("query_id").alias(id_col))
+    distinct = right.groupBy(hash_col).agg(F.min(id_col).alias(id_col))
+    return hamming_join(left, distinct, limit, id_col, hash_col).select(F.col("left_id").alias(id_col)).distinct()
 
 
 def nearest(queries: DataFrame, base: DataFrame, value: str, metric: str, id_col: str = "id", group: str | None = None) -> DataFrame:
     """Rows (query_id, base_id, distance): nearest base row by ``hamming`` or ``cosine``, within a group if named."""
-    if not group:
-        return _nearest_of_all(queries.select(F.col(id_col).alias("query_id"), F.col(value).alias("query_value")), base.select(F.col(id_col).alias("base_id"), F.col(value).alias("base_value")), metric)
-    g = F.col(group)
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(value).alias("query_value"), g.alias("query_group"))
-    b = base.select(F.col(id_col).alias("base_id"), F.col(value).alias("base_value"), g.alias("base_group"))
-    of = {"hamming": hamming, "cosine": lambda x, y: F.round(cosine_distance(x, y), 9)}[metric]
-    return _nearest(q, b, of(F.col("query_value"), F.col("base_value")), 1)
+    kind = "int" if metric == "hamming" else "double"
+    return neighbours.nearest_k(queries, base, value, metric, 1, id_col, group).select("query_id", "base_id", F.col("distance").cast(kind).alias("distance"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import content_hash, let
-from ..operators import relational, similarity
+from ..functions.scalars import content_hash, let, sign_hash
+from ..operators import neighbours, relational, similarity
 from ..session import table
+from ..shared import kept
 from .inputs import COSINE, HAMMING, VECTORS, hashes, vectors
 from .register import Register
 
@@ -171,18 +172,42 @@ def hamming_band_join(spark, sf):
     return similarity.hamming_join(h, h, LIMIT).filter("left_id < right_id")
 
 
+_RECODED = VECTORS + """,
+recoded AS (SELECT id, list_transform(c, lambda x: x > list_aggregate(c, 'median')) AS bits FROM (SELECT id, list_transform(e, lambda x: floor(x * 32) / 32) AS c FROM vectors))"""
+
+
+def _recoded_sql(limit: int) -> str:
+    return f"WITH {_RECODED} SELECT a.id AS left_id, b.id AS right_id, {HAMMING} AS distance FROM hashes a JOIN recoded b ON {HAMMING} <= {limit}"
+
+
+def _recoded(spark, sf):
+    """Hashes of the vectors, and of the same vectors with coarser components, as a stored copy has them."""
+    coarse = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 32) / 32)
+    return hashes(spark, sf).select("id", "hash"), vectors(spark, sf).select("id", sign_hash(coarse).alias("hash"))
+
+
+@query(_recoded_sql(7))
+def hamming_recoded(spark, sf):
+    """Vectors found again among their coarser copies, by bands that must be equal."""
+    return similarity.hamming_join(*_recoded(spark, sf), 7)
+
+
+@query(_recoded_sql(11))
+def hamming_recoded_wide(spark, sf):
+    """The same within 11 bits, by bands of which one may have two wrong bits."""
+    return similarity.hamming_join(*_recoded(spark, sf), 11)
+
+
 @query(f"WITH {VECTORS} SELECT a.id, a.combo FROM hashes a WHERE NOT a.is_real AND NOT EXISTS (SELECT 1 FROM hashes b WHERE b.is_real AND {HAMMING} <= {LIMIT})")
 def hamming_anti(spark, sf):
     h = hashes(spark, sf)
-    near = similarity.hamming_join(h.filter("not is_real"), h.filter("is_real"), LIMIT)
-    return relational.without(h.filter("not is_real").select("id", "combo"), near.select(F.col("left_id").alias("id")), "id")
+    return relational.without(h.filter("not is_real").select("id", "combo"), similarity.near_rows(h.filter("not is_real"), h.filter("is_real"), LIMIT), "id")
 
 
 @query(f"WITH {VECTORS} SELECT a.id, a.combo FROM hashes a WHERE NOT a.is_real AND EXISTS (SELECT 1 FROM hashes b WHERE b.is_real AND {HAMMING} <= {LIMIT})")
 def hamming_semi(spark, sf):
     h = hashes(spark, sf)
-    near = similarity.hamming_join(h.filter("not is_real"), h.filter("is_real"), LIMIT)
-    return relational.only(h.filter("not is_real").select("id", "combo"), near.select(F.col("left_id").alias("id")), "id")
+    return relational.only(h.filter("not is_real").select("id", "combo"), similarity.near_rows(h.filter("not is_real"), h.filter("is_real"), LIMIT), "id")
 
 
 @query(
@@ -191,15 +216,9 @@ def hamming_semi(spark, sf):
 )
 def kth_neighbour(spark, sf):
     """Distance to the third neighbour within the side and group, itself counted first."""
-    from pyspark.sql import Window
-
-    from ..functions.scalars import euclidean
-
-    v = vectors(spark, sf).select("id", "combo", "is_real", "embedding")
-    pairs = v.join(v.select(F.col("id").alias("other"), "combo", "is_real", F.col("embedding").alias("e")), ["combo", "is_real"])
-    d = pairs.select("id", "other", "is_real", F.round(euclidean(F.col("embedding"), F.col("e")), 9).alias("kth"))
-    w = Window.partitionBy("id").orderBy("kth", "other")
-    return d.withColumn("rn", F.row_number().over(w)).filter("rn = 4").select("id", "is_real", "kth")
+    v = vectors(spark, sf).withColumn("side", F.concat_ws("/", F.col("combo").cast("string"), F.col("is_real").cast("string")))
+    near = neighbours.nearest_k(v, v, "embedding", "euclid", k=4, group="side").filter("rank = 4")
+    return v.select("id", "is_real").join(near, v["id"] == near["query_id"]).select("id", "is_real", F.col("distance").alias("kth"))
 
 
 @query(
@@ -210,12 +229,11 @@ def kth_neighbour(spark, sf):
 )
 def precision_recall(spark, sf):
     """Share of generated rows inside the real manifold, and the other way round, within groups."""
-    from ..functions.scalars import euclidean
-
     v = vectors(spark, sf)
-    radius = kth_neighbour(spark, sf).select("id", F.col("kth").alias("r"))
-    m = v.join(radius, "id").select("combo", F.col("is_real").alias("side"), "r", F.col("embedding").alias("e"))
-    near = v.join(m, "combo").filter("is_real <> side").select("id", "is_real", (F.round(euclidean(F.col("embedding"), F.col("e")), 9) <= F.col("r")).alias("near"))
-    hit = near.groupBy("id", "is_real").agg(F.max(F.col("near").cast("int")).alias("inside"))
+    m = kept(v.join(kth_neighbour(spark, sf).select("id", "kth"), "id").select("id", "combo", "is_real", "kth", "embedding"), "manifold")
+    both = [neighbours.in_manifold(v.filter(F.col("is_real") == side), m.filter(F.col("is_real") != side), "embedding", "kth", group="combo") for side in (False, True)]
+    hit = both[0].union(both[1]).select(F.col("query_id").alias("id"), F.lit(1).alias("inside"))
+    probed = v.join(m.select("combo", (~F.col("is_real")).alias("is_real")).distinct(), ["combo", "is_real"], "left_semi")
+    rows = probed.join(hit, "id", "left").select("is_real", F.coalesce("inside", F.lit(0)).alias("inside"))
     share = lambda side: F.round(F.avg(F.when(F.col("is_real") == side, F.col("inside"))), 6)
-    return hit.agg(share(False).alias("precision"), share(True).alias("recall"))
+    return rows.agg(share(False).alias("precision"), share(True).alias("recall"))
