@@ -241,6 +241,19 @@ def inside(kind: str, limit: float | None = None):
     return kernel
 
 
+def earlier(kind: str, limit: float):
+    """Kernel: the rows of the left block with a row of the right one of smaller id within ``limit``."""
+
+    def kernel(a: dict, b: dict) -> pa.RecordBatch:
+        (ids, x, _), (other, y, _) = _side(kind, a), _side(kind, b)
+        before = other[None, :] < ids[:, None]
+        d = rough(kind, x, y)
+        r, c = np.nonzero(before & (d <= limit + _wide(kind, d)))
+        return _rows(np.unique(ids[r[exact(kind, x[r], y[c]) <= limit]]))
+
+    return kernel
+
+
 def nearest_k(queries: DataFrame, base: DataFrame, value: str, kind: str, k: int = 1, id_col: str = "id", group: str | None = None) -> DataFrame:
     """Rows (query_id, base_id, distance, rank): the k nearest base rows, within a group if named; ties go to the smaller id."""
     b = blocks(base, value, kind, id_col, group)
@@ -269,20 +282,20 @@ def _merged(found: DataFrame, more: DataFrame, k: int) -> DataFrame:
     return found.union(more).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _close(pairs: DataFrame, kind: str, limit: float) -> DataFrame:
+def close_pairs(pairs: DataFrame, kind: str, limit: float) -> DataFrame:
     return pairs.filter(F.col("gap") - F.col("r") - F.col("s") <= float(reach(kind, limit)))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, value: str, kind: str, limit: float, id_col: str = "id", group: str | None = None) -> DataFrame:
     """Rows (query_id, base_id, distance) of all pairs within ``limit``."""
     a, b = blocks(left, value, kind, id_col, group), blocks(right, value, kind, id_col, group)
-    return compared(_close(block_pairs(a, b, kind), kind, limit), a, b, within(kind, limit), "query_id long, base_id long, distance double")
+    return compared(close_pairs(block_pairs(a, b, kind), kind, limit), a, b, within(kind, limit), "query_id long, base_id long, distance double")
 
 
 def with_neighbour(left: DataFrame, right: DataFrame, value: str, kind: str, limit: float, id_col: str = "id", group: str | None = None) -> DataFrame:
     """The ids of ``left`` (query_id) with a row of ``right`` within ``limit``, each once; no pair is returned."""
     a, b = blocks(left, value, kind, id_col, group), blocks(right, value, kind, id_col, group)
-    return compared(_close(block_pairs(a, b, kind), kind, limit), a, b, inside(kind, limit), "query_id long").distinct()
+    return compared(close_pairs(block_pairs(a, b, kind), kind, limit), a, b, inside(kind, limit), "query_id long").distinct()
 
 
 def in_manifold(probes: DataFrame, manifold: DataFrame, value: str, radius: str, kind: str = "euclid", id_col: str = "id", group: str | None = None) -> DataFrame:

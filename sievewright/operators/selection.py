@@ -1,94 +1,163 @@
 """Outlier gate and diversity selection within groups, and distances between feature sets.
 
-Groups are combinations of a few classes, so their number is small and their size is what one
-generator makes. Linear algebra runs in NumPy over one group at a time; moments of whole sets are
-summed per Arrow batch and merged, so no task holds a set.
+Groups are combinations of a few classes, so their number is small; their size is not. Moments are
+summed per Arrow batch and merged, distances are a map over rows, percentiles come from ranks of ranges
+and the sequential rules from rounds, so no task holds a group.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept, ordinals
+from .neighbours import block_pairs, blocks, centres, close_pairs, compared, earlier, inside
+
+
+@dataclass
+class Geometry:
+    """PCA axes of a group's real rows and the scale of each, by which m² is a squared length."""
+
+    n: int
+    mean: np.ndarray
+    axes: np.ndarray
+    values: np.ndarray
+    scale: np.ndarray | None = None
 
-def shrunk_precision(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse of the Ledoit-Wolf covariance, shrunk towards a multiple of the identity."""
-    mean = x.mean(axis=0)
-    z = x - mean
-    n, d = z.shape
-    cov = z.T @ z / n
-    mu = np.trace(cov) / d
-    delta = ((cov - mu * np.eye(d)) ** 2).sum() / d
-    beta = max(0.0, ((z**2).T @ (z**2) / n - cov**2).sum() / d / n)
-    share = 0.0 if delta == 0 else min(beta, delta) / delta
-    return mean, np.linalg.inv((1 - share) * cov + share * mu * np.eye(d) + 1e-12 * np.eye(d))
+    def coordinates(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ self.axes
 
+    def whitened(self, x: np.ndarray) -> np.ndarray:
+        """Coordinates whose squared length is m²; plain ones where the spread is not positive."""
+        z = self.coordinates(x)
+        return z / np.sqrt(self.scale) if (self.scale > 0).all() else z
 
-def whitened(real: np.ndarray, rows: np.ndarray, components: int = 200) -> np.ndarray:
-    """Rows in the PCA space of the real ones, less their mean and scaled so that m² is the squared length."""
-    centre = real.mean(axis=0)
-    k = max(1, min(len(real) - 1, components, real.shape[1]))
-    axes = np.linalg.svd(real - centre, full_matrices=False)[2][:k]
-    mean, precision = shrunk_precision((real - centre) @ axes.T)
-    d = (rows - centre) @ axes.T - mean
-    try:
-        return d @ np.linalg.cholesky(precision)
-    except np.linalg.LinAlgError:  # not positive definite: plain distances from the mean
-        return d
+    def shrink(self, fourth: float) -> None:
+        """Ledoit-Wolf shrinkage in the axes' space, where the covariance is diagonal; ``fourth`` is the mean of |z|⁴."""
+        d, mu = len(self.values), self.values.mean()
+        delta = ((self.values - mu) ** 2).sum() / d
+        beta = max(0.0, (fourth - (self.values**2).sum()) / d / self.n)
+        share = 0.0 if delta == 0 else min(beta, delta) / delta
+        self.scale = (1 - share) * self.values + share * mu + 1e-12
 
 
-def squared_mahalanobis(real: np.ndarray, rows: np.ndarray, components: int = 200) -> np.ndarray:
-    """m² of rows in the PCA space of the real ones."""
-    return (whitened(real, rows, components) ** 2).sum(axis=1)
+def geometry(n: int, sums: list[float], components: int = 200) -> Geometry:
+    """From the count, sums and sums of products of the real rows."""
+    d = int((np.sqrt(1 + 4 * len(sums)) - 1) / 2)
+    mean = np.array(sums[:d]) / n
+    cov = np.array(sums[d:]).reshape(d, d) / n - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh(cov)
+    k = max(1, min(n - 1, components, d))
+    return Geometry(n, mean, vectors[:, ::-1][:, :k], np.maximum(values[::-1][:k], 0))
+
+
+def geometries(real: DataFrame, components: int = 200) -> dict[int, Geometry]:
+    """The geometry of each group of rows (combo, vector) of which it has two or more; two passes of sums, no task holds a group."""
+    models = {r["combo"]: geometry(r["n"], r["sums"], components) for r in moments(real, "vector", ["combo"]).collect() if r["n"] > 1}  # one row a group
+
+    def fourths(batches):
+        total: dict[int, float] = {}
+        for batch in batches:
+            combo = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in np.unique(combo):
+                if int(c) in models:
+                    z = models[int(c)].coordinates(_vectors(batch.column(1).filter(pa.array(combo == c))))
+                    total[int(c)] = total.get(int(c), 0.0) + float(((z**2).sum(axis=1) ** 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())], ["combo", "s"])
 
+    sums = real.select(F.col("combo").cast("int").alias("combo"), "vector").mapInArrow(fourths, "combo int, s double").groupBy("combo").agg(F.sum("s").alias("s"))
+    for r in sums.collect():
+        models[r["combo"]].shrink(r["s"] / models[r["combo"]].n)
+    return models
 
-def farthest_points(x: np.ndarray, n: int) -> list[int]:
-    """Order in which points are taken, each farthest from the origin and those before; stops where only copies are left."""
-    taken: list[int] = []
-    near = (x**2).sum(axis=1)
-    while len(taken) < min(n, len(x)):
-        best = int(near.argmax())
-        if near[best] <= 1e-18:
-            break
-        taken.append(best)
-        near = np.minimum(near, ((x - x[best]) ** 2).sum(axis=1))
-    return taken
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
-GATE = "combo int, id long, m2 double, threshold double, kept boolean, fps_rank int"
 
+def packed(vector):
+    """A column of vectors as packed float64."""
 
-def gate(df: DataFrame, percentile: float = 97.5) -> DataFrame:
-    """Rows (combo, id, is_real, vector) to the gate and the diversity rank of each other row.
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.asarray(x, float).tobytes())
+
+    return pack(vector)
+
+
+MEASURED = "combo int, id long, is_real boolean, m2 double, x binary"
+
+
+def measured(df: DataFrame, models: dict[int, Geometry]) -> DataFrame:
+    """Rows (combo, id, is_real, m2, x): squared Mahalanobis distance and whitened vector; 0 and the vector itself without a geometry."""
+
+    def run(batches):
+        for batch in batches:
+            combo = batch.column(0).to_numpy(zero_copy_only=False)
+            m2, x = np.zeros(len(batch)), [b""] * len(batch)
+            for c in np.unique(combo):
+                of = np.flatnonzero(combo == c)
+                v = _vectors(batch.column(3).take(pa.array(of)))
+                if int(c) in models:
+                    v = models[int(c)].whitened(v)
+                    m2[of] = (v**2).sum(axis=1)
+                for i, row in zip(of, v):
+                    x[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(m2), pa.array(x, pa.binary())], ["combo", "id", "is_real", "m2", "x"])
+
+    return df.select(F.col("combo").cast("int").alias("combo"), F.col("id").cast("long").alias("id"), "is_real", "vector").mapInArrow(run, MEASURED)
+
+
+def exact_percentile(df: DataFrame, by: str, value: str, id_col: str, percentile: float) -> DataFrame:
+    """Rows (by, n, threshold): the linearly interpolated percentile, from the two ranks it lies between; no group is gathered."""
+    placed = ordinals(df.select(by, value, id_col), [value, id_col], "_rank", [by])
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    at = (F.col("n") - 1) * F.lit(percentile / 100)
+    near = placed.join(sizes, by).filter((F.col("_rank") == F.floor(at)) | (F.col("_rank") == F.ceil(at)))
+    low, high = F.min(value), F.max(value)
+    share = F.first(at - F.floor(at))
+    return near.groupBy(by).agg(F.first("n").alias("n"), (low + (high - low) * share).alias("threshold"))
+
+
+def gate(df: DataFrame, percentile: float = 97.5, components: int = 200) -> DataFrame:
+    """Rows (combo, id, is_real, vector) to the gate of each other row: (combo, id, n_real, m2, threshold, kept, x).
 
     The threshold is a percentile of the real rows' own m²; less than two real rows keep all.
-    Ranks follow the whitened space from its origin, the real rows' mean, and are nested: a prefix is
-    the choice of its size.
     """
+    models = geometries(df.filter("is_real"), components)
+    rows = kept(measured(df, models), "measured")
+    limits = exact_percentile(rows.filter("is_real"), "combo", "m2", "id", percentile)
+    limit = F.when(F.col("n") > 1, F.col("threshold")).otherwise(F.lit(float("inf")))
+    joined = rows.filter("not is_real").join(limits, "combo", "left").withColumn("threshold", F.coalesce(limit, F.lit(float("inf"))))
+    return joined.select("combo", "id", F.coalesce("n", F.lit(0)).alias("n_real"), "m2", "threshold", (F.col("m2") <= F.col("threshold")).alias("kept"), "x")
+
+
+def ranked(gated: DataFrame, ratios: list[float]) -> DataFrame:
+    """The gate's survivors (combo, id, n_real, fps_rank) that the largest ratio takes, in farthest-point order from the real mean.
+
+    A ratio's set is the prefix of round(ratio * n_real) ranks, halves to even.
+    """
+    from .diversity import farthest_order
+
+    spark, alive = gated.sparkSession, gated.filter("kept")
+    sizes = {r["combo"]: r["n"] for r in gated.groupBy("combo").agg(F.max("n_real").alias("n")).collect()}  # one row a group
+    order = farthest_order(alive.select("combo", "id", "x"), {c: max(round(r * n) for r in ratios) for c, n in sizes.items()})
+    return spark.createDataFrame([(c, i, sizes[c], k) for c, i, k in order], "combo int, id long, n_real long, fps_rank int")
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        x = np.array(rows["vector"].tolist(), float)
-        real = rows["is_real"].to_numpy(bool)
-        other = rows.loc[~real, ["combo", "id"]].copy()
-        if real.sum() < 2:
-            m2, limit = np.zeros(len(other)), np.inf
-        else:
-            m2 = squared_mahalanobis(x[real], x[~real]) if len(other) else np.zeros(0)
-            limit = float(np.percentile(squared_mahalanobis(x[real], x[real]), percentile))
-        kept = m2 <= limit
-        rank = np.full(len(other), -1)
-        if kept.any():
-            at = np.flatnonzero(kept)
-            space = whitened(x[real], x[~real][at]) if real.sum() > 1 else x[~real][at]
-            order = farthest_points(space, len(at))
-            rank[at[order]] = np.arange(1, len(order) + 1)
-        return other.assign(m2=m2, threshold=limit, kept=kept, fps_rank=rank)
-
-    return df.groupBy("combo").applyInPandas(of, GATE)
+
+def ratio_sets(ranks: DataFrame, ratios: list[float]) -> DataFrame:
+    """Rows (ratio, combo, id, fps_rank): each ratio's nested prefix."""
+    from ..functions.scalars import half_even
+
+    each = ranks.select("*", F.explode(F.array(*[F.lit(float(r)) for r in ratios])).alias("ratio"))
+    return each.filter(F.col("fps_rank") <= half_even(F.col("ratio") * F.col("n_real"))).select("ratio", "combo", "id", "fps_rank")
 
 
 def moments(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
@@ -144,36 +213,48 @@ def kernel_distance(df: DataFrame, subsets: int, size: int, seed: int) -> DataFr
     return chosen.select("subset", "side", "id", "vector").groupBy("subset").applyInPandas(of, "subset int, kid double")
 
 
-GREEDY = "combo int, id long, decision string"
-
-
-def greedy_gate(df: DataFrame, limit: int, target: int) -> DataFrame:
-    """Candidates (combo, id, quality_ok, m2_ok, ref_near, hash) in order of id: kept or the first reason against.
+def first_wins(rows: DataFrame, limit: int, rounds: list | None = None) -> DataFrame:
+    """Ids (id) that are kept when rows (combo, id, hash) come in order of id and one within ``limit`` bits of a kept one goes.
 
-    Reasons in order: quality, outlier, near a kept one, near the reference; ends at ``target`` kept.
+    The choice is the first independent set in order of id. A round keeps every open row without an earlier open
+    neighbour and removes the open neighbours of those; all of it block against block, so a group of
+    any size is shared by many tasks and no pair is a row. Equal hashes are settled before: the first stands for all.
+    ``rounds`` receives the number of open rows of each round.
     """
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        kept, out = np.zeros(0, np.uint64), []
-        for r in rows.itertuples():
-            h = np.uint64(int(r.hash) & 0xFFFFFFFFFFFFFFFF)
-            if len(kept) >= target:
-                out.append("not reached")
-            elif not r.quality_ok:
-                out.append("quality")
-            elif not r.m2_ok:
-                out.append("outlier")
-            elif len(kept) and (np.bitwise_count(kept ^ h) <= limit).any():
-                out.append("self duplicate")
-            elif r.ref_near:
-                out.append("reference duplicate")
-            else:
-                kept = np.append(kept, h)
-                out.append("kept")
-        return rows[["combo", "id"]].assign(decision=out)
-
-    return df.groupBy("combo").applyInPandas(of, GREEDY)
+    open_ = kept(rows.groupBy("combo", "hash").agg(F.min("id").alias("id")), "open")
+    middles = centres(open_.select("id", F.col("hash").alias("x")), "hamming")
+    own = lambda df: blocks(df, "hash", "hamming", group="combo", middles=middles)
+    done = None
+    while n := open_.count():
+        if rounds is not None:
+            rounds.append(n)
+        a = own(open_)
+        waiting = compared(close_pairs(block_pairs(a, a, "hamming"), "hamming", limit), a, a, earlier("hamming", limit), "query_id long").distinct()
+        first = kept(open_.join(waiting, open_["id"] == waiting["query_id"], "left_anti"), "kept")
+        done = first.select("id") if done is None else done.union(first.select("id"))
+        b = own(first)
+        gone = compared(close_pairs(block_pairs(a, b, "hamming"), "hamming", limit), a, b, inside("hamming", limit), "query_id long").distinct()
+        open_ = kept(open_.join(gone, open_["id"] == gone["query_id"], "left_anti"), "open")
+    return rows.select("id").limit(0) if done is None else done
+
+
+def greedy_gate(df: DataFrame, limit: int, target: int, rounds: list | None = None) -> DataFrame:
+    """Candidates (combo, id, quality_ok, m2_ok, ref_near, hash) in order of id: (combo, id, decision), kept or the first reason against.
+
+    Reasons in order: quality, outlier, near a kept one, near the reference; ends at ``target`` kept of a group.
+    """
+    rows = kept(df.select("combo", "id", "quality_ok", "m2_ok", "ref_near", "hash"), "candidates")
+    fit = rows.filter("quality_ok AND m2_ok")
+    won = kept(fit.join(first_wins(fit.filter("NOT ref_near").select("combo", "id", "hash"), limit, rounds), "id", "left_semi").select("combo", "id", "hash"), "won")
+    a, b = (blocks(x, "hash", "hamming", group="combo") for x in (fit.filter("ref_near"), won))
+    near = compared(close_pairs(block_pairs(a, b, "hamming"), "hamming", limit), a, b, earlier("hamming", limit), "query_id long").distinct()
+    last = ordinals(won.select("combo", "id"), ["id"], "_place", ["combo"]).filter(F.col("_place") == target - 1).select("combo", F.col("id").alias("last"))
+    marked = rows.join(won.select("id", F.lit(True).alias("won")), "id", "left").join(near.select(F.col("query_id").alias("id"), F.lit(True).alias("near")), "id", "left").join(last, "combo", "left")
+    decision = (
+        F.when(F.col("id") > F.col("last"), "not reached").when(~F.col("quality_ok"), "quality").when(~F.col("m2_ok"), "outlier")
+        .when(F.col("won"), "kept").when(F.col("ref_near") & F.col("near").isNull(), "reference duplicate").otherwise("self duplicate")
+    )
+    return marked.select(F.col("combo").cast("int").alias("combo"), "id", decision.alias("decision"))
 
 
 def power_spectrum(df: DataFrame, vector: str) -> DataFrame:

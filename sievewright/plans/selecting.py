@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import selection
+from ..functions.scalars import half_even
+from ..operators import diversity, selection
 from ..session import table
+from ..shared import kept, ordinals
 from .inputs import HAMMING, VECTORS, hashes, vectors
 from .register import Register
 
@@ -13,6 +15,8 @@ REGISTER = query = Register()
 #: As in the reference: subsets and their size at most, trees and seeds.
 KID_SUBSETS, KID_SIZE = 100, 1000
 RF_TREES, RF_SEEDS = 500, 10
+#: Generated rows for each real one.
+RATIOS = [0.5, 1.0, 2.5]
 
 
 def _gated(spark, sf):
@@ -27,13 +31,52 @@ def mahalanobis_gate(spark, sf):
 
 @query(name="fps_rank")
 def fps_rank(spark, sf):
-    return _gated(spark, sf).filter("kept").select("combo", "id", "fps_rank")
+    """Survivors of the gate in farthest-point order, as many as the largest ratio takes."""
+    return selection.ranked(kept(_gated(spark, sf), "gated"), RATIOS).select("combo", "id", "fps_rank")
+
+
+@query(name="ratio_sets")
+def ratio_sets(spark, sf):
+    """The survivors that each ratio takes: nested prefixes of one order."""
+    return selection.ratio_sets(selection.ranked(kept(_gated(spark, sf), "gated"), RATIOS), RATIOS)
+
+
+_FPS = f"""WITH RECURSIVE {VECTORS}, v AS (SELECT combo, id, e FROM vectors WHERE NOT is_real),
+r AS (SELECT combo, 1 AS fps_rank, arg_min(id, (list_dot_product(e, e), id)) AS id, [arg_min(id, (list_dot_product(e, e), id))] AS taken FROM v GROUP BY combo
+UNION ALL SELECT r.combo, r.fps_rank + 1, f.id, list_append(r.taken, f.id) FROM r, LATERAL (SELECT id FROM (
+    SELECT a.id, min(list_distance(a.e, b.e)) AS near FROM v a JOIN v b ON b.combo = a.combo WHERE a.combo = r.combo AND list_contains(r.taken, b.id) GROUP BY a.id) WHERE near > 0 ORDER BY near DESC, id LIMIT 1) f WHERE r.fps_rank < 12)
+SELECT combo, id, fps_rank FROM r"""
+
+
+@query(_FPS)
+def fps_order(spark, sf):
+    """The first twelve generated vectors of each group in farthest-point order, from the one nearest to the origin."""
+    v = vectors(spark, sf).filter("not is_real").select("combo", "id", selection.packed(F.col("embedding")).alias("x"))
+    groups = {r["combo"]: 12 for r in v.select("combo").distinct().collect()}
+    return spark.createDataFrame(diversity.farthest_order(v, groups), "combo int, id long, fps_rank int")
+
+
+@query(f"""WITH {VECTORS}, n AS (SELECT combo, count(*) FILTER (is_real) AS n_real, count(*) FILTER (NOT is_real) AS n_synth FROM vectors GROUP BY 1)
+SELECT combo, ratio, round_even(ratio * n_real, 0)::BIGINT AS n_target, n_synth, least(round_even(ratio * n_real, 0), n_synth)::BIGINT AS n_kept FROM n, (VALUES {", ".join(f"({r}::DOUBLE)" for r in (0.5, 1.0, 2.5))}) t(ratio)""")
+def ratio_quotas(spark, sf):
+    """What each ratio asks for and gets without a gate: counts of the nested prefixes."""
+    v = vectors(spark, sf)
+    n = v.groupBy("combo").agg(F.count_if("is_real").alias("n_real"), F.count_if(~F.col("is_real")).alias("n_synth"))
+    order = ordinals(v.filter("not is_real").select("combo", "id"), ["id"], "place", ["combo"]).withColumn("fps_rank", F.col("place") + 1)
+    got = selection.ratio_sets(order.join(n, "combo"), RATIOS).groupBy("combo", "ratio").agg(F.count(F.lit(1)).alias("n_kept"))
+    asked = n.select("*", F.explode(F.array(*[F.lit(r) for r in RATIOS])).alias("ratio")).withColumn("n_target", half_even(F.col("ratio") * F.col("n_real")))
+    return asked.join(got, ["combo", "ratio"], "left").select("combo", "ratio", "n_target", "n_synth", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
 @query(name="filter_funnel")
 def filter_funnel(spark, sf):
-    g = _gated(spark, sf)
-    return g.groupBy("combo").agg(F.count(F.lit(1)).alias("n_synth"), F.count_if(~F.col("kept")).alias("n_rejected"), F.count_if("kept").alias("n_after"), F.round(F.max("threshold"), 4).alias("threshold"), F.round(100 * F.count_if(~F.col("kept")) / F.count(F.lit(1)), 2).alias("dropped_pct"))
+    """The filter of each group: sizes, threshold, medians and what each ratio keeps."""
+    g = kept(_gated(spark, sf), "gated")
+    took = selection.ratio_sets(selection.ranked(g, RATIOS), RATIOS).groupBy("combo").agg(*[F.count_if(F.col("ratio") == r).alias(f"kept_{str(r).replace('.', '_')}") for r in RATIOS])
+    median = selection.exact_percentile(g, "combo", "m2", "id", 50).select("combo", F.round("threshold", 4).alias("median_m2_synth"))
+    n, out = F.count(F.lit(1)), F.count_if(~F.col("kept"))
+    sums = g.groupBy("combo").agg(F.max("n_real").alias("n_real"), n.alias("n_synth"), out.alias("n_rejected"), F.count_if("kept").alias("n_after"), F.round(F.max("threshold"), 4).alias("threshold"), F.round(100 * out / n, 2).alias("dropped_pct"))
+    return sums.join(median, "combo").join(took, "combo", "left").na.fill(0, [c for c in took.columns if c != "combo"])
 
 
 _GREEDY = f"""WITH RECURSIVE {VECTORS}, near AS (SELECT a.id AS i, b.id AS j FROM hashes a JOIN hashes b ON a.combo = b.combo AND b.id < a.id AND {HAMMING} <= 22),
