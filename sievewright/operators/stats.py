@@ -9,13 +9,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import hash_rank
+from .resample import bootstrap_means
 
 
 def holm(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
@@ -54,11 +52,7 @@ def permutation_p(cases: DataFrame, count: int, seed: int) -> DataFrame:
 
 def bootstrap_ci(cases: DataFrame, count: int, seed: int, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean difference; cases are drawn with replacement by their place."""
-    n = cases.count()
-    placed = cases.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("case_id")) - 1)
-    draws = cases.sparkSession.range(count).select(F.col("id").alias("it"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("k"))
-    drawn = draws.select("it", (hash_rank(seed, F.col("it"), F.col("k")) % max(n, 1)).alias("place"))
-    means = drawn.join(placed, "place").groupBy("it").agg((F.sum("diff") / F.sum("n")).alias("m"))
+    means = bootstrap_means(cases, count, seed)
     low = (1 - level) / 2
     return means.agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(1 - low)).alias("ci_high"))
 
@@ -96,15 +90,32 @@ def student_upper(t: Column, df: Column) -> Column:
     return (1 - central) / 2
 
 
-def _two_sided(k: int, n: int) -> float:
-    low = min(k, n - k)
-    if 2 * low >= n - 1:
-        return 1.0
-    steps = np.r_[0.0, np.cumsum(np.log((n - np.arange(low)) / (np.arange(low) + 1.0)))]
-    return min(1.0, 2 * float(np.exp(steps - n * np.log(2)).sum()))
+def binomial_two_sided(k: Column, n: Column) -> Column:
+    """Exact two-sided p of k successes in n fair draws, null for null: terms follow one another by a ratio, from the largest down.
 
+    The sum ends where a term no longer counts, so a row costs some tens of steps a square root of n.
+    """
+    k, n = (F.col(x) if isinstance(x, str) else x for x in (k, n))
+    low = F.least(k, n - k)
+    steps = F.least(low, F.ceil(40 * F.sqrt(n.cast("double"))).cast("long"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    down = F.when(steps > 0, F.sequence(F.lit(0).cast("long"), F.greatest(steps - 1, F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
 
-@F.pandas_udf(DoubleType())
-def binomial_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
-    """Exact two-sided p of k successes in n fair draws."""
-    return pd.Series([_two_sided(int(a), int(b)) for a, b in zip(k, n)])
+    def add(a: Column, i: Column) -> Column:
+        term = a["term"] * (low - i) / (n - low + i + 1)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    tail = F.aggregate(down, start, add, lambda a: a["sum"])
+    p = 2 * F.exp(log_choose(n, low) - n * math.log(2)) * tail
+    return F.when(k.isNotNull() & n.isNotNull(), F.when(2 * low >= n - 1, 1.0).otherwise(F.least(F.lit(1.0), p)))
+
+
+def log_factorial(n: Column) -> Column:
+    """log n!: by Stirling's series with terms enough for double precision from 10 on, by the products below."""
+    x = F.greatest(n, F.lit(10)).cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n < 10, F.log(F.factorial(F.least(n, F.lit(10)).cast("int")).cast("double"))).otherwise(series)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
