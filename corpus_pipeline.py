@@ -45,10 +45,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     them; each is decided on its whole shingle sets.
     It is the one of least id, a null id last; of equal ids the one of least text hash, then of least row number.
     """
-    numbered = cut(spark, docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    of = numbered.select("row", "doc_id", F.xxhash64("text").alias("h")).join(resemblance_components(spark, numbered.select("row", "text")), "row")
-    first = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row")).alias("f")).select("f.row")
-    return numbered.join(first, "row", "left_semi").select(*docs.columns)
+    row = next(n for n in (f"row_{i}" if i else "row" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    numbered = cut(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    slim = numbered.select(F.col(row).alias("row"), "doc_id", "text")
+    of = slim.select("row", "doc_id", F.xxhash64("text").alias("h")).join(resemblance_components(spark, slim.select("row", "text")), "row")
+    first = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row")).alias("f")).select(F.col("f.row").alias(row))
+    return numbered.join(first, row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
