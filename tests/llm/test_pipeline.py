@@ -82,3 +82,12 @@ def test_nulls_and_repeated_rows(spark, sf):
         now = spark.createDataFrame(out.collect(), out.schema)
         assert k == 4 or now.columns == schema.names
     assert {r.doc_id for r in now.collect()} <= {None, 1, 2, 3}
+
+
+def test_near_dedup_keeps_columns_of_its_own_names(spark, sf):
+    text = " ".join(f"w{i}" for i in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, row_1 int, component long, h string"
+    rows = [(1, text, "en", "a", 9, "mine", 4, 5, "x"), (2, text + " end", "en", "a", 9, "theirs", 6, 7, "y"), (3, "other words", None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
