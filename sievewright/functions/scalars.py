@@ -123,6 +123,25 @@ def hash_rank(seed: int, *ids: Column) -> Column:
     return x
 
 
+#: Factor of ``mix32`` and the mask of its words.
+MIX, WORD = 73244475, 0xFFFFFFFF
+
+
+def mix32(seed: Column | int, *ids: Column) -> Column:
+    """32 mixed bits of a seed and ids, alike in DuckDB and NumPy: each word is folded in, shifted onto itself and multiplied.
+
+    Unlike ``hash_rank`` it is not linear in the ids, so draws by consecutive numbers are independent.
+    """
+    words = [w for i in ids for w in (i.cast("long").bitwiseAND(F.lit(WORD)), F.shiftright(i.cast("long"), 32).bitwiseAND(F.lit(WORD)), F.lit(0).cast("long"))]
+    start = (F.lit(seed) if isinstance(seed, int) else seed).cast("long").bitwiseAND(F.lit(WORD))
+
+    def fold(x: Column, i: Column) -> Column:
+        m = x.bitwiseXOR(i)
+        return (m.bitwiseXOR(F.shiftright(m, 16)) * MIX).bitwiseAND(F.lit(WORD))
+
+    return F.aggregate(F.array(*words, F.lit(0).cast("long")), start, fold)
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval of a rate."""
     p = k / n

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import MIX, WORD
 from ..shared import kept, ordinals
 
 #: Cases of a block, iterations of a task.
@@ -30,12 +31,13 @@ PLACED = "block int, cases array<long>, data binary"
 
 
 def mixed(seed: int, *ids: np.ndarray) -> np.ndarray:
-    """``hash_rank`` for arrays."""
-    x = np.int64(seed)
+    """``mix32`` for arrays."""
+    x = np.int64(seed & WORD)
     for i in ids:
-        x = ((x * 48271 + i * 69621 + 12345) % 2147483647 + 2147483647) % 2147483647
-        x = (x * 48271 + 11) % 2147483647
-    return x
+        for word in (i & WORD, (i >> 32) & WORD, 0):
+            x = x ^ word
+            x = ((x ^ (x >> 16)) * MIX) & WORD
+    return ((x ^ (x >> 16)) * MIX) & WORD
 
 
 def metrics(labels: int, names: list[str] | None = None) -> list[str]:

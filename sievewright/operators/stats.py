@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_rank
+from ..functions.scalars import mix32
 from .resample import bootstrap_means
 
 
@@ -45,7 +45,7 @@ def permutation_p(cases: DataFrame, count: int, seed: int) -> DataFrame:
     seen = cases.agg(F.sum("diff").alias("seen"))
     # cases are few columns of integers; every iteration reads them all, so they are exploded by iteration
     flips = cases.select("diff", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("it"), "case_id")
-    sign = F.when(hash_rank(seed, F.col("it"), F.col("case_id")) % 2 == 0, 1).otherwise(-1)
+    sign = F.when(mix32(seed, F.col("it"), F.col("case_id")) % 2 == 0, 1).otherwise(-1)
     sums = flips.groupBy("it").agg(F.sum(F.col("diff") * sign).alias("s"))
     return sums.crossJoin(F.broadcast(seen)).agg(((F.sum((F.abs("s") >= F.abs("seen")).cast("int")) + 1) / (count + 1)).alias("p_value"))
 

@@ -22,6 +22,12 @@ def sql_mix(seed: int, *ids: str) -> str:
     return x
 
 
+def sql_mix32(seed: str, *ids: str) -> str:
+    """SQL of ``mix32``."""
+    words = ", ".join(f"({i})::BIGINT & 4294967295, (({i})::BIGINT >> 32) & 4294967295, 0" for i in ids)
+    return f"list_reduce([({seed})::BIGINT & 4294967295, {words}, 0], lambda x, i: (xor(xor(x, i), xor(x, i) >> 16) * 73244475) & 4294967295)"
+
+
 def vectors(spark, sf):
     v = table(spark, sf, "embeddings")
     return v.select(

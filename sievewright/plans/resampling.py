@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_rank
 from ..operators import resample, stats
 from ..shared import kept
-from .inputs import PREDICTIONS, predictions, sql_mix
+from .inputs import PREDICTIONS, predictions, sql_mix, sql_mix32
 from .register import Register
 
 REGISTER = query = Register()
@@ -37,14 +37,14 @@ def paired_cases(spark, sf):
     return _cases(spark, sf)
 
 
-@query(f"WITH {_CASES}, s AS (SELECT it, sum(diff * CASE WHEN {sql_mix(5, 'it', 'case_id')} % 2 = 0 THEN 1 ELSE -1 END) AS s FROM cases2, range({ITERATIONS}) t(it) GROUP BY 1) SELECT round((sum((abs(s) >= abs((SELECT sum(diff) FROM cases2)))::INT) + 1) / {ITERATIONS + 1}, 6)::DOUBLE AS p_value FROM s")
+@query(f"WITH {_CASES}, s AS (SELECT it, sum(diff * CASE WHEN {sql_mix32('5', 'it', 'case_id')} % 2 = 0 THEN 1 ELSE -1 END) AS s FROM cases2, range({ITERATIONS}) t(it) GROUP BY 1) SELECT round((sum((abs(s) >= abs((SELECT sum(diff) FROM cases2)))::INT) + 1) / {ITERATIONS + 1}, 6)::DOUBLE AS p_value FROM s")
 def permutation_p(spark, sf):
     return stats.permutation_p(_cases(spark, sf), ITERATIONS, 5).select(F.round("p_value", 6).alias("p_value"))
 
 
 @query(
     f"""WITH {_CASES}, placed AS (SELECT diff, n, row_number() OVER (ORDER BY case_id) - 1 AS place FROM cases2), size AS (SELECT count(*) AS m FROM cases2),
-    draws AS (SELECT it, {sql_mix(7, 'it', 'k')} % m AS place FROM range({ITERATIONS}) t(it), size, (SELECT place AS k FROM placed)),
+    draws AS (SELECT it, {sql_mix32('7', 'it', 'k')} % m AS place FROM range({ITERATIONS}) t(it), size, (SELECT place AS k FROM placed)),
     means AS (SELECT it, sum(diff) / sum(n) AS mean FROM draws JOIN placed USING (place) GROUP BY 1)
     SELECT round(quantile_cont(mean::DOUBLE, 0.025), 6) AS ci_low, round(quantile_cont(mean::DOUBLE, 0.975), 6) AS ci_high FROM means"""
 )
@@ -130,10 +130,10 @@ def _resampled_sql(n: int) -> str:
     return f"""WITH {PREDICTIONS}, {_TASKS}, sides AS (SELECT k.comparison, k.metric, k.seed AS s, p.seed AS rseed, p.case_id, (p.condition > 0)::INT AS side, p.y_true AS t, p.y_pred AS p
     FROM tasks k JOIN predictions p ON p.condition IN (0, k.comparison)),
 placed AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT case_id FROM predictions)),
-draws AS (SELECT comparison, metric, it, place, count(*) AS w FROM (SELECT comparison, metric, it, {sql_mix(0, 'it', 'k').replace('0::BIGINT', 'seed::BIGINT')} % m AS place FROM tasks, range({n}) i(it), (SELECT place AS k, m FROM placed)) GROUP BY comparison, metric, it, place),
+draws AS (SELECT comparison, metric, it, place, count(*) AS w FROM (SELECT comparison, metric, it, {sql_mix32('seed', 'it', 'k')} % m AS place FROM tasks, range({n}) i(it), (SELECT place AS k, m FROM placed)) GROUP BY comparison, metric, it, place),
 boot_rows AS (SELECT x.comparison, x.metric, d.it, x.side, x.rseed, x.t, x.p, d.w FROM sides x JOIN placed USING (case_id) JOIN draws d ON d.comparison = x.comparison AND d.metric = x.metric AND d.place = placed.place),
 boot AS ({metric("boot_rows", "it")}),
-perm_rows AS (SELECT x.comparison, x.metric, it, CASE WHEN {sql_mix(0, 'it', 'case_id').replace('0::BIGINT', 'x.s::BIGINT')} % 2 = 1 THEN 1 - side ELSE side END AS side, rseed, t, p, 1 AS w FROM sides x, range({n}) i(it)),
+perm_rows AS (SELECT x.comparison, x.metric, it, CASE WHEN {sql_mix32('x.s', 'it', 'case_id')} % 2 = 1 THEN 1 - side ELSE side END AS side, rseed, t, p, 1 AS w FROM sides x, range({n}) i(it)),
 perm AS ({metric("perm_rows", "it")}),
 plain_rows AS (SELECT comparison, metric, 0 AS it, side, rseed, t, p, 1 AS w FROM sides), plain AS ({metric("plain_rows", "it")}),
 seen AS (SELECT comparison, metric, max(v) FILTER (side = 1) AS mean_a, max(v) FILTER (side = 0) AS mean_b FROM plain GROUP BY comparison, metric),
