@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
-from ..operators import diversity, selection
+from ..operators import diversity, forest, selection
 from ..session import table
 from ..shared import kept, ordinals
 from .inputs import HAMMING, VECTORS, hashes, vectors
@@ -115,20 +115,36 @@ def power_spectrum(spark, sf):
     return selection.power_spectrum(table(spark, sf, "embeddings"), "embedding").select("k", F.round("power", 6).alias("power"))
 
 
+#: Training sets: real rows, with more and more of the others, and all.
+EXPERIMENTS = ["baseline", "r0.5", "r1", "r2.5", "augmented"]
+
+
+def _grown(spark, sf):
+    v = vectors(spark, sf)
+    train = v.filter("not is_test").select("id", "is_real", F.col("combo").cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("x"), "combo")
+    n = train.groupBy("combo").agg(F.count_if("is_real").alias("n_real"))
+    other = ordinals(train.filter("not is_real").select("combo", "id"), ["id"], "place", ["combo"])
+    placed = kept(train.join(n, "combo").join(other, ["combo", "id"], "left"), "training")
+    takes = [F.col("place") < half_even(F.col("n_real") * F.lit(r)) for r in RATIOS]
+    sets = F.array(F.lit(0), *[F.when(F.col("is_real") | t, F.lit(e + 1)) for e, t in enumerate(takes)], F.lit(4))
+    sets = F.when(F.col("is_real"), F.array(*[F.lit(e) for e in range(5)])).otherwise(F.filter(F.slice(sets, 2, 4), lambda e: e.isNotNull()))
+    rows = placed.select(F.explode(sets).alias("experiment"), "id", "y", "x")
+    test = v.filter("is_test").select("id", F.col("combo").cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("x"))
+    classes = (v.agg(F.max("combo")).first()[0] or 0) + 1
+    made = forest.grow(spark, rows, list(range(RF_SEEDS)), RF_TREES, classes)
+    out = forest.growth(spark, made, test, classes, RF_TREES)
+    return out.withColumn("experiment", F.element_at(F.array(*[F.lit(e) for e in EXPERIMENTS]), F.col("experiment") + 1))
+
+
+@query(name="forest_growth")
+def forest_growth(spark, sf):
+    """Forests of five training sets and ten seeds as they grow from 25 to 500 trees: out-of-bag and test scores."""
+    f1 = F.transform("f1", lambda x: F.round(x, 6)).alias("f1")
+    return _grown(spark, sf).select("experiment", "seed", "n_estimators", *[F.round(c, 6).alias(c) for c in ("oob_score", "test_accuracy", "test_macro_f1", "test_weighted_f1")], f1)
+
+
 @query(name="rf_seed_scores")
 def rf_seed_scores(spark, sf):
-    """Accuracy of random forests on held-out vectors by seed and condition (real only, all)."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors(spark, sf).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).withColumn("label", F.col("combo").cast("double"))
-    rows = []
-    for seed in range(RF_SEEDS):
-        for condition in ("baseline", "augmented"):
-            train = v.filter("not is_test" if condition == "augmented" else "not is_test and is_real")
-            if train.isEmpty():
-                continue
-            model = RandomForestClassifier(numTrees=RF_TREES, featureSubsetStrategy="log2", minInstancesPerNode=2, seed=seed).fit(train)
-            hit = model.transform(v.filter("is_test")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            rows.append((condition, seed, hit))
-    return spark.createDataFrame(rows, "condition string, seed int, accuracy double")
+    """Accuracy of the whole forests on held-out vectors by seed and training set."""
+    full = _grown(spark, sf).filter(F.col("n_estimators") == RF_TREES)
+    return full.select(F.col("experiment").alias("condition"), "seed", F.round("test_accuracy", 6).alias("accuracy"))
