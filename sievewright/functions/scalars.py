@@ -57,6 +57,12 @@ def half_even(value: Column) -> Column:
     return F.bround(value.cast("double"), 0).cast("long")
 
 
+def preserved(path: Column, root: str, to: str, suffix: str) -> Column:
+    """The path below ``root`` moved below ``to`` with another suffix; folders stay."""
+    below = portable(path, root)
+    return F.concat(F.lit(to.rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]*$", ""), F.lit(suffix))
+
+
 def ratio_tag(value: Column, prefix: str = "r") -> Column:
     """1.0 gives r1, 2.5 gives r2.5."""
     return F.concat(F.lit(prefix), F.regexp_replace(value.cast("string"), r"\.0$", ""))
@@ -103,12 +109,30 @@ def file_stem(path: Column) -> Column:
 
 
 def token_in(stem: Column, allowed: list[str]) -> Column:
-    """The first ``_``-separated token among ``allowed``, else one that occurs inside; null if none."""
-    exact = F.get(F.filter(F.split(F.lower(stem), "_"), lambda t: t.isin(allowed)), 0)
-    inside = F.coalesce(*[F.when(F.contains(F.lower(stem), F.lit(a)), F.lit(a)) for a in allowed])
+    """The first ``_``-separated token among ``allowed``, in its own case, else one that stands between underscores; null if none."""
+    exact = F.get(F.filter(F.split(stem, "_"), lambda t: t.isin(allowed)), 0)
+    inside = F.coalesce(*[F.when(F.contains(stem, F.lit(f"_{a}_")), F.lit(a)) for a in allowed])
     return F.coalesce(exact, inside)
 
 
+#: Class codes of test file names, and the planes.
+CLASS_CODES = {"gl": "glioma", "me": "meningioma", "no": "no_tumor", "nt": "no_tumor", "pi": "pituitary"}
+PLANES = ["ax", "co", "sa"]
+
+
+def test_name(stem: Column, check_plane: bool = True) -> Column:
+    """(class, plane) from the fourth and fifth of six or more ``_``-separated tokens; a plane that is none is null if checked."""
+    tokens = F.split(stem, "_")
+    enough = F.size(tokens) >= 6
+    code, plane = F.get(tokens, F.lit(3)), F.get(tokens, F.lit(4))
+    names = F.create_map(*[F.lit(x) for pair in CLASS_CODES.items() for x in pair])
+    plane = F.when(plane.isin(PLANES), plane) if check_plane else plane
+    return F.struct(F.when(enough, F.try_element_at(names, code)).alias("class"), F.when(enough, plane).alias("plane"))
+
+
+test_name.__test__ = False
+
+
 def content_hash(*parts: Column) -> Column:
     """sha256 of shape, type and bytes, kept apart by zero bytes."""
     return F.sha2(F.concat_ws("\0", *parts), 256)

@@ -28,9 +28,22 @@ def box(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.join(q, by).groupBy(*by, "q1", "median", "q3", "n").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"),
         F.avg(value).alias("mean"), F.sum((~inside).cast("int")).alias("outliers"),
+        (student_975(F.count(value) - 1) * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("half_ci"),
     )
 
 
+def student_975(df: Column) -> Column:
+    """The 97.5 % point of Student's t: halving of an interval in which its built-in tail falls through 2.5 %; null without a degree of freedom."""
+    from .stats import student_upper
+
+    low, high = F.lit(1.9), F.lit(12.8)
+    span = F.aggregate(
+        F.sequence(F.lit(1), F.lit(48)), F.struct(low.alias("a"), high.alias("b")),
+        lambda s, _: F.when(student_upper((s["a"] + s["b"]) / 2, df) > 0.025, F.struct(((s["a"] + s["b"]) / 2).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), ((s["a"] + s["b"]) / 2).alias("b"))),
+    )
+    return F.when(df >= 1, (span["a"] + span["b"]) / 2)
+
+
 def moving_average(df: DataFrame, by: list[str], order: str, value: str, width: int = 15) -> DataFrame:
     """Centred mean over ``width`` rows with zeros beyond the ends; series shorter than that stay."""
     w, half = Window.partitionBy(*by), width // 2

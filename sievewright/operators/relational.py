@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_overlap(left: DataFrame, right: DataFrame, key: str, id_col: str) -> DataFrame:
+def exact_overlap(left: DataFrame, right: DataFrame, key: str | list[str], id_col: str) -> DataFrame:
     """Rows of ``left`` whose key ``right`` has, with the number of links and the least id there; ``right`` is counted before it is joined."""
-    return left.join(right.groupBy(key).agg(F.count(F.lit(1)).alias("links"), F.min(id_col).alias("first_id")), key)
+    keys = [key] if isinstance(key, str) else key
+    return left.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("links"), F.min(id_col).alias("first_id")), keys)
+
+
+#: What names of columns that identify a person or a recording contain.
+IDENTIFYING = ("patient", "subject", "case", "study", "series")
+
+
+def identifier_columns(df: DataFrame) -> list[str]:
+    """Names of columns that look like identifiers of persons or recordings, in order; no row is read."""
+    return sorted(c for c in df.columns if any(x in c.lower() for x in IDENTIFYING))
 
 
 def without(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:

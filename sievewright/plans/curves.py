@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import curves
+from ..operators import curves, relational
 from ..session import table
 from .inputs import TICKS, ticks
 from .register import Register
 
 REGISTER = query = Register()
+#: Fixed value: the 97.5 % point of Student's t with nine degrees of freedom, from printed tables.
+T_POINTS = "points AS (SELECT 9 AS df, 2.2621571628::DOUBLE AS t)"
 
 
 def _r(df, *columns, n=6):
@@ -30,10 +32,19 @@ def curve_ci(spark, sf):
 @query(
     f"""WITH {TICKS}, q AS (SELECT name, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, count(*) AS n FROM ticks GROUP BY 1),
     i AS (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM (SELECT name, value FROM ticks) JOIN q USING (name))
-    SELECT name, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, n, min(value) FILTER (inside) AS whisker_low, max(value) FILTER (inside) AS whisker_high, round(avg(value), 6) AS mean, count(*) FILTER (NOT inside) AS outliers FROM i GROUP BY name, q1, median, q3, n"""
+    SELECT name, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, n, min(value) FILTER (inside) AS whisker_low, max(value) FILTER (inside) AS whisker_high, round(avg(value), 6) AS mean, count(*) FILTER (NOT inside) AS outliers,
+    n >= 2 AS has_interval FROM i GROUP BY name, q1, median, q3, n"""
 )
 def box_summary(spark, sf):
-    return _r(curves.box(ticks(spark, sf).drop("n"), ["name"], "value"), "q1", "median", "q3", "mean")
+    box = _r(curves.box(ticks(spark, sf).drop("n"), ["name"], "value"), "q1", "median", "q3", "mean")
+    return box.withColumn("has_interval", F.col("half_ci").isNotNull()).drop("half_ci")
+
+
+@query(f"WITH {TICKS}, {T_POINTS} SELECT name, count(*) AS n, round(max(t) * stddev_samp(value) / sqrt(count(*)), 4) AS half_ci FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tick) AS k FROM ticks QUALIFY k <= 10) JOIN points ON df = 9 GROUP BY 1 HAVING count(*) = 10")
+def box_interval(spark, sf):
+    """Half the 95 % interval of the mean, by Student's t, over the first ten ticks of each series (as over ten seeds)."""
+    first = relational.first_k(ticks(spark, sf).drop("n"), ["name"], [F.col("tick")], 10)
+    return curves.box(first, ["name"], "value").filter("n = 10").select("name", "n", F.round("half_ci", 4).alias("half_ci"))
 
 
 @query(f"WITH {TICKS} SELECT name, tick, round(CASE WHEN count(*) OVER (PARTITION BY name) < 15 THEN value ELSE sum(value) OVER (PARTITION BY name ORDER BY tick ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 15 END, 6) AS smoothed FROM ticks")

@@ -14,6 +14,8 @@ from .register import Register
 REGISTER = query = Register()
 #: The supplied vectors' hashes are at least 14 bits apart.
 LIMIT = 18
+#: Items of fewer than five words that are looked for at once.
+SHORT_ITEMS = 500
 
 
 def _split(spark, sf):
@@ -32,9 +34,14 @@ def identity_clusters(spark, sf):
 
 @query(f"WITH {_SPLIT} SELECT l.doc_id AS train_id, l.sha AS sha, count(*) AS links, min(r.doc_id) AS first_test_id FROM train l JOIN test r ON l.sha = r.sha AND l.text = r.text GROUP BY 1, 2")
 def exact_hash_overlap(spark, sf):
-    """Train rows whose text is in test too, with their class and number of links; copies are not expanded into pairs."""
+    """Train rows whose text is in test too, with their class and number of links; copies are not expanded into pairs.
+
+    Rows are found by hash and joined on the text itself, so equal hashes of different texts do not count.
+    """
     train, test = _split(spark, sf)
-    return relational.exact_overlap(train.select("doc_id", "sha"), test, "sha", "doc_id").select(F.col("doc_id").alias("train_id"), "sha", "links", F.col("first_id").alias("first_test_id"))
+    near = relational.only(test.select("doc_id", "sha", "text"), train, "sha")
+    found = relational.exact_overlap(relational.only(train.select("doc_id", "sha", "text"), test, "sha"), near, ["sha", "text"], "doc_id")
+    return found.select(F.col("doc_id").alias("train_id"), "sha", "links", F.col("first_id").alias("first_test_id"))
 
 
 @query(
@@ -61,17 +68,17 @@ def removed_train_rows(spark, sf):
     return relational.only(train, test, "sha").select("doc_id", "sha")
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def prefix_contamination(spark, sf):
-    """Documents that hold an item's first 60 characters.
+    """Documents that hold a whole item.
 
-    Candidates share the second to fourth word of the item's beginning, which are whole words
-    wherever it stands; only these words are exploded, and no text travels with them. The items
-    are broadcast while they are few, by count; containment itself is checked on what is found.
-    Items that begin with fewer than five words are looked for in every document; null ones are in none.
+    Candidates share the second to fourth word of the item, which are whole words wherever it
+    stands; only these words are exploded, and no text travels with them. The items are broadcast
+    while they are few, by count; containment of the whole item is checked on what is found.
+    Items of fewer than five words are looked for in every document, some thousands at a time; null ones are in none.
     """
     words = lambda c: F.split(c, "[ \n]")
-    items = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("head")).dropna()
     keyed = items.filter(F.size(words("head")) >= 5).withColumn("key", F.array_join(F.slice(words("head"), 2, 3), " "))
     short = items.filter(F.size(words("head")) < 5)
     n = items.count()
@@ -82,9 +89,15 @@ def prefix_contamination(spark, sf):
 
     pieces = docs.select("doc_id", F.explode(F.array_distinct(let(words("text"), threes))).alias("key"))
     found = pieces.join(F.broadcast(keyed) if n <= similarity.BROADCAST_ROWS else keyed, "key").select("doc_id", "item_id", "head").distinct()
-    plain = docs.crossJoin(F.broadcast(short))
-    both = docs.join(found, "doc_id").select("doc_id", "text", "item_id", "head").unionAll(plain.select("doc_id", "text", "item_id", "head"))
-    return both.filter(F.contains("text", F.col("head"))).select("doc_id", "item_id")
+    out = docs.join(found, "doc_id").filter(F.contains("text", F.col("head"))).select("doc_id", "item_id")
+    lots = -(-short.count() // SHORT_ITEMS)
+    for lot in range(lots):  # each lot is one array of bounded size beside every document
+        own = short.filter(F.pmod(F.xxhash64("item_id", "head"), F.lit(lots)) == lot).collect()
+        items = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["head"]).alias("head")) for r in own])
+        hits = F.filter(items, lambda i: F.contains(F.col("text"), i["head"]))
+        if own:
+            out = out.unionAll(docs.select("doc_id", F.explode(hits).alias("i")).select("doc_id", "i.item_id"))
+    return out
 
 
 _SUMMARY = {
@@ -118,6 +131,57 @@ def leakage_summary(spark, sf):
     return out
 
 
+#: Cutoffs of the audit's report: bits, and cosine distance.
+CLOSE_BITS, CLOSE_COSINE = 20, 0.5
+_PATH = "lang || '/' || source || '/' || left(md5(coalesce(text, '')), 6) || '.txt'"
+
+
+def _audit_sql() -> str:
+    side = lambda t: f"SELECT doc_id, {_PATH} AS path, left(md5(coalesce(text, '')), 6) || '.txt' AS base, sha256(text) AS sha, left(sha256(text), 4) AS pixel, text FROM documents WHERE doc_id % 5 {t} 4"
+    near = lambda d: f"(SELECT a.id, min({d}) AS d FROM hashes a JOIN hashes b ON a.is_test AND NOT b.is_test GROUP BY 1)"
+    shared = lambda c: f"(SELECT count(*) FROM (SELECT {c} FROM a INTERSECT SELECT {c} FROM b))"
+    return f"""WITH {VECTORS}, a AS ({side("<>")}), b AS ({side("=")}), x AS (SELECT a.doc_id AS i, b.doc_id AS j, a.pixel FROM a JOIN b ON a.pixel = b.pixel AND a.text = b.text),
+    h AS {near(HAMMING)}, f AS {near(COSINE)}
+    SELECT (SELECT count(*) FROM a) AS train_rows, (SELECT count(*) FROM b) AS test_rows, {shared("path")} AS exact_filepath_overlap, {shared("base")} AS basename_overlap, {shared("sha")} AS file_sha256_overlap,
+    (SELECT count(*) FROM a JOIN b ON a.sha = b.sha) AS file_sha256_overlap_pairs, (SELECT count(*) FROM a JOIN b ON a.pixel = b.pixel) AS pixel_hash_candidate_pairs, (SELECT count(*) FROM x) AS pixel_exact_overlap_pairs,
+    (SELECT count(DISTINCT i) FROM x) AS pixel_exact_overlap_unique_train_rows, (SELECT count(DISTINCT j) FROM x) AS pixel_exact_overlap_unique_test_rows, (SELECT count(DISTINCT pixel) FROM x) AS pixel_exact_overlap_identities,
+    {CLOSE_BITS} AS phash_warning_threshold, (SELECT count(*) FROM h WHERE d <= {CLOSE_BITS}) AS phash_close_neighbors, (SELECT min(d) FROM h) AS min_phash_distance, {CLOSE_COSINE}::DOUBLE AS feature_warning_threshold, 'checked' AS feature_check,
+    (SELECT count(*) FROM f WHERE d <= {CLOSE_COSINE}) AS feature_close_neighbors, (SELECT min(d) FROM f) AS min_feature_cosine_distance,
+    (SELECT coalesce(list(column_name ORDER BY column_name), []) FROM information_schema.columns WHERE table_name = 'documents' AND regexp_matches(lower(column_name), 'patient|subject|case|study|series')) AS patient_identifier_columns_found,
+    false AS patient_level_independence_claim_supported"""
+
+
+@query(_audit_sql())
+def independence_audit(spark, sf):
+    """The twenty figures of the audit of two splits: overlaps by path, name and content, rechecked pairs, and near neighbours.
+
+    Pairs are counted from the sizes of classes; the short content key has chance matches that the recheck of the text removes.
+    """
+    text = F.coalesce("text", F.lit(""))
+    base = F.concat(F.substring(F.md5(text), 1, 6), F.lit(".txt"))
+    docs = table(spark, sf, "documents")
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/"), base)
+    d = docs.select("doc_id", path.alias("path"), base.alias("base"), F.sha2("text", 256).alias("sha"), "text", (F.col("doc_id") % 5 == 4).alias("is_test"))
+    d = d.withColumn("pixel", F.substring("sha", 1, 4))
+    sides = lambda *keys: d.dropna(subset=list(keys)).groupBy(*keys).agg(F.count_if(~F.col("is_test")).alias("a"), F.count_if("is_test").alias("b"))
+    both = lambda rows, **out: rows.filter("a > 0 AND b > 0").agg(*[F.coalesce(F.expr(e), F.lit(0)).cast("long").alias(n) for n, e in out.items()])
+    contents = sides("pixel", "sha", "text")
+    parts = [
+        d.agg(F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows")),
+        both(sides("path"), exact_filepath_overlap="count(1)"), both(sides("base"), basename_overlap="count(1)"),
+        both(sides("sha"), file_sha256_overlap="count(1)", file_sha256_overlap_pairs="sum(a * b)"), both(sides("pixel"), pixel_hash_candidate_pairs="sum(a * b)"),
+        both(contents, pixel_exact_overlap_pairs="sum(a * b)", pixel_exact_overlap_unique_train_rows="sum(a)", pixel_exact_overlap_unique_test_rows="sum(b)", pixel_exact_overlap_identities="count(DISTINCT pixel)"),
+    ]
+    for near, n, limit, least in ((hash_nearest(spark, sf), "phash", CLOSE_BITS, "min_phash_distance"), (cosine_nearest(spark, sf), "feature", CLOSE_COSINE, "min_feature_cosine_distance")):
+        parts.append(near.agg(F.lit(limit).alias(f"{n}_warning_threshold"), F.count_if(F.col("distance") <= limit).alias(f"{n}_close_neighbors"), F.min("distance").alias(least)))
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.crossJoin(p)  # one row each
+    found = relational.identifier_columns(docs)
+    names = F.array(*[F.lit(c) for c in found]) if found else F.array().cast("array<string>")
+    return row.select("*", F.lit("checked").alias("feature_check"), names.alias("patient_identifier_columns_found"), F.lit(bool(found)).alias("patient_level_independence_claim_supported"))
+
+
 @query("SELECT count(*) AS shared FROM (SELECT DISTINCT sha256(text) FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT DISTINCT sha256(text) FROM documents WHERE doc_id % 2 = 1)")
 def hash_intersection(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))

@@ -68,26 +68,31 @@ def class_from_path(spark, sf):
 
 @query(
     """SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN 'out/' || lang || '/' || source || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' END AS path,
-    CASE WHEN lang IN ('en', 'de') THEN NULL ELSE 'class not recognised: ' || lang END AS reason, source || '/' || doc_id::VARCHAR AS portable FROM documents"""
+    CASE WHEN lang IN ('en', 'de') THEN NULL ELSE 'class not recognised: ' || lang END AS reason, source || '/' || doc_id::VARCHAR AS portable,
+    'kept/' || source || '/' || lang || '/' || doc_id::VARCHAR || '.png' AS preserved FROM documents"""
 )
 def destinations(spark, sf):
     """Destination by class and plane, or the reason there is none; the path relative to its root."""
     known = F.col("lang").isin("en", "de")
     path = F.concat_ws("/", F.lit("out"), "lang", "source", F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")))
     full = F.concat_ws("/", F.lit("/data/root"), "source", F.col("doc_id").cast("string"))
-    return table(spark, sf, "documents").select("doc_id", F.when(known, path).alias("path"), F.when(~known, F.concat(F.lit("class not recognised: "), "lang")).alias("reason"), S.portable(full, "/data/root").alias("portable"))
+    return table(spark, sf, "documents").select("doc_id", F.when(known, path).alias("path"), F.when(~known, F.concat(F.lit("class not recognised: "), "lang")).alias("reason"), S.portable(full, "/data/root").alias("portable"), S.preserved(F.concat_ws("/", F.lit("/data/root"), "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".jpeg"))), "/data/root", "kept", ".png").alias("preserved"))
+
+
+_TEST_NAME = """'set_test_' || lpad((c_custkey % 1000)::VARCHAR, 5, '0') || CASE c_custkey % 6 WHEN 0 THEN '_gl_ax' WHEN 1 THEN '_nt_xx' WHEN 2 THEN '_pi_sa' WHEN 3 THEN '_zz_co' WHEN 4 THEN '_me' ELSE '_no_co' END || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '_t1' END"""
 
 
 @query(
-    """WITH t AS (SELECT c_custkey, c_name, string_split(replace(c_name, '#', '_') || '_' || c_mktsegment || '_' || (CASE WHEN c_custkey % 4 = 0 THEN 'xx' ELSE 'ax' END) || '_t1', '_') AS w FROM customer)
-    SELECT c_custkey, CASE WHEN len(w) >= 5 AND w[4] IN ('ax', 'co', 'sa') THEN w[3] END AS code, CASE WHEN len(w) >= 5 AND w[4] IN ('ax', 'co', 'sa') THEN w[4] END AS plane, len(w) >= 5 AS enough FROM t"""
+    f"""WITH t AS (SELECT c_custkey, {_TEST_NAME} AS stem FROM customer), w AS (SELECT *, string_split(stem, '_') AS w FROM t),
+    c AS (SELECT *, CASE WHEN len(w) >= 6 THEN CASE w[4] WHEN 'gl' THEN 'glioma' WHEN 'me' THEN 'meningioma' WHEN 'no' THEN 'no_tumor' WHEN 'nt' THEN 'no_tumor' WHEN 'pi' THEN 'pituitary' END END AS class, CASE WHEN len(w) >= 6 THEN w[5] END AS any_plane FROM w)
+    SELECT c_custkey, stem, class, CASE WHEN any_plane IN ('ax', 'co', 'sa') THEN any_plane END AS plane, any_plane FROM c"""
 )
 def plane_names(spark, sf):
-    """Names of enough tokens with class code and a plane out of the fixed set; others have neither."""
-    name = F.concat_ws("_", F.replace("c_name", F.lit("#"), F.lit("_")), "c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, "xx").otherwise("ax"), F.lit("t1"))
-    rows = table(spark, sf, "customer").select("c_custkey", F.split(name, "_").alias("w"))
-    ok = (F.size("w") >= 5) & F.get("w", F.lit(3)).isin("ax", "co", "sa")
-    return rows.select("c_custkey", F.when(ok, F.get("w", F.lit(2))).alias("code"), F.when(ok, F.get("w", F.lit(3))).alias("plane"), (F.size("w") >= 5).alias("enough"))
+    """Class and plane of test names of six or more tokens, with and without the check of the plane."""
+    name = F.expr(_TEST_NAME.replace("::VARCHAR", "").replace("lpad((c_custkey % 1000)", "lpad(cast(c_custkey % 1000 AS string)"))
+    rows = table(spark, sf, "customer").select("c_custkey", name.alias("stem"))
+    checked, free = S.test_name(F.col("stem")), S.test_name(F.col("stem"), check_plane=False)
+    return rows.select("c_custkey", "stem", checked["class"].alias("class"), checked["plane"].alias("plane"), free["plane"].alias("any_plane"))
 
 
 _M = sql_mix(42, "doc_id")
@@ -157,12 +162,23 @@ def row_details(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.to_json(details).alias("details"))
 
 
-@query("SELECT * FROM (VALUES ('accuracy', 'forest', 0), ('macro_f1', 'forest', 0), ('f1_0', 'forest', 1), ('f1_1', 'forest', 1), ('f1_2', 'forest', 1), ('f1_3', 'forest', 1), ('weighted_f1', 'forest', 0)) m(metric, family, per_class), (SELECT count(DISTINCT quality * 2 + toxic) AS classes FROM labels)")
+_CLASSES = "(SELECT DISTINCT quality * 2 + toxic AS c FROM labels)"
+
+
+@query(
+    f"""WITH c AS {_CLASSES}, p AS (SELECT DISTINCT lang AS p FROM documents WHERE lang IS NOT NULL)
+    SELECT 'forest' AS family, m AS metric, 'class' AS head FROM (VALUES ('accuracy'), ('macro_f1'), ('weighted_f1')) v(m) UNION ALL SELECT 'forest', 'f1[' || c || ']', 'class' FROM c
+    UNION ALL SELECT 'two_head', h || m, CASE h WHEN 'plane_' THEN 'plane' ELSE 'class' END FROM (VALUES ('tumour_'), ('plane_')) a(h), (VALUES ('accuracy'), ('macro_f1'), ('weighted_f1')) v(m)
+    UNION ALL SELECT 'two_head', 'per_tumour_f1:' || c, 'class' FROM c UNION ALL SELECT 'two_head', 'per_plane_f1:' || p, 'plane' FROM p"""
+)
 def metric_families(spark, sf):
-    """The metrics of a family, class scores in order, with the number of classes that the labels hold."""
-    names = ["accuracy", "macro_f1", *(f"f1_{k}" for k in range(4)), "weighted_f1"]
-    rows = spark.createDataFrame([(n, "forest", int(n.startswith("f1_"))) for n in names], "metric string, family string, per_class int")
-    return rows.crossJoin(table(spark, sf, "labels").agg(F.count_distinct(F.col("quality") * 2 + F.col("toxic")).alias("classes")))
+    """Metrics of both model families: averages, and one for each class and plane that the tables hold."""
+    labels, planes = table(spark, sf, "labels").select((F.col("quality") * 2 + F.col("toxic")).cast("string").alias("v")).distinct(), table(spark, sf, "documents").select(F.col("lang").alias("v")).dropna().distinct()
+    plain = [("forest", m, "class") for m in ("accuracy", "macro_f1", "weighted_f1")] + [("two_head", f"{h}_{m}", "plane" if h == "plane" else "class") for h in ("tumour", "plane") for m in ("accuracy", "macro_f1", "weighted_f1")]
+    out = spark.createDataFrame(plain, "family string, metric string, head string")
+    for rows, family, before, after, head in ((labels, "forest", "f1[", "]", "class"), (labels, "two_head", "per_tumour_f1:", "", "class"), (planes, "two_head", "per_plane_f1:", "", "plane")):
+        out = out.unionAll(rows.select(F.lit(family).alias("family"), F.concat(F.lit(before), "v", F.lit(after)).alias("metric"), F.lit(head).alias("head")))
+    return out
 
 
 @query(

@@ -38,20 +38,35 @@ def type_tokens(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.lower(t[0]).alias("first"), F.lower(F.element_at(t, -1)).alias("last"), F.when(F.size(t) >= 3, "ok").otherwise("short").alias("reason"))
 
 
-@query("SELECT s, p FROM (VALUES ('scan_ax_001', 'ax'), ('scan_head_co_2', 'co'), ('xx_sagital', NULL), ('aaxb', 'ax'), ('', NULL)) t(s, p)")
+_STEM = """CASE doc_id % 7 WHEN 0 THEN 'scan_' || lang || '_' || doc_id WHEN 1 THEN 'a' || lang || 'b_' || doc_id WHEN 2 THEN 'scan_' || upper(lang) || '_1' WHEN 3 THEN lang WHEN 4 THEN source || '__' || lang || '__x' WHEN 5 THEN 'en_' || lang || '_2' ELSE '' END"""
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, {_STEM} AS stem FROM documents)
+    SELECT doc_id, stem, coalesce(list_filter(string_split(stem, '_'), lambda t: t IN ('en', 'de'))[1], CASE WHEN contains(stem, '_en_') THEN 'en' WHEN contains(stem, '_de_') THEN 'de' END) AS plane FROM n"""
+)
 def token_in_name(spark, sf):
-    rows = spark.createDataFrame([("scan_ax_001",), ("scan_head_co_2",), ("xx_sagital",), ("aaxb",), ("",)], "s string")
-    return rows.select("s", S.token_in(F.col("s"), ["ax", "co"]).alias("p"))
+    """The plane in a name: a token of its own, in its own case; inside another token or in capitals it is none."""
+    rows = table(spark, sf, "documents").select("doc_id", F.expr(_STEM).alias("stem"))
+    return rows.select("doc_id", "stem", S.token_in(F.col("stem"), ["en", "de"]).alias("plane"))
 
 
-@query("SELECT * FROM (VALUES ('1,2,5-7', [1, 2, 5, 6, 7]), ('4', [4]), ('8-9,1', [8, 9, 1])) t(spec, numbers)")
+@query(
+    """SELECT p_partkey, (p_size % 9) || ',' || (p_size + 10) || '-' || (p_size + 10 + p_partkey % 4) AS spec, list_concat([(p_size % 9)::INT], range((p_size + 10)::INT, (p_size + 11 + p_partkey % 4)::INT)::INT[]) AS numbers,
+    p_size::INT AS first, (p_partkey % 50)::INT AS second FROM part"""
+)
 def range_lists(spark, sf):
-    return spark.createDataFrame([("1,2,5-7",), ("4",), ("8-9,1",)], "spec string").select("spec", S.integer_list(F.col("spec")).alias("numbers"))
+    """Lists of numbers and ranges, and pairs, read from text."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    low, high = (F.col("p_size") + 10), F.col("p_size") + 10 + key % 4
+    spec = F.concat((F.col("p_size") % 9).cast("string"), F.lit(","), low.cast("string"), F.lit("-"), high.cast("string"))
+    rows = table(spark, sf, "part").select("p_partkey", spec.alias("spec"), F.concat(size, F.lit("x"), (key % 50).cast("string")).alias("pair"))
+    return rows.select("p_partkey", "spec", S.integer_list(F.col("spec")).alias("numbers"), S.pair_of(F.col("pair"))["first"].alias("first"), S.pair_of(F.col("pair"))["second"].alias("second"))
 
 
-@query("SELECT * FROM (VALUES (1.0, 'r1'), (2.5, 'r2.5'), (97.5, 'r97.5')) t(ratio, tag)".replace("(1.0", "(1.0::DOUBLE"))
+@query("SELECT DISTINCT l_quantity / 4 AS ratio, 'r' || regexp_replace((l_quantity / 4)::DOUBLE::VARCHAR, '\\.0$', '') AS tag FROM lineitem")
 def ratio_tags(spark, sf):
-    return spark.createDataFrame([(1.0,), (2.5,), (97.5,)], "ratio double").select("ratio", S.ratio_tag(F.col("ratio")).alias("tag"))
+    return table(spark, sf, "lineitem").select((F.col("l_quantity") / 4).alias("ratio")).distinct().withColumn("tag", S.ratio_tag(F.col("ratio")))
 
 
 @query("SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS number, (json_extract(props, '$.k'))::INT AS k, CASE WHEN value <= 10 THEN 'low' WHEN value <= 50 THEN 'middle' ELSE 'high' END AS band FROM events")
@@ -159,10 +174,11 @@ def ratio_prefix_r2_5(spark, sf):
 _M = sql_mix(42, "doc_id")
 
 
-@query(f"WITH d AS (SELECT doc_id, lang, (doc_id % 3 = 0) AS odd, {_M} AS h FROM documents), q AS (SELECT *, row_number() OVER (PARTITION BY lang, odd ORDER BY h, doc_id) AS r, least(count(*) FILTER (odd) OVER (PARTITION BY lang), count(*) FILTER (NOT odd) OVER (PARTITION BY lang)) AS q FROM d) SELECT doc_id, lang, CASE WHEN odd THEN 'a' ELSE 'b' END AS side FROM q WHERE r <= q")
+@query(f"WITH d AS (SELECT doc_id, lang, source, (doc_id % 3 = 0) AS odd, {_M} AS h FROM documents), q AS (SELECT *, row_number() OVER (PARTITION BY lang, source, odd ORDER BY h, doc_id) AS r, least(count(*) FILTER (odd) OVER (PARTITION BY lang, source), count(*) FILTER (NOT odd) OVER (PARTITION BY lang, source)) AS q FROM d) SELECT doc_id, lang, source, CASE WHEN odd THEN 'a' ELSE 'b' END AS side FROM q WHERE r <= q")
 def balanced_sample(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("side"))
-    return sampling.balanced(d, ["lang"], "side", ["a", "b"], 42, "doc_id")
+    """As many rows of each side in every stratum of two columns as its rarer side has."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("side"))
+    return sampling.balanced(d, ["lang", "source"], "side", ["a", "b"], 42, "doc_id")
 
 
 @query(f"SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_M}, doc_id) <= 2")
@@ -171,11 +187,14 @@ def fixed_per_stratum(spark, sf):
 
 
 @query(
-    f"""WITH q AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_M}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
-    SELECT doc_id, lang, CASE WHEN r <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN r <= round_even(n * (0.7::DOUBLE + 0.15::DOUBLE), 0) THEN 'validation' ELSE 'test' END AS split FROM q"""
+    f"""WITH s AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY lang, source) >= 20 THEN lang || '/' || source WHEN count(*) OVER (PARTITION BY lang) >= 20 THEN lang ELSE 'all' END AS stratum FROM documents),
+    q AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_M}, doc_id) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM s)
+    SELECT doc_id, stratum, CASE WHEN r <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN r <= round_even(n * (0.7::DOUBLE + 0.15::DOUBLE), 0) THEN 'validation' ELSE 'test' END AS split FROM q"""
 )
 def stratified_split(spark, sf):
-    return sampling.split(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], [("train", 0.7), ("validation", 0.15), ("test", 0.15)], 42, "doc_id")
+    """70/15/15 within the finest stratum of twenty rows: both columns, the first, or all."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source").withColumn("stratum", sampling.fallback_stratum([["lang", "source"], ["lang"]], 20))
+    return sampling.split(rows.select("doc_id", "stratum"), ["stratum"], [("train", 0.7), ("validation", 0.15), ("test", 0.15)], 42, "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
