@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..streaming import metrics
+from ..shared import work_folder
+from ..streaming import collector, metrics
 from .inputs import hashes
 from .register import Register
 
@@ -16,14 +14,14 @@ REGISTER = query = Register()
 
 
 def _folder(spark) -> str:
-    """A folder for checkpoints and output: below spark.checkpoint.dir where the session names one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sievewright-')}"
-    return f"{top}/stream-{uuid.uuid4().hex[:12]}"
+    """A shared folder for checkpoints and output."""
+    return work_folder(spark, "stream")
 
 
 def _finish(spark, out, mode: str, schema):
     """Runs a stream with the input at hand. Complete results of few rows go to memory, others to files."""
-    folder, name = _folder(spark), f"stream_{uuid.uuid4().hex[:12]}"
+    folder = _folder(spark)
+    name = folder.rpartition("/")[2].replace("-", "_")
     writer = out.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
     q = writer.format("memory").queryName(name).start() if mode == "complete" else writer.format("parquet").option("path", f"{folder}/out").start()
     q.awaitTermination()
@@ -50,6 +48,23 @@ def stream_ticks(spark, sf):
     return done.select(F.col("event_type").alias("name"), F.col("tick.start").cast("date").cast("string").alias("day"), "n", F.round("mean", 6).alias("mean"))
 
 
+_DAY = "datediff('day', DATE '1970-01-01', ts::DATE)"
+
+
+@query(
+    f"""WITH e AS (SELECT event_type AS name, value, {_DAY} AS tick FROM events), last AS (SELECT floor((epoch_ms(max(ts::TIMESTAMP)) - 2 * 86400000) / 86400000)::BIGINT AS until FROM events),
+    t AS (SELECT name, tick, count(value) AS num, avg(value) AS mean, CASE WHEN count(value) = 1 THEN 0 ELSE stddev_pop(value) END AS std FROM e WHERE value IS NOT NULL GROUP BY 1, 2),
+    d AS (SELECT name, unnest(range(min(tick)::BIGINT, (SELECT until FROM last))) AS tick FROM t GROUP BY 1), j AS (SELECT d.name, d.tick, t.num, t.mean, t.std FROM d LEFT JOIN t ON t.name = d.name AND t.tick = d.tick)
+    SELECT name, tick::BIGINT AS tick, last_value(num IGNORE NULLS) OVER w AS num, round(last_value(mean IGNORE NULLS) OVER w, 6) AS mean, round(last_value(std IGNORE NULLS) OVER w, 6) AS std, num IS NOT NULL AS fresh FROM j
+    WINDOW w AS (PARTITION BY name ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def stream_collector(spark, sf):
+    """Averages of every closed day since the day before, held over days without reports; rare kinds report only now and then."""
+    out = collector.collected(_events(spark, sf), "event_type", "value", "ts")
+    done = _finish(spark, out, "append", collector.TICKS)
+    return done.select("name", "tick", "num", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "fresh")
+
+
 @query(name="stream_gate")
 def stream_gate(spark, sf):
     """The greedy gate over vectors as they arrive; equal to the batch form (tested)."""

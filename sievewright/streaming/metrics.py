@@ -71,21 +71,20 @@ def greedy_gate(stream: DataFrame, group: str, limit: int, target: int) -> DataF
     import numpy as np
 
     def step(key, parts, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
+        kept = np.array(state.get[0] if state.exists else [], np.int64)
         out = []
         for r in _in_order(parts, "id").itertuples(index=False):
-            h = np.uint64(int(r.hash) & 0xFFFFFFFFFFFFFFFF)
             if len(kept) >= target:
                 decision = "not reached"
             elif not r.quality_ok:
                 decision = "quality"
-            elif any(int(np.bitwise_count(np.uint64(k & 0xFFFFFFFFFFFFFFFF) ^ h)) <= limit for k in kept):
+            elif (np.bitwise_count((kept ^ np.int64(r.hash)).view(np.uint64)) <= limit).any():
                 decision = "self duplicate"
             else:
-                kept.append(int(r.hash))
+                kept = np.append(kept, np.int64(r.hash))
                 decision = "kept"
             out.append((key[0], r.id, decision))
-        state.update((kept,))
+        state.update((kept.tolist(),))
         yield pd.DataFrame(out, columns=["combo", "id", "decision"])
 
     return stream.groupBy(group).applyInPandasWithState(step, "combo int, id long, decision string", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
