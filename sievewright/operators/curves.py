@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 
 def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact linear-interpolated quartiles and the count."""
@@ -90,14 +94,24 @@ def trimmed_mean(df: DataFrame, value: str, low: float = 0.01, high: float = 0.9
 
     The statistics come from counts by distinct value, so no window holds the rows themselves.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(value)))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    ends = upto.crossJoin(F.broadcast(total)).agg(
-        F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * low), F.col(value))).alias("lo"),
-        F.min(F.when(F.col("upto") > F.ceil((F.col("total") - 1) * high), F.col(value))).alias("hi"),
-    )
-    return counts.crossJoin(F.broadcast(ends)).filter(F.col(value).between(F.col("lo"), F.col("hi"))).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("trimmed_mean"), F.sum("n").alias("n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = kept(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), "counts")
+    parts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.sum("n").alias("n")).collect())  # one row a range
+    total = sum(n for _, n in parts)
+    if not total:
+        return ranged.agg(F.avg(value).alias("trimmed_mean"), F.lit(0).cast("long").alias("n"))
+
+    def statistic(rank: int):
+        """The value at a rank: its range is known from the counts, and only that range is sorted."""
+        before = 0
+        for part, n in parts:
+            if rank < before + n:
+                upto = F.sum("n").over(Window.partitionBy("_part").orderBy(value)) + before
+                return ranged.filter(F.col("_part") == part).withColumn("upto", upto).filter(F.col("upto") > rank).agg(F.min(value)).first()[0]
+            before += n
+
+    lo, hi = statistic(math.floor((total - 1) * low)), statistic(math.ceil((total - 1) * high))
+    return ranged.filter(F.col(value).between(F.lit(lo), F.lit(hi))).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("trimmed_mean"), F.sum("n").alias("n"))
 
 
 def exposure(df: DataFrame, by: list[str], order: str, seen: Column, size: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import ordinals
+
 
 def exact_overlap(left: DataFrame, right: DataFrame, key: str | list[str], id_col: str) -> DataFrame:
     """Rows of ``left`` whose key ``right`` has, with the number of links and the least id there; ``right`` is counted before it is joined."""
@@ -49,10 +51,9 @@ def guard_unique(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_ok", F.when(bad, F.raise_error(F.concat(F.lit(f"{key} is null or repeated: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")).otherwise(True)).filter("_ok").drop("_ok")
 
 
-def chunk(df: DataFrame, order: list[Column], size: int, by: list[str] | None = None) -> DataFrame:
-    """``chunk`` number of each row in groups of ``size``; without ``by`` the numbering is one sort."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
+def chunk(df: DataFrame, order: list[str], size: int, by: list[str] | None = None) -> DataFrame:
+    """``chunk`` number of each row in groups of ``size``, in order, within ``by`` if named; no task sorts a group."""
+    return ordinals(df, order, "_place", by).withColumn("chunk", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def compare(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -79,24 +80,11 @@ def required(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFra
     return found.filter(F.coalesce("_there", missing)).drop("_there")
 
 
-def numbered(df: DataFrame, order: str, name: str = "_place") -> DataFrame:
-    """Places from 0 in order of a column: counts of ranges first, then ranks inside each, so no task sorts all rows."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(order)
-    return ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-
-
 def zip_rows(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
     """Rows of two relations at equal places; relations of unequal length are an error, before anything is joined."""
     a, b = left.count(), right.count()
     if a != b:
         raise ValueError(f"{a} rows of one side and {b} of the other")
-
-    def placed(df: DataFrame, order: str) -> DataFrame:
-        parts = numbered(df, order)
-        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-        return parts.join(sizes, "_part").withColumn("_place", F.col("_place") + F.col("_base")).drop("_part", "_base")
-
-    other = placed(right, right_order)
     clash = [c for c in right.columns if c in left.columns]
-    return placed(left, left_order).join(other.drop(*clash), "_place").drop("_place")
+    other = ordinals(right, [right_order], "_place").drop(*clash)
+    return ordinals(left, [left_order], "_place").join(other, "_place").drop("_place")

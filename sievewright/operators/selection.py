@@ -197,9 +197,20 @@ def frechet(a: tuple[int, list[float]], b: tuple[int, list[float]]) -> float:
 
 def kernel_distance(df: DataFrame, subsets: int, size: int, seed: int) -> DataFrame:
     """Kernel distance (cubic polynomial) per seeded subset of both sides; rows (subset, kid)."""
+    counts = {r["side"]: r["n"] for r in df.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    draw = lambda s: F.xxhash64(F.lit(seed), s, F.col("id"))
+    # ``size`` draws of least hash lie below this share of the hashes but for a chance of some 1e-15: a vector is copied only to the subsets it can be in
+    share = {side: min(1.0, (size + 8 * size**0.5 + 16) / n) for side, n in counts.items()}
+    limit = F.lit(2**63 - 1).cast("long")
+    for side, p in share.items():
+        limit = F.when(F.col("side") == side, F.lit(int(-(2**63) + p * (2**64 - 1)) if p < 1 else 2**63 - 1).cast("long")).otherwise(limit)
     w = Window.partitionBy("subset", "side").orderBy("draw", "id")
-    drawn = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))).alias("subset")).withColumn("draw", F.xxhash64(F.lit(seed), "subset", "id"))
-    chosen = drawn.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= size)
+    near = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda s: draw(s) <= limit)
+    drawn = df.select("*", F.explode(near).alias("subset")).withColumn("draw", draw(F.col("subset")))
+    chosen = kept(drawn.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= size), "subsets")
+    short = chosen.groupBy("subset", "side").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < F.least(F.lit(size), F.lit(min(counts.values(), default=0))))
+    if not short.isEmpty():
+        raise ValueError("a subset is short: take another seed")
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.array(rows.loc[rows["side"] == s, "vector"].tolist(), float) for s in (0, 1))

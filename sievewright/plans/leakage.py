@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import content_hash, let, sign_hash
 from ..operators import neighbours, relational, similarity
 from ..session import table
-from ..shared import kept
+from ..shared import kept, ordinals
 from .inputs import COSINE, HAMMING, VECTORS, hashes, vectors
 from .register import Register
 
@@ -45,15 +45,18 @@ def exact_hash_overlap(spark, sf):
 
 
 @query(
-    f"""WITH {_SPLIT} SELECT l.sha AS sha, count(DISTINCT l.doc_id) AS train_rows, count(DISTINCT r.doc_id) AS test_rows, count(*) AS links,
-    array_to_string(list_sort(list(DISTINCT l.doc_id::VARCHAR)), ' | ') AS train_ids FROM train l JOIN test r ON l.sha = r.sha GROUP BY 1"""
+    f"""WITH {_SPLIT}, c AS (SELECT l.sha AS sha, count(DISTINCT l.doc_id) AS train_rows, count(DISTINCT r.doc_id) AS test_rows, count(*) AS links FROM train l JOIN test r ON l.sha = r.sha GROUP BY 1),
+    m AS (SELECT doc_id, sha, 'train' AS side FROM train UNION ALL SELECT doc_id, sha, 'test' FROM test)
+    SELECT c.sha, train_rows, test_rows, links, side, doc_id, row_number() OVER (PARTITION BY c.sha, side ORDER BY doc_id) AS place FROM c JOIN m ON m.sha = c.sha"""
 )
 def overlap_clusters(spark, sf):
+    """Identities that both sides hold: sizes and links of the class, and one row a member with its place in the sorted list of its side."""
     train, test = _split(spark, sf)
-    ids = F.array_join(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))), " | ")
-    a = train.groupBy("sha").agg(F.count_distinct("doc_id").alias("train_rows"), F.count(F.lit(1)).alias("l"), ids.alias("train_ids"))
-    b = test.groupBy("sha").agg(F.count_distinct("doc_id").alias("test_rows"), F.count(F.lit(1)).alias("r"))
-    return a.join(b, "sha").select("sha", "train_rows", "test_rows", (F.col("l") * F.col("r")).alias("links"), "train_ids")
+    count = lambda df, n: df.groupBy("sha").agg(F.count_distinct("doc_id").alias(f"{n}_rows"), F.count(F.lit(1)).alias(n))
+    classes = count(train, "train").join(count(test, "test"), "sha").select("sha", "train_rows", "test_rows", (F.col("train") * F.col("test")).alias("links"))
+    members = train.select("doc_id", "sha", F.lit("train").alias("side")).union(test.select("doc_id", "sha", F.lit("test").alias("side")))
+    placed = ordinals(relational.only(members, classes, "sha"), ["doc_id"], "_at", ["sha", "side"])
+    return placed.join(classes, "sha").select("sha", "train_rows", "test_rows", "links", "side", "doc_id", (F.col("_at") + 1).alias("place"))
 
 
 @query(f"WITH {_SPLIT} SELECT doc_id, sha FROM train WHERE sha NOT IN (SELECT sha FROM test)")

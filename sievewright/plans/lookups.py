@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import relational, sampling
 from ..operators.stats import binomial_two_sided
 from ..session import table
+from ..shared import ordinals
 from .inputs import TICKS, sql_mix, ticks
 from .register import Register
 
@@ -106,7 +107,7 @@ _M = sql_mix(42, "doc_id")
 def real_only_split(spark, sf):
     """80/20 of the real rows by the finest stratum with ten rows; other rows always train."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", (F.col("doc_id") % 3 != 0).alias("is_real"))
-    rows = docs.withColumn("stratum", sampling.fallback_stratum([["lang", "source"], ["lang"]], 10))
+    rows = sampling.with_stratum(docs, [["lang", "source"], ["lang"]], 10)
     real = sampling.split(rows.filter("is_real"), ["stratum"], [("train", 0.8), ("validation", 0.2)], 42, "doc_id")
     return real.select("doc_id", "stratum", "split").unionAll(rows.filter("not is_real").select("doc_id", "stratum", F.lit("train").alias("split")))
 
@@ -189,15 +190,15 @@ def blinded_export(spark, sf):
     """Three rows an item: what judges see, what they fill in, and the key that alone names the source."""
     blind = F.substring(F.sha2(F.concat(F.lit("seed-7:"), F.col("doc_id").cast("string")), 256), 1, 12)
     rows = table(spark, sf, "documents").select("doc_id", "source", "lang", blind.alias("blind_id"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("blind_id"))).withColumn("part", F.explode(F.array(*map(F.lit, ("public", "response", "key")))))
+    placed = ordinals(rows, ["blind_id"], "_at", ["lang"]).withColumn("place", (F.col("_at") + 1)).withColumn("part", F.explode(F.array(*map(F.lit, ("public", "response", "key")))))
     own = F.col("part") == "key"
     return placed.select("part", "blind_id", "lang", "place", F.when(own, F.col("source")).alias("source"), F.when(own, F.col("doc_id")).alias("doc_id"))
 
 
-@query("SELECT chunk, n, fingerprint, fingerprint = CASE WHEN chunk % 3 = 0 THEN 'stale' ELSE fingerprint END AS valid FROM (SELECT doc_id % 16 AS chunk, count(*) AS n, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY 1)")
+@query("SELECT chunk, n, fingerprint, fingerprint = CASE WHEN chunk % 3 = 0 THEN 'stale' ELSE fingerprint END AS valid FROM (SELECT doc_id // 256 AS chunk, count(*) AS n, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY 1)")
 def cache_validity(spark, sf):
-    """Parts of a feature cache by the content hash they were made from: stale ones are to be made again."""
+    """Parts of a feature cache, 256 ids each, by the content hash they were made from: stale ones are to be made again."""
     hashes = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))), lambda x: x["h"])
-    parts = table(spark, sf, "documents").groupBy((F.col("doc_id") % 16).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(hashes, "")).alias("fingerprint"))
+    parts = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 256).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(hashes, "")).alias("fingerprint"))
     stored = F.when(F.col("chunk") % 3 == 0, "stale").otherwise(F.col("fingerprint"))
     return parts.select("chunk", "n", "fingerprint", (F.col("fingerprint") == stored).alias("valid"))

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, hash_rank
-from ..operators import relational
+from ..operators import relational, sampling
 from ..session import table
-from .inputs import TICKS, sql_mix, ticks
+from .inputs import TICKS, sql_mix, sql_mix32, ticks
 from .register import Register
 
 REGISTER = query = Register()
@@ -53,6 +53,39 @@ def batch_mix(spark, sf):
     return table(spark, sf, "part").select("p_partkey", real.alias("batch_real"), (32 - real).alias("batch_synthetic"))
 
 
+_QUOTA = "greatest(1, least(31, round_even(32 / (1 + step / 4.0::DOUBLE), 0)))::BIGINT"
+
+
+@query(
+    f"""WITH s AS (SELECT step, {_QUOTA} AS batch_real FROM range(40) t(step)), pool AS (SELECT doc_id, doc_id % 3 = 0 AS real, row_number() OVER (PARTITION BY doc_id % 3 = 0 ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY doc_id % 3 = 0) AS n FROM documents),
+    d AS (SELECT step, true AS real, unnest(range(batch_real)) AS draw FROM s UNION ALL SELECT step, false, unnest(range(32 - batch_real)) FROM s), m AS (SELECT real, max(n) AS n FROM pool GROUP BY 1)
+    SELECT step, d.real, draw, p.doc_id FROM d JOIN m ON m.real = d.real JOIN pool p ON p.real = d.real AND p.place = CASE WHEN d.real THEN {sql_mix32('3', 'step', 'draw')} ELSE {sql_mix32('4', 'step', 'draw')} END % m.n"""
+)
+def batch_draws(spark, sf):
+    """Batches of 32 for forty steps of falling share of real rows: each side's quota, drawn with replacement."""
+    real = F.greatest(F.lit(1), F.least(F.lit(31), half_even(F.lit(32) / (1 + F.col("id") / 4.0)))).cast("long")
+    steps = spark.range(40).select(F.col("id").alias("step"), real.alias("real")).withColumn("other", 32 - F.col("real"))
+    docs = table(spark, sf, "documents").select("doc_id")
+    sides = [(True, "real", 3, docs.filter("doc_id % 3 = 0")), (False, "other", 4, docs.filter("doc_id % 3 <> 0"))]
+    a, b = (sampling.draws(steps, pool, quota, seed, "doc_id").select("step", F.lit(side).alias("real"), "draw", "doc_id") for side, quota, seed, pool in sides)
+    return a.unionAll(b)
+
+
+@query("WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents), r AS (SELECT doc_id, p, false AS wrapped FROM p UNION ALL SELECT doc_id, p + n, true FROM p WHERE p < (7 - n % 7) % 7) SELECT doc_id, (p % 7)::INT AS shard, p // 7 AS place, wrapped FROM r")
+def round_robin_shards(spark, sf):
+    """Documents dealt in turn to seven shards of one size; the last round is filled with the first rows, marked."""
+    return sampling.round_robin(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 7).select("doc_id", "shard", "place", "wrapped")
+
+
+@query(
+    """WITH l AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)), d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS m FROM documents),
+    g AS (SELECT r, c, l.source, (r // l.n) * 6 + c AS at FROM range(10) a(r), range(6) b(c), l WHERE l.k = r % l.n) SELECT d.doc_id, d.source, r::INT AS row, c::INT AS "column" FROM g JOIN d ON d.source = g.source AND d.p = g.at % d.m"""
+)
+def label_grid(spark, sf):
+    """A grid of ten rows by six: one source a row, in turn, each going on where it was last shown."""
+    return sampling.label_grid(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 6, 10)
+
+
 @query(f"WITH {TICKS}, c AS (SELECT name, tick, sum(n) OVER (PARTITION BY name ORDER BY tick) AS seen, n FROM ticks) SELECT name, tick, seen // 100 > (seen - n) // 100 OR tick = min(tick) OVER (PARTITION BY name) OR tick = max(tick) OVER (PARTITION BY name) AS triggered FROM c")
 def tick_trigger(spark, sf):
     """A tick every 100 items, at the first and at the last."""

@@ -193,7 +193,7 @@ def fixed_per_stratum(spark, sf):
 )
 def stratified_split(spark, sf):
     """70/15/15 within the finest stratum of twenty rows: both columns, the first, or all."""
-    rows = table(spark, sf, "documents").select("doc_id", "lang", "source").withColumn("stratum", sampling.fallback_stratum([["lang", "source"], ["lang"]], 20))
+    rows = sampling.with_stratum(table(spark, sf, "documents").select("doc_id", "lang", "source"), [["lang", "source"], ["lang"]], 20)
     return sampling.split(rows.select("doc_id", "stratum"), ["stratum"], [("train", 0.7), ("validation", 0.15), ("test", 0.15)], 42, "doc_id")
 
 
@@ -204,7 +204,7 @@ def exclude_ids(spark, sf):
 
 @query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk FROM conversations")
 def chunk_shard(spark, sf):
-    return relational.chunk(table(spark, sf, "conversations").select("conv_id", "turn"), [F.col("turn")], 3, ["conv_id"])
+    return relational.chunk(table(spark, sf, "conversations").select("conv_id", "turn"), ["turn"], 3, ["conv_id"])
 
 
 @query("SELECT chunk, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM (SELECT conv_id % 7 AS chunk, strlen(text) AS bytes FROM conversations) GROUP BY 1")

@@ -47,4 +47,4 @@ def ordinals(df: DataFrame, order: list[str], name: str = "ordinal", by: list[st
     on = F.col("_part") == F.col("_of")
     for s in same:
         on = on & s
-    return ranged.join(pieces, on).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_of", "_shift", *[f"_{k}" for k in keys])
+    return ranged.join(pieces, on).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

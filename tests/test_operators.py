@@ -112,51 +112,6 @@ def test_slerp_and_hash(spark):
     assert got.v == pytest.approx([math.sqrt(0.5)] * 2) and got.h == (1 << 32) - 1
 
 
-def test_guards_raise(spark):
-    df = spark.createDataFrame([(1,), (1,)], "id int")
-    for bad in (relational.guard_unique(df, "id"), relational.mode_policy(df, F.col("id") > 5, "failfast"), sampling.fixed(df, ["id"], 3, 0, "id", strict=True)):
-        with pytest.raises(Exception):
-            bad.collect()
-    with pytest.raises(ValueError):
-        relational.mode_policy(df, F.lit(True), "other")
-
-
-def test_balanced_sample_skips_lone_strata(spark):
-    df = spark.createDataFrame([(i, "x", "ab"[i % 3 == 0]) for i in range(10)] + [(20, "y", "a")], "id int, s string, side string")
-    got = rows(sampling.balanced(df, ["s"], "side", ["a", "b"], 1, "id").groupBy("s", "side").count())
-    assert got == [("x", "a", 4), ("x", "b", 4)]
-
-
-def test_frechet_of_equal_sets_is_zero(spark):
-    rng = np.random.default_rng(3)
-    df = spark.createDataFrame([(i % 2, [float(x) for x in v]) for i, v in enumerate(np.repeat(rng.normal(size=(50, 3)), 2, axis=0))], "side int, vector array<double>")
-    sums = {r.side: (r.n, r.sums) for r in selection.moments(df, "vector", ["side"]).collect()}
-    assert abs(selection.frechet(sums[0], sums[1])) < 1e-9
-
-
-def test_slerp_and_hash(spark):
-    a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0))
-    got = spark.range(1).select(S.slerp(a, b, F.lit(0.5)).alias("v"), S.sign_hash(F.array(*[F.lit(float(i)) for i in range(64)])).alias("h")).first()
-    assert got.v == pytest.approx([math.sqrt(0.5)] * 2) and got.h == (1 << 32) - 1
-
-
-def test_farthest_points_in_whitened_space():
-    rng = np.random.default_rng(4)
-    real, rows = rng.normal(size=(300, 6)) * [1, 5, 1, 1, 9, 1], rng.normal(size=(40, 6)) * [2, 5, 2, 2, 9, 2]
-    space = selection.whitened(real, rows)
-    centre = real.mean(axis=0)
-    axes = np.linalg.svd(real - centre, full_matrices=False)[2]
-    mean, precision = selection.shrunk_precision((real - centre) @ axes.T)
-    d = (rows - centre) @ axes.T - mean
-    assert np.allclose((space**2).sum(axis=1), [x @ precision @ x for x in d])
-    taken = []
-    for _ in range(10):  # by hand: the next is farthest, in that metric, from the mean and all before
-        least = [min([x @ precision @ x] + [(x - d[t]) @ precision @ (x - d[t]) for t in taken]) for x in d]
-        taken.append(int(np.argmax(least)))
-    assert selection.farthest_points(space, 10) == taken
-    assert selection.farthest_points(np.repeat(space[:2], 3, axis=0), 6) in ([0, 3], [3, 0])
-
-
 def test_guards(spark):
     left = spark.createDataFrame([(1,), (2,)], "k int")
     right = spark.createDataFrame([(1, "a")], "k int, v string")
