@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import re
 import struct
+import warnings
 import zipfile
 from collections.abc import Callable
 
@@ -13,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.scalars import file_stem, test_name
 from ..operators.relational import guard_unique, mode_policy
 
 MANIFEST = "filepath string, class string, plane string, source string"
 #: The enums of the manifest.
 CLASSES, PLANES, SOURCES = ("glioma", "meningioma", "no_tumor", "pituitary"), ("ax", "co", "sa"), ("real", "synthetic")
+_IMAGE = r"(?i)\.(jpg|jpeg|png)$"
 _READERS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -112,10 +116,61 @@ def image_folder(spark: SparkSession, path, max_images: int | None = None) -> Da
 
 
 @reader("metric_lines")
-def metric_lines(spark: SparkSession, path, schema: str) -> DataFrame:
-    """JSON objects among other lines of logs; lines that are none are ignored."""
+def metric_lines(spark: SparkSession, path, schema: str, after_first: str | None = None) -> DataFrame:
+    """JSON objects among other lines of logs; lines that are none are ignored.
+
+    With ``after_first`` the records of least value of that column are left out: the first tick of a run is no measurement.
+    """
     rows = spark.read.text(path).filter(F.rlike("value", F.lit(r"^\s*\{.*\}\s*$")))
-    return rows.select(F.from_json("value", schema).alias("r")).filter("r is not null").select("r.*")
+    rows = rows.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).filter("r is not null").select("r.*")
+    if after_first is None:
+        return rows
+    first = rows.agg(F.min(after_first)).first()[0]
+    return rows.filter(F.col(after_first) > F.lit(first)) if first is not None else rows.limit(0)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+@reader("partitions")
+def partitions(spark: SparkSession, path, classes: tuple[str, ...] = CLASSES, planes: tuple[str, ...] = PLANES, below: str = "") -> DataFrame:
+    """Images of one folder for each class and plane (``class_plane``, or ``class_plane/below``), in lexical order; a folder that is missing warns and is empty."""
+    found = {}
+    for c in classes:
+        for p in planes:
+            place = "/".join(x for x in (path.rstrip("/"), f"{c}_{p}", below) if x)
+            if _exists(spark, place):
+                found[place] = (c, p)
+            else:
+                warnings.warn(f"{place} is missing", stacklevel=2)
+    out = spark.createDataFrame([], "path string, class string, plane string, length long")
+    for place, (c, p) in found.items():
+        rows = spark.read.format("binaryFile").load(place).filter(F.rlike("path", F.lit(_IMAGE)))
+        out = out.unionAll(rows.select("path", F.lit(c).alias("class"), F.lit(p).alias("plane"), "length"))
+    return out.orderBy("path")
+
+
+@reader("class_folders")
+def class_folders(spark: SparkSession, path) -> DataFrame:
+    """Test images with class and plane from their names, in lexical order: without a class a row goes, an unknown plane is ``?``."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.rlike("path", F.lit(_IMAGE)))
+    name = test_name(file_stem(F.col("path")))
+    return rows.select("path", name["class"].alias("class"), F.coalesce(name["plane"], F.lit("?")).alias("plane"), "length").filter(F.col("class").isNotNull()).orderBy("path")
+
+
+@reader("listing")
+def listing(spark: SparkSession, path, ignores: tuple[str, ...] = ()) -> DataFrame:
+    """All files below a folder by relative path, without those of which the name or a folder on the way matches a glob of ``ignores``; names that begin with _ or . are hidden from every reader."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    place = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    top = "/" + re.sub("^[a-z]+:/+", "", path.rstrip("/")).lstrip("/") + "/"
+    parts = F.split(F.substring(place, F.lit(len(top) + 1), F.length(place)), "/")
+    rows = rows.select(F.array_join(parts, "/").alias("name"), parts.alias("parts"), "length")
+    for glob in ignores:
+        rows = rows.filter(~F.exists("parts", lambda x, g=fnmatch.translate(glob): F.rlike(x, F.lit(g.replace(r"\Z", "$").replace(r"\z", "$")))))
+    return rows.select("name", "length").orderBy("name")
 
 
 class _Part(InputPartition):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import ordinals
+
 
 def manifest(df: DataFrame, path: str, fields: list[str], order: list[str] | None = None) -> None:
     """CSV with a header and explicit field order, sorted by ``order``; an empty table writes its header."""
@@ -15,14 +17,55 @@ def manifest(df: DataFrame, path: str, fields: list[str], order: list[str] | Non
 
 
 def history(parts: list[DataFrame], path: str, by: list[str]) -> None:
-    """Rows of differing columns as JSON lines and as CSV, with the union of columns in first-seen order."""
+    """Rows of differing columns as JSON lines with sorted keys and as CSV, with the union of columns in first-seen order."""
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
-    rows.write.mode("overwrite").partitionBy(*by).json(f"{path}/jsonl")
+    rows.select(sorted_json(rows).alias("value"), *by).write.mode("overwrite").partitionBy(*by).text(f"{path}/jsonl")
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
+def sorted_json(df: DataFrame) -> Column:
+    """A row as compact JSON, keys sorted, nulls left out."""
+    return F.to_json(F.struct(*sorted(df.columns)))
+
+
+def append_lines(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Adds records to a folder of JSON lines, in order within what is added; what is there stays."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    rows.select(sorted_json(df).alias("value")).write.mode("append").text(path)
+
+
+def stream_lines(stream: DataFrame, path: str, checkpoint: str):
+    """A streaming query that adds records as JSON lines, each micro-batch once: its number names its folder."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.select(sorted_json(df).alias("value")).write.mode("overwrite").text(f"{path}/batch={batch:08d}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def document(df: DataFrame, path: str) -> None:
+    """One row, nested as it is, as one JSON document with sorted keys; any other number of rows is an error."""
+    n = df.limit(2).count()
+    if n != 1:
+        raise ValueError("a document is one row")
+    df.select(sorted_json(df).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def features(df: DataFrame, path: str, order: str, vector: str, overwrite: bool = False) -> None:
+    """Vectors in order of a column as one .npy file, with lineage beside it: rows, width and the hash of the file.
+
+    Tasks write their rows as raw floats; the commit puts the header before them and renames the whole.
+    """
+    from .arrays import FeatureSink
+
+    df.sparkSession.dataSource.register(FeatureSink)
+    rows = ordinals(df.select(F.col(order).alias("_order"), F.col(vector).cast("array<float>").alias("vector")), ["_order"], "row_id")
+    rows = rows.select("row_id", "vector").repartitionByRange("row_id").sortWithinPartitions("row_id")
+    rows.write.format("feature_file").mode("overwrite" if overwrite else "append").save(path)
+
+
 def shards(df: DataFrame, path: str, order: list[Column], cap: int, groups: list[str]) -> DataFrame:
     """Rows as JSON lines in shards of at most ``cap`` records; returns the index (groups, shard, n).
 
