@@ -3,7 +3,7 @@
 A forest's trees are independent given their number: bag, features of each node and thresholds come from hashes of
 (seed, tree, row), so a forest of 500 trees begins with the same 25 trees as one of 25, and growth reuses what
 is there. Trees are dealt to tasks in lots of ``LOT``; a lot grows level by level, all its trees side by side, on
-binned features: one count of (node, bin, class) a candidate feature finds the best splits of a level.
+binned features: one sort by (node, bin) a candidate feature and running class counts find the best splits of a level.
 
 Training rows are a bounded sample (``MOST`` labelled rows of least id hash, a documented parameter); they are sent
 once as packed rows of a table in the shared folder and read by every lot. Test rows are not bounded: they are
@@ -93,17 +93,27 @@ def grown(b: np.ndarray, y: np.ndarray, rows: np.ndarray, classes: int, seed: in
         tries = candidates(seed, np.array(trees)[tree], np.array([out["path"][i] for i in open_]), b.shape[1], tried)
         best, feature, cut = np.full(len(open_), 1e-12), np.full(len(open_), -1), np.zeros(len(open_), np.int64)
         parent = size - (total**2).sum(axis=1) / np.maximum(size, 1)
+        drawn = np.zeros((len(row), classes))
+        drawn[np.arange(len(row)), y[row]] = w
         for k in range(tries.shape[1]):
-            own = b[row, tries[at, k]].astype(np.int64)
-            count = np.bincount((at * bins + own) * classes + y[row], w, len(open_) * bins * classes).reshape(len(open_), bins, classes)
-            low = count.cumsum(axis=1)[:, :-1]
-            high = total[:, None] - low
-            a, c = low.sum(axis=2), high.sum(axis=2)
-            impurity = a - (low**2).sum(axis=2) / np.maximum(a, 1) + c - (high**2).sum(axis=2) / np.maximum(c, 1)
-            gain = np.where((a >= leaf) & (c >= leaf), parent[:, None] - impurity, -1)
-            j = gain.argmax(axis=1)
-            better = gain[np.arange(len(j)), j] > best + 1e-9
-            best[better], feature[better], cut[better] = gain[np.arange(len(j)), j][better], tries[better, k], j[better]
+            key = at * bins + b[row, tries[at, k]]
+            order = np.argsort(key, kind="stable")
+            key, upto = key[order], drawn[order].cumsum(axis=0)
+            end = np.flatnonzero(np.r_[key[1:] != key[:-1], True])  # the last row of each (node, bin)
+            of = key[end] // bins
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            before = np.where(start[:, None] > 0, upto[end[np.maximum(start - 1, 0)]], 0)
+            low = upto[end] - np.repeat(before, np.diff(np.r_[start, len(of)]), axis=0)
+            high = total[of] - low
+            a, c = low.sum(axis=1), high.sum(axis=1)
+            impurity = a - (low**2).sum(axis=1) / np.maximum(a, 1) + c - (high**2).sum(axis=1) / np.maximum(c, 1)
+            gain = np.where((a >= leaf) & (c >= leaf), parent[of] - impurity, -1)
+            most = np.maximum.reduceat(gain, start)
+            hit = np.flatnonzero(gain == np.repeat(most, np.diff(np.r_[start, len(of)])))
+            hit = hit[np.unique(of[hit], return_index=True)[1]]  # of equal gains the lowest bin
+            better = gain[hit] > best[of[hit]] + 1e-9
+            hit = hit[better]
+            best[of[hit]], feature[of[hit]], cut[of[hit]] = gain[hit], tries[of[hit], k], key[end[hit]] % bins
         split = np.flatnonzero((feature >= 0) & mixed)
         if not len(split):
             break

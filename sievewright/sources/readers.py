@@ -169,7 +169,8 @@ def listing(spark: SparkSession, path, ignores: tuple[str, ...] = ()) -> DataFra
     parts = F.split(F.substring(place, F.lit(len(top) + 1), F.length(place)), "/")
     rows = rows.select(F.array_join(parts, "/").alias("name"), parts.alias("parts"), "length")
     for glob in ignores:
-        rows = rows.filter(~F.exists("parts", lambda x, g=fnmatch.translate(glob): F.rlike(x, F.lit(g.replace(r"\Z", "$").replace(r"\z", "$")))))
+        pattern = fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")
+        rows = rows.filter(~F.array_contains(F.transform("parts", lambda x: F.rlike(x, F.lit(pattern))), True))  # noqa: B023
     return rows.select("name", "length").orderBy("name")
 
 
