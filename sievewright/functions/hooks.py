@@ -69,13 +69,17 @@ class Hooks:
 
 def transformed(df: DataFrame, make: Callable[[], Callable[[dict], dict | None]], schema: str) -> DataFrame:
     """Rows through a transform that each task makes for itself; rows for which it returns None are dropped."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         each = make()
         for batch in batches:
             rows = [r for r in map(each, batch.to_pylist()) if r is not None]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return df.mapInArrow(run, schema)
 

@@ -43,13 +43,23 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def unit(a: Column) -> Column:
+    """A vector of length one; its norm is computed once."""
+    return let(l2_norm(a), lambda n: F.transform(a, lambda x: x / n))
+
+
 def slerp(a: Column, b: Column, t: Column) -> Column:
-    """Spherical interpolation between two vectors."""
-    ua, ub = F.transform(a, lambda x: x / l2_norm(a)), F.transform(b, lambda x: x / l2_norm(b))
-    angle = t * F.acos(F.least(F.greatest(dot(ua, ub), F.lit(-1.0)), F.lit(1.0)))
-    side = F.zip_with(ub, ua, lambda y, x: y - dot(ua, ub) * x)
-    mixed = F.zip_with(ua, side, lambda x, s: x * F.cos(angle) + s / l2_norm(side) * F.sin(angle))
-    return F.transform(mixed, lambda x: x / l2_norm(mixed))
+    """Spherical interpolation between two vectors; every step is computed once, so the work is that of a few products."""
+
+    def turned(u: Column) -> Column:
+        return let(F.least(F.greatest(dot(u["a"], u["b"]), F.lit(-1.0)), F.lit(1.0)), lambda c: along(u, c))
+
+    def along(u: Column, c: Column) -> Column:
+        side = unit(F.zip_with(u["b"], u["a"], lambda y, x: y - c * x))
+        angle = t * F.acos(c)
+        return let(side, lambda s: unit(F.zip_with(u["a"], s, lambda x, y: x * F.cos(angle) + y * F.sin(angle))))
+
+    return let(F.struct(unit(a).alias("a"), unit(b).alias("b")), turned)
 
 
 def half_even(value: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import archives, curves, imaging, leakage, lookups, records, relations, resampling, scoring, selecting, streams
+from . import archives, curves, exchange, imaging, leakage, lookups, records, relations, resampling, scoring, selecting, streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (archives, imaging, leakage, lookups, relations, records, scoring, resampling, curves, selecting, streams):
+for _part in (archives, exchange, imaging, leakage, lookups, relations, records, scoring, resampling, curves, selecting, streams):
     QUERIES |= _part.REGISTER.queries
     ORACLE |= _part.REGISTER.oracle

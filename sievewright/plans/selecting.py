@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
@@ -79,7 +80,7 @@ def filter_funnel(spark, sf):
     return sums.join(median, "combo").join(took, "combo", "left").na.fill(0, [c for c in took.columns if c != "combo"])
 
 
-_GREEDY = f"""WITH RECURSIVE {VECTORS}, near AS (SELECT a.id AS i, b.id AS j FROM hashes a JOIN hashes b ON a.combo = b.combo AND b.id < a.id AND {HAMMING} <= 22),
+GREEDY = f"""WITH RECURSIVE {VECTORS}, near AS (SELECT a.id AS i, b.id AS j FROM hashes a JOIN hashes b ON a.combo = b.combo AND b.id < a.id AND {HAMMING} <= 22),
 o AS (SELECT id, combo, row_number() OVER (PARTITION BY combo ORDER BY id) AS k FROM vectors),
 r AS (SELECT combo, k, [id] AS kept, id, true AS keep FROM o WHERE k = 1 UNION ALL SELECT o.combo, o.k, CASE WHEN x.hit THEN r.kept ELSE list_append(r.kept, o.id) END, o.id, NOT x.hit
     FROM r JOIN o ON o.combo = r.combo AND o.k = r.k + 1, LATERAL (SELECT EXISTS (SELECT 1 FROM near WHERE near.i = o.id AND list_contains(r.kept, near.j)) AS hit) x)
@@ -90,7 +91,7 @@ def _candidates(spark, sf):
     return hashes(spark, sf).select(F.col("combo").cast("int").alias("combo"), "id", F.lit(True).alias("quality_ok"), F.lit(True).alias("m2_ok"), F.lit(False).alias("ref_near"), "hash")
 
 
-@query(_GREEDY)
+@query(GREEDY)
 def greedy_dedup(spark, sf):
     return selection.greedy_gate(_candidates(spark, sf), 22, 1 << 30)
 
@@ -110,7 +111,11 @@ def kid(spark, sf):
     return selection.kernel_distance(v, KID_SUBSETS, KID_SIZE, 1).agg(F.round(F.avg("kid"), 6).alias("kid"))
 
 
-@query(name="power_spectrum")
+@query(
+    f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), w AS (SELECT vec_id, i, x * ([{", ".join(repr(v) for v in np.kaiser(64, 8).tolist())}])[i + 1] AS y FROM x),
+    f AS (SELECT vec_id, k, sum(y * cos(2 * pi() * k * i / 64)) AS re, sum(y * sin(2 * pi() * k * i / 64)) AS im FROM w, range(33) t(k) GROUP BY 1, 2) SELECT k::INT AS k, round(avg(re * re + im * im), 6) AS power FROM f GROUP BY 1""",
+    name="power_spectrum",
+)
 def power_spectrum(spark, sf):
     return selection.power_spectrum(table(spark, sf, "embeddings"), "embedding").select("k", F.round("power", 6).alias("power"))
 

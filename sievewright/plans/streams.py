@@ -9,6 +9,7 @@ from ..shared import work_folder
 from ..streaming import collector, metrics
 from .inputs import hashes
 from .register import Register
+from .selecting import GREEDY
 
 REGISTER = query = Register()
 
@@ -65,7 +66,7 @@ def stream_collector(spark, sf):
     return done.select("name", "tick", "num", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "fresh")
 
 
-@query(name="stream_gate")
+@query(GREEDY, name="stream_gate")
 def stream_gate(spark, sf):
     """The greedy gate over vectors as they arrive; equal to the batch form (tested)."""
     folder = _folder(spark)

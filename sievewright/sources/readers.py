@@ -71,8 +71,11 @@ def dat(spark: SparkSession, path, sep: str = " ") -> DataFrame:
 def results(spark: SparkSession, path, seeds: int | None = None) -> DataFrame:
     """Nested result documents; with ``seeds``, conditions with fewer runs are left out."""
     rows = spark.read.json(path, multiLine=True)
-    if seeds is None:
-        return rows
+    return rows if seeds is None else complete(rows, seeds)
+
+
+def complete(rows: DataFrame, seeds: int) -> DataFrame:
+    """The conditions that have ``seeds`` different seeds or more."""
     full = rows.groupBy("condition").agg(F.count_distinct("seed").alias("n")).filter(F.col("n") >= seeds).select("condition")
     return rows.join(full, "condition", "left_semi")
 

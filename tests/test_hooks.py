@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +39,28 @@ def test_transform_drops(spark):
 
     assert sorted(map(tuple, hooks.transformed(spark.range(6), make, "id long, twice long").collect())) == [(1, 2), (3, 6), (5, 10)]
     assert hooks.transformed(spark.range(0), make, "id long, twice long").collect() == []
+
+
+def test_transforms_keep_the_types_of_the_schema(spark):
+    rows = spark.createDataFrame([(1, None), (2, "x")], "id int, s string")
+    got = hooks.transformed(rows, lambda: lambda r: r, "id int, s string").collect()
+    assert sorted(map(tuple, got)) == [(1, None), (2, "x")]
+
+
+def test_names_of_planes_and_tests(spark):
+    names = ["scan_ax_001", "aaxb", "scan_AX_1", "x__sa__y", "co", "a_b_c_gl_ax_t", "a_b_c_nt_zz_t", "a_b_c_pi_sa", "a_b_c_qq_co_t"]
+    rows = spark.createDataFrame([(n,) for n in names], "s string")
+    first, free = scalars.test_name(F.col("s")), scalars.test_name(F.col("s"), False)
+    got = rows.select(scalars.token_in(F.col("s"), ["ax", "co", "sa"]).alias("p"), first["class"].alias("c"), first["plane"].alias("q"), free["plane"].alias("f")).collect()
+    assert [r.p for r in got] == ["ax", None, None, "sa", "co", "ax", None, "sa", "co"]
+    assert [(r.c, r.q, r.f) for r in got[5:]] == [("glioma", "ax", "ax"), ("no_tumor", None, "zz"), (None, None, None), (None, "co", "co")]
+
+
+def test_slerp_of_long_vectors(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 300))
+    df = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>")
+    got = np.array(df.select(scalars.slerp(F.col("a"), F.col("b"), F.lit(0.25)).alias("v")).first().v)
+    u, v = a / np.linalg.norm(a), b / np.linalg.norm(b)
+    w = np.arccos(u @ v)
+    assert np.allclose(got, (np.sin(0.75 * w) * u + np.sin(0.25 * w) * v) / np.sin(w))
