@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,8 +204,11 @@ def summary(draws: DataFrame, level: float = 0.95) -> DataFrame:
     return holm(out, "p_raw")
 
 
-def _means(sizes: list[int], seed: int):
-    """For mapInArrow over (low, high, block, cases, data) with data (diff, n): mean difference of each drawn iteration."""
+def _ranges(sizes: list[int], seed: int, swap: bool):
+    """For mapInArrow over (low, high, block, cases, data) with data (diff, n): for each iteration the mean of drawn cases, or the sum with swapped signs."""
+
+    def made(sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sums[:, 0] if swap else sums[:, 0] / sums[:, 1])], ["m"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         now, sums, draws = None, None, None
@@ -215,22 +217,33 @@ def _means(sizes: list[int], seed: int):
                 its = np.arange(r["low"], r["high"])
                 if r["low"] != now:
                     if now is not None:
-                        yield pa.RecordBatch.from_pandas(pd.DataFrame({"m": sums[:, 0] / sums[:, 1]}), preserve_index=False)
+                        yield made(sums)
                     now, sums, draws = r["low"], np.zeros((len(its), 2)), block_draws(seed, its, sizes)
-                data = np.frombuffer(r["data"], np.int32).reshape(len(r["cases"]), 2).astype(float)
+                cases = np.array(r["cases"], np.int64)
+                data = np.frombuffer(r["data"], np.int32).reshape(len(cases), 2).astype(float)
                 b = r["block"]
-                sums = sums + drawn(seed, its, draws[:, b], draws[:, :b].sum(axis=1), len(data)) @ data
+                w = 1 - 2 * swapped(seed, its, cases) if swap else drawn(seed, its, draws[:, b], draws[:, :b].sum(axis=1), len(data))
+                sums = sums + w @ data
         if now is not None:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"m": sums[:, 0] / sums[:, 1]}), preserve_index=False)
+            yield made(sums)
 
     return run
 
 
-def bootstrap_means(cases: DataFrame, count: int, seed: int, size: int = CASES, span: int = RANGE) -> DataFrame:
-    """Column m: the mean difference of each of ``count`` bootstrap draws of cases (case_id, diff, n)."""
+def _by_range(cases: DataFrame, count: int, seed: int, swap: bool, size: int, span: int) -> DataFrame:
     blocks = placed_blocks(cases.select("case_id", F.array(F.col("diff").cast("int"), F.col("n").cast("int")).alias("v")), size)
-    sizes = [r["n"] for r in blocks.select("block", F.size("cases").alias("n")).orderBy("block").collect()]
+    sizes = [r["n"] for r in blocks.select("block", F.size("cases").alias("n")).orderBy("block").collect()]  # one number a block
     spans = cases.sparkSession.range(0, count, span).select(F.col("id").alias("low"), F.least(F.col("id") + span, F.lit(count)).alias("high"))
     each = spans.select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(max(len(sizes), 1) - 1))).alias("block"))
     sent = each.join(blocks, "block").repartition("low").sortWithinPartitions("low", "block").select("low", "high", "block", "cases", "data")
-    return sent.mapInArrow(_means(sizes, seed), "m double")
+    return sent.mapInArrow(_ranges(sizes, seed, swap), "m double")
+
+
+def bootstrap_means(cases: DataFrame, count: int, seed: int, size: int = CASES, span: int = RANGE) -> DataFrame:
+    """Column m: the mean difference of each of ``count`` bootstrap draws of cases (case_id, diff, n)."""
+    return _by_range(cases, count, seed, False, size, span)
+
+
+def swapped_sums(cases: DataFrame, count: int, seed: int, size: int = CASES, span: int = RANGE) -> DataFrame:
+    """Column m: the sum of differences with the signs of each of ``count`` permutations of cases (case_id, diff, n)."""
+    return _by_range(cases, count, seed, True, size, span)

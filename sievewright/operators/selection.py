@@ -224,14 +224,34 @@ def kernel_distance(df: DataFrame, subsets: int, size: int, seed: int) -> DataFr
     return chosen.select("subset", "side", "id", "vector").groupBy("subset").applyInPandas(of, "subset int, kid double")
 
 
+def _in_order(limit: int):
+    """For applyInArrow over (combo, id, hash) of one block at most: the ids that are kept in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, h = table.column("id").to_numpy().astype(np.int64), table.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(ids, kind="stable")
+        ids, h, out = ids[order], h[order], []
+        while len(ids):
+            out.append(int(ids[0]))
+            far = np.bitwise_count(h ^ h[0]) > limit
+            ids, h = ids[far], h[far]
+        return pa.table({"id": pa.array(out, pa.int64())})
+
+    return run
+
+
 def first_wins(rows: DataFrame, limit: int, rounds: list | None = None) -> DataFrame:
     """Ids (id) that are kept when rows (combo, id, hash) come in order of id and one within ``limit`` bits of a kept one goes.
 
     The choice is the first independent set in order of id. A round keeps every open row without an earlier open
     neighbour and removes the open neighbours of those; all of it block against block, so a group of
-    any size is shared by many tasks and no pair is a row. Equal hashes are settled before: the first stands for all.
+    any size is shared by many tasks and no pair is a row. What is left of a group is settled in order within one task as
+    soon as it fits into one block. Equal hashes are settled before: the first stands for all.
     ``rounds`` receives the number of open rows of each round.
     """
+    from . import neighbours
+    from .sampling import with_counts
+
     open_ = kept(rows.groupBy("combo", "hash").agg(F.min("id").alias("id")), "open")
     middles = centres(open_.select("id", F.col("hash").alias("x")), "hamming")
     own = lambda df: blocks(df, "hash", "hamming", group="combo", middles=middles)
@@ -239,10 +259,16 @@ def first_wins(rows: DataFrame, limit: int, rounds: list | None = None) -> DataF
     while n := open_.count():
         if rounds is not None:
             rounds.append(n)
+        sized = with_counts(open_, ["combo"], _n=F.count(F.lit(1)))
+        few = sized.filter(F.col("_n") <= neighbours.BLOCK).select("combo", "id", "hash").groupBy("combo").applyInArrow(_in_order(limit), "id long")
+        done = kept(few, "kept") if done is None else done.union(kept(few, "kept"))
+        open_ = kept(sized.filter(F.col("_n") > neighbours.BLOCK).select("combo", "id", "hash"), "open")
+        if open_.isEmpty():
+            break
         a = own(open_)
         waiting = compared(close_pairs(block_pairs(a, a, "hamming"), "hamming", limit), a, a, earlier("hamming", limit), "query_id long").distinct()
         first = kept(open_.join(waiting, open_["id"] == waiting["query_id"], "left_anti"), "kept")
-        done = first.select("id") if done is None else done.union(first.select("id"))
+        done = done.union(first.select("id"))
         b = own(first)
         gone = compared(close_pairs(block_pairs(a, b, "hamming"), "hamming", limit), a, b, inside("hamming", limit), "query_id long").distinct()
         open_ = kept(open_.join(gone, open_["id"] == gone["query_id"], "left_anti"), "open")

@@ -12,8 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import mix32
-from .resample import bootstrap_means
+from .resample import bootstrap_means, swapped_sums
 
 
 def holm(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
@@ -35,19 +34,10 @@ def case_differences(base: DataFrame, other: DataFrame) -> DataFrame:
     return pair.filter(ok).groupBy("case_id").agg(F.sum(delta).alias("diff"), F.count(F.lit(1)).alias("n"))
 
 
-def iterations(df: DataFrame, count: int) -> DataFrame:
-    """Iteration numbers as the parallel axis."""
-    return df.sparkSession.range(count).select(F.col("id").alias("it"))
-
-
 def permutation_p(cases: DataFrame, count: int, seed: int) -> DataFrame:
     """Two-sided permutation p: signs of whole cases are flipped; (k + 1) / (n + 1)."""
-    seen = cases.agg(F.sum("diff").alias("seen"))
-    # cases are few columns of integers; every iteration reads them all, so they are exploded by iteration
-    flips = cases.select("diff", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("it"), "case_id")
-    sign = F.when(mix32(seed, F.col("it"), F.col("case_id")) % 2 == 0, 1).otherwise(-1)
-    sums = flips.groupBy("it").agg(F.sum(F.col("diff") * sign).alias("s"))
-    return sums.crossJoin(F.broadcast(seen)).agg(((F.sum((F.abs("s") >= F.abs("seen")).cast("int")) + 1) / (count + 1)).alias("p_value"))
+    seen = abs(cases.agg(F.sum("diff")).first()[0] or 0)
+    return swapped_sums(cases, count, seed).agg(((F.count_if(F.abs("m") >= seen) + 1) / (count + 1)).alias("p_value"))
 
 
 def bootstrap_ci(cases: DataFrame, count: int, seed: int, level: float = 0.95) -> DataFrame:
@@ -93,11 +83,11 @@ def student_upper(t: Column, df: Column) -> Column:
 def binomial_two_sided(k: Column, n: Column) -> Column:
     """Exact two-sided p of k successes in n fair draws, null for null: terms follow one another by a ratio, from the largest down.
 
-    The sum ends where a term no longer counts, so a row costs some tens of steps a square root of n.
+    The sum ends where a term no longer counts, so a row costs some ten steps for each unit of the square root of n.
     """
     k, n = (F.col(x) if isinstance(x, str) else x for x in (k, n))
     low = F.least(k, n - k)
-    steps = F.least(low, F.ceil(40 * F.sqrt(n.cast("double"))).cast("long"))
+    steps = F.least(low, F.ceil(12 * F.sqrt(n.cast("double")) + 50).cast("long"))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
     down = F.when(steps > 0, F.sequence(F.lit(0).cast("long"), F.greatest(steps - 1, F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
 
