@@ -167,9 +167,13 @@ def _resampled(sizes: list[int], labels: int, seeds: int, where: dict[int, int])
     return run
 
 
+#: Factors of a task's seed.
+BY_COMPARISON, BY_METRIC = 1_000_003, 10_007
+
+
 def tasks(spark: SparkSession, comparisons: list[int], count: int, base_seed: int, iterations: int) -> DataFrame:
     """One row for each (comparison, metric): index of both, seed, iterations; the seeds of the published study."""
-    rows = [(i, m, base_seed + 1_000_003 * n + 10_007 * (m + 1), iterations) for n, i in enumerate(comparisons) for m in range(count)]
+    rows = [(i, m, base_seed + BY_COMPARISON * n + BY_METRIC * (m + 1), iterations) for n, i in enumerate(comparisons) for m in range(count)]
     return spark.createDataFrame(rows, "comparison int, metric int, seed long, iterations int")
 
 

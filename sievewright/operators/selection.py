@@ -95,8 +95,11 @@ def packed(vector):
 MEASURED = "combo int, id long, is_real boolean, m2 double, x binary"
 
 
-def measured(df: DataFrame, models: dict[int, Geometry]) -> DataFrame:
-    """Rows (combo, id, is_real, m2, x): squared Mahalanobis distance and whitened vector; 0 and the vector itself without a geometry."""
+def measured(df: DataFrame, models: dict[int, Geometry], *more: str) -> DataFrame:
+    """Rows (combo, id, is_real, m2, x): squared Mahalanobis distance and whitened vector; 0 and the vector itself without a geometry.
+
+    Columns ``more`` of the input go along. Rows are mapped one by one, so ``df`` may be a stream.
+    """
 
     def run(batches):
         for batch in batches:
@@ -110,9 +113,10 @@ def measured(df: DataFrame, models: dict[int, Geometry]) -> DataFrame:
                     m2[of] = (v**2).sum(axis=1)
                 for i, row in zip(of, v):
                     x[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(m2), pa.array(x, pa.binary())], ["combo", "id", "is_real", "m2", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(m2), pa.array(x, pa.binary())] + [batch.column(c) for c in more], ["combo", "id", "is_real", "m2", "x", *more])
 
-    return df.select(F.col("combo").cast("int").alias("combo"), F.col("id").cast("long").alias("id"), "is_real", "vector").mapInArrow(run, MEASURED)
+    kinds = "".join(f", `{c}` {t}" for c, t in df.dtypes if c in more)
+    return df.select(F.col("combo").cast("int").alias("combo"), F.col("id").cast("long").alias("id"), "is_real", "vector", *more).mapInArrow(run, MEASURED + kinds)
 
 
 def exact_percentile(df: DataFrame, by: str, value: str, id_col: str, percentile: float) -> DataFrame:

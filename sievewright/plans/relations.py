@@ -266,13 +266,19 @@ def percentile_rescale(spark, sf):
     return o.join(q, "o_orderstatus").select("o_orderkey", F.floor(level).cast("int").alias("level"))
 
 
-@query("WITH a AS (SELECT l_orderkey AS id, l_linenumber AS attempt, round(l_discount * 10, 6) AS coverage FROM lineitem), q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (CASE WHEN coverage BETWEEN 0.15 AND 0.85 THEN 0 ELSE 1 END), (CASE WHEN coverage BETWEEN 0.15 AND 0.85 THEN attempt END), round(abs(coverage - 0.5), 6), attempt) AS r FROM a) SELECT id, attempt, coverage BETWEEN 0.15 AND 0.85 AS accepted FROM q WHERE r = 1")
+@query(
+    """WITH a AS (SELECT l_orderkey AS id, l_linenumber AS attempt, CASE WHEN l_quantity > 8 THEN round(l_discount * 10, 6) END AS coverage FROM lineitem),
+    q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (coverage IS NULL)::INT, (CASE WHEN coverage BETWEEN 0.15 AND 0.85 THEN 0 ELSE 1 END), (CASE WHEN coverage BETWEEN 0.15 AND 0.85 THEN attempt END), round(abs(coverage - 0.5), 6), attempt) AS r FROM a)
+    SELECT id, CASE WHEN coverage IS NULL THEN 0 ELSE attempt END AS attempt, coalesce(coverage BETWEEN 0.15 AND 0.85, false) AS accepted FROM q WHERE r = 1"""
+)
 def fallback_cascade(spark, sf):
-    """First attempt of acceptable coverage, else the one nearest to a half."""
-    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("attempt"), F.round(F.col("l_discount") * 10, 6).alias("coverage"))
-    ok = F.col("coverage").between(0.15, 0.85)
-    key = F.struct(F.when(ok, 0).otherwise(1).alias("a"), F.when(ok, F.col("attempt")).otherwise(0).alias("b"), F.round(F.abs(F.col("coverage") - 0.5), 6).alias("c"), F.col("attempt").alias("d"))
-    return a.groupBy("id").agg(F.min_by(F.struct("attempt", ok.alias("accepted")), key).alias("m")).select("id", "m.attempt", "m.accepted")
+    """First attempt of acceptable coverage, else the one nearest to a half, else number 0: the mask is all ones where no attempt found anything."""
+    found = F.when(F.col("l_quantity") > 8, F.round(F.col("l_discount") * 10, 6))
+    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("attempt"), found.alias("coverage"))
+    ok = F.coalesce(F.col("coverage").between(0.15, 0.85), F.lit(False))
+    key = F.struct(F.col("coverage").isNull().cast("int").alias("n"), F.when(ok, 0).otherwise(1).alias("a"), F.when(ok, F.col("attempt")).otherwise(0).alias("b"), F.round(F.abs(F.col("coverage") - 0.5), 6).alias("c"), F.col("attempt").alias("d"))
+    which = F.when(F.col("coverage").isNull(), 0).otherwise(F.col("attempt")).alias("attempt")
+    return a.groupBy("id").agg(F.min_by(F.struct(which, ok.alias("accepted")), key).alias("m")).select("id", "m.attempt", "m.accepted")
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_quantity < 5 THEN 'quality' WHEN l_discount > 0.08 THEN 'outlier' WHEN l_tax = 0 THEN 'self duplicate' WHEN l_returnflag = 'R' THEN 'reference duplicate' ELSE 'kept' END AS reason FROM lineitem) GROUP BY 1")

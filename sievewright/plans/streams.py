@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import sign_hash
+from ..operators import selection
 from ..session import table
-from ..shared import work_folder
+from ..shared import kept, work_folder
 from ..streaming import collector, metrics
-from .inputs import hashes
+from .inputs import hashes, vectors
 from .register import Register
 from .selecting import GREEDY
 
 REGISTER = query = Register()
+#: Of the real rows' own distances.
+PERCENTILE = 97.5
 
 
 def _folder(spark) -> str:
@@ -74,3 +78,19 @@ def stream_gate(spark, sf):
     rows.write.parquet(f"{folder}/in")
     out = metrics.greedy_gate(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "combo", 22, 1 << 30)
     return _finish(spark, out, "append", "combo int, id long, decision string")
+
+
+@query(name="stream_outlier_gate")
+def stream_outlier_gate(spark, sf):
+    """Generated vectors as they arrive, through the outlier test of the real rows' geometry and then the greedy gate; equal to the batch form (tested)."""
+    v = vectors(spark, sf).select(F.col("combo").cast("int").alias("combo"), "id", "is_real", F.col("embedding").cast("array<double>").alias("vector"), sign_hash(F.col("embedding")).alias("hash"))
+    models = selection.geometries(v.filter("is_real"))
+    real = kept(selection.measured(v.filter("is_real"), models), "measured")
+    limits = selection.exact_percentile(real, "combo", "m2", "id", PERCENTILE).filter("n > 1").select("combo", "threshold")
+    folder = _folder(spark)
+    v.filter("not is_real").write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(v.schema).parquet(f"{folder}/in")
+    tested = selection.measured(arriving, models, "hash").join(kept(limits, "limits"), "combo", "left")
+    ok = F.coalesce(F.col("m2") <= F.col("threshold"), F.lit(True))
+    out = metrics.greedy_gate(tested.select("combo", "id", F.lit(True).alias("quality_ok"), ok.alias("m2_ok"), "hash"), "combo", 22, 1 << 30)
+    return _finish(spark, out, "append", "combo int, id long, decision string")

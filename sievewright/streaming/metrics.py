@@ -64,12 +64,14 @@ def controller(stream: DataFrame, name: str, value: str, order: str, target: flo
 
 
 def greedy_gate(stream: DataFrame, group: str, limit: int, target: int) -> DataFrame:
-    """Candidates (group, id, quality_ok, hash) in order of id: kept, or the first reason against.
+    """Candidates (group, id, quality_ok, hash) in order of id: kept, or the first reason against; with a column m2_ok outliers too.
 
     The state of a group is the hashes it kept, at most ``target`` of them.
     """
     import numpy as np
 
+    outliers = "m2_ok" in stream.columns
+
     def step(key, parts, state: GroupState):
         kept = np.array(state.get[0] if state.exists else [], np.int64)
         out = []
@@ -78,6 +80,8 @@ def greedy_gate(stream: DataFrame, group: str, limit: int, target: int) -> DataF
                 decision = "not reached"
             elif not r.quality_ok:
                 decision = "quality"
+            elif outliers and not r.m2_ok:
+                decision = "outlier"
             elif (np.bitwise_count((kept ^ np.int64(r.hash)).view(np.uint64)) <= limit).any():
                 decision = "self duplicate"
             else:

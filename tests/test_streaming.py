@@ -61,3 +61,24 @@ def test_gate_equals_batch(spark, tmp_path):
     got = run(spark, metrics.greedy_gate(stream, "combo", 22, 20), tmp_path, "append")
     batch = selection.greedy_gate(rows.withColumn("m2_ok", F.lit(True)).withColumn("ref_near", F.lit(False)), 22, 20)
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in batch.collect())
+
+
+def test_outlier_gate_equals_batch(spark, monkeypatch):
+    from sievewright.plans import catalogue, streams
+    from sievewright.plans.inputs import vectors
+
+    monkeypatch.setattr(streams, "PERCENTILE", 50.0)
+    got = {r.id: r.decision for r in catalogue.QUERIES["stream_outlier_gate"](spark, SF).collect()}
+    v = vectors(spark, SF).select(F.col("combo").cast("int").alias("combo"), "id", "is_real", F.col("embedding").cast("array<double>").alias("vector"))
+    gated = selection.gate(v, 50.0).select("id", F.col("kept").alias("m2_ok"))
+    rows = hashes(spark, SF).join(gated, "id").select(F.col("combo").cast("int").alias("combo"), "id", F.lit(True).alias("quality_ok"), "m2_ok", F.lit(False).alias("ref_near"), "hash")
+    assert got == {r.id: r.decision for r in selection.greedy_gate(rows, 22, 1 << 30).collect()}
+
+
+def test_outliers_go_before_they_can_count_as_kept(spark, tmp_path):
+    rows = hashes(spark, SF).select(F.col("combo").cast("int").alias("combo"), "id", F.lit(True).alias("quality_ok"), (F.col("id") % 4 != 0).alias("m2_ok"), "hash")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/c")
+    got = run(spark, metrics.greedy_gate(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/c"), "combo", 22, 1 << 30), tmp_path, "append")
+    batch = selection.greedy_gate(rows.withColumn("ref_near", F.lit(False)), 22, 1 << 30)
+    want = {r.id: r.decision for r in batch.collect()}
+    assert {r.id: r.decision for r in got.collect()} == want and "outlier" in want.values()
