@@ -282,10 +282,21 @@ def _distinct(vectors: DataFrame, k: int) -> DataFrame:
     return least.groupBy("h", "x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).drop("h")
 
 
+def _least(classes: DataFrame, n: int) -> list:
+    """The SAMPLE rows of least hash. Each task sends its own least ones, so hashes are first cut where some twice SAMPLE of all ``n`` rows lie below."""
+    h, share = F.xxhash64("x"), 2 * SAMPLE / max(1, n)
+    while True:
+        below = classes if share >= 0.5 else classes.filter(h < F.lit(int(share * (1 << 64)) - (1 << 63)))
+        some = below.orderBy(h, "x").limit(SAMPLE).select("x").collect()  # SAMPLE rows at most
+        if len(some) == SAMPLE or share >= 0.5:
+            return some
+        share *= 4
+
+
 def index(spark: SparkSession, classes: DataFrame, size: int, most: int, tree: int = TREE) -> tuple[DataFrame, DataFrame, dict]:
     """Pages, trees (tree, pivot) and what queries need to start: sample, pivots, radii."""
     n = classes.count()
-    some = classes.orderBy(F.xxhash64("x"), "x").limit(SAMPLE).select("x").collect()  # SAMPLE rows at most
+    some = _least(classes, n)
     sample = np.array([r["x"] for r in some], np.int64).reshape(len(some), size)
     wanted, last = min(PIVOTS, -(-n // max(1, tree // 2))), _last(sample, most)
     chosen, near = [0], _gaps(sample, last, sample[0], last[0])

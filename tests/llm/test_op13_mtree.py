@@ -110,3 +110,27 @@ def test_query_equals_sql(spark, sf):
     want = con.sql(ORACLE["op13_mtree"])
     at = [want.columns.index(c) for c in got.columns]
     assert of(got) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_the_driver_takes_few_rows_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "SAMPLE", 64)
+    classes = spark.range(0, 6000, 1, 60).selectExpr("transform(sequence(1, 64), i -> xxhash64(id, i) % 1000) AS x", "array(id) AS ids")
+    want = [r["x"] for r in classes.collect()]
+    key = {tuple(r["x"]): r["h"] for r in classes.selectExpr("x", "xxhash64(x) AS h").collect()}
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")  # of all tasks of a job; 64 rows of each are 2 MB
+    try:
+        start = mtree.index(spark, classes, 64, 64_000_000, 4096)[2]
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert start["sample"].tolist() == sorted(want, key=lambda x: key[tuple(x)])[:64]
+
+
+def test_the_least_rows_where_hashes_crowd(spark, monkeypatch):
+    """A share below which too few rows lie is widened, down to all rows."""
+    monkeypatch.setattr(mtree, "SAMPLE", 8)
+    classes = spark.range(40).selectExpr("array(id) AS x", "array(id) AS ids")
+    got = [[r["x"] for r in mtree._least(classes, n)] for n in (40, 10**6, 10**12)]
+    want = [r["x"] for r in classes.selectExpr("x", "xxhash64(x) AS h").orderBy("h").limit(8).collect()]
+    assert got == [want] * 3
