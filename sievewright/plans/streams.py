@@ -66,7 +66,8 @@ _DAY = "datediff('day', DATE '1970-01-01', ts::DATE)"
 def stream_collector(spark, sf):
     """Averages of every closed day since the day before, held over days without reports; rare kinds report only now and then."""
     out = collector.collected(_events(spark, sf), "event_type", "value", "ts")
-    done = _finish(spark, out, "append", collector.TICKS)
+    with collector.state_store(spark):
+        done = _finish(spark, out, "append", collector.TICKS)
     return done.select("name", "tick", "num", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "fresh")
 
 

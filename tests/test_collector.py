@@ -1,8 +1,10 @@
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 
+from sievewright.plans import catalogue, streams
 from sievewright.streaming import collector
 
 SCHEMA = "name string, ts timestamp, value double"
@@ -57,3 +59,20 @@ def test_moments():
     assert collector.averages(1, 5.0, 25.0) == (1, 5.0, 0.0)
     n, mean, std = collector.averages(4, 10.0, 30.0)
     assert (n, mean, std) == (4, 2.5, pytest.approx(np.std([1, 2, 3, 4])))
+
+
+@pytest.mark.parametrize("store", [None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"])
+def test_the_query_brings_its_state_store(spark, sf, store):
+    """Sessions keep Spark's default store unless told otherwise; the query must run there and leave the setting as it was."""
+    key = collector.PROVIDER[0]
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key) if store is None else spark.conf.set(key, store)
+    try:
+        named = spark.conf.get(key, None)
+        got = streams.stream_collector(spark, sf).collect()
+        assert spark.conf.get(key, None) == named
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.sql(catalogue.ORACLE["stream_collector"]).fetchall())
