@@ -112,3 +112,15 @@ def test_a_bounded_sample_and_one_class(spark):
     r = forest.growth(spark, forest.grow(spark, one, [1], 25, 1), one.select("id", "y", "x"), 1, 25).first()
     assert (r.oob_score, r.test_accuracy, r.test_macro_f1) == (1.0, 1.0, 1.0)
     assert pickle.loads(bytes(made[0].trees))[2] == 25
+
+
+def test_votes_stay_in_their_tasks_and_lots_are_small(spark):
+    """Test rows and forests meet by slices and leave as counts of a lot; votes as rows of (forest, lot, row) took the time."""
+    ids, y, x = blobs(400, 6)
+    rows = spark.createDataFrame(rows_of(ids, y, x), SCHEMA)
+    made = forest.grow(spark, rows, [1], 50, 3)
+    lot = made.first()
+    t, nodes, n = pickle.loads(bytes(lot.trees))
+    assert n == 25 and len(lot.trees) < t.nbytes + 16 * len(nodes["vote"]) + 1000
+    plan = forest.growth(spark, made, rows.select("id", "y", "x"), 3, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
