@@ -5,8 +5,10 @@ edits, short ones for parts of an item. A document holds a window if some stretc
 is within the window's edit budget e. Such a stretch shares at least ``m - q + 1 - e q`` q-grams
 with the window of m characters, all on diagonals that lie at most e apart from where it starts.
 So q-grams of the text that any window has are marked; where too few are marked for any window
-nothing can be; elsewhere marks are counted by window and overlapping diagonal band, and bands
-that reach their window's bound are verified by an alignment inside the band. Nothing that is
+nothing can be. Elsewhere marks are counted by item first, where a q-gram that many windows share
+is one place: only marks on diagonals with as many as the item's least bound go on to its windows.
+There they are counted by window and overlapping diagonal band, and bands that reach their window's
+bound are verified by an alignment inside the band. Nothing that is
 within the budget is lost, and nothing else is returned. Items too short for the lemma, of
 SHORT_WORDS words or more, are sought as they are, between word boundaries, with no edit.
 
@@ -47,7 +49,9 @@ SHORT_WORDS = 3
 #: Some 150 MB of index in each worker; a longer benchmark takes one pass over the documents a block.
 INDEX_CHARS = 2_000_000
 _BITS = 22
-#: Pairs of a mark and a window's q-gram that are counted at once.
+#: Positions whose q-grams are looked up at once: what that makes stays in a core's cache.
+LOOKUP = 1 << 15
+#: Pairs of a mark and an item's q-gram that are counted at once.
 PAIRS = 500_000
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -87,11 +91,13 @@ class Part:
     text: bytes
     budget: int
     bound: int  # 0: too short for the lemma
+    source: int  # which of the items
+    start: int
 
 
 def windows(items: list[tuple[int, str]]) -> list[Part]:
     found = []
-    for item, text in items:
+    for source, (item, text) in enumerate(items):
         whole = normal_text(text)
         spans = set()
         for size, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
@@ -102,10 +108,10 @@ def windows(items: list[tuple[int, str]]) -> list[Part]:
             most = (len(part) - Q + 1 - LEAST) // Q
             if len(part) - Q + 1 < LEAST:
                 if part.count(b" ") + 1 >= SHORT_WORDS:
-                    found.append(Part(item, part, 0, 0))
+                    found.append(Part(item, part, 0, 0, source, s))
                 continue
             budget = max(0, min(int(RATE * len(part)), most))
-            found.append(Part(item, part, budget, len(part) - Q + 1 - budget * Q))
+            found.append(Part(item, part, budget, len(part) - Q + 1 - budget * Q, source, s))
     return found
 
 
@@ -120,8 +126,27 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * U64(0x9E3779B97F4A7C15) >> U64(64 - _BITS)).astype(np.int64)
 
 
+def _each(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from first to last of every row, and the rows that they are of."""
+    times = last - first
+    row = np.repeat(np.arange(len(times)), times)
+    return row, np.arange(len(row)) + np.repeat(first - np.cumsum(times) + times, times)
+
+
+def _crowded(key: np.ndarray, bound) -> np.ndarray:
+    """Which of the keys lie in two consecutive steps that hold ``bound(first)`` keys or more."""
+    steps, counts = np.unique(key, return_counts=True)
+    both = counts.copy()
+    both[:-1] += np.where(steps[1:] == steps[:-1] + 1, counts[1:], 0)
+    first = steps[both >= bound(steps)]
+    if not len(first):
+        return np.zeros(len(key), bool)
+    steps = np.unique(np.r_[first, first + 1])
+    return steps[np.minimum(np.searchsorted(steps, key), len(steps) - 1)] == key
+
+
 class Index:
-    """q-grams of all windows: codes in order with the windows and places where each occurs."""
+    """q-grams of all items in order of their slots, with the places in items and the windows that have each."""
 
     def __init__(self, parts: list[Part]):
         self.whole: dict[bytes, set[int]] = {}
@@ -141,68 +166,113 @@ class Index:
         sizes = [len(c) for c in codes]
         all_codes = np.concatenate([np.zeros(0, U64), *codes])
         which = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
-        place = np.concatenate([np.zeros(0, np.int16), *(np.arange(n, dtype=np.int16) for n in sizes)])
-        order = np.argsort(all_codes, kind="stable")
-        self.codes, self.first = np.unique(all_codes[order], return_index=True)
-        self.last = np.r_[self.first[1:], len(order)]
-        self.which, self.place = which[order], place[order]
+        self.start = np.array([p.start for p in parts], np.int64)
+        source = np.array([p.source for p in parts], np.int32)
+        place = np.concatenate([np.zeros(0, np.int32), *(np.arange(p.start, p.start + n, dtype=np.int32) for p, n in zip(parts, sizes))])
+        order = np.lexsort((place, source[which], all_codes, _slot(all_codes)))
+        all_codes, self.which, place = all_codes[order], which[order], place[order]
+        source_of = source[self.which]
+        # a place of an item, and the windows that cover it; a code, and its places
+        code = np.r_[True, all_codes[1:] != all_codes[:-1]][: len(order)]
+        spot = code | np.r_[True, (place[1:] != place[:-1]) | (source_of[1:] != source_of[:-1])][: len(order)]
+        at = np.flatnonzero(spot)
+        self.source, self.place = source_of[at], place[at]
+        self.windows = np.r_[at, len(order)].astype(np.int32)
+        self.codes = all_codes[code]
+        self.spots = np.r_[np.flatnonzero(code[at]), len(at)].astype(np.int32)
+        # the first code of a slot; others follow it
+        slots = _slot(self.codes)
         self.slots = np.zeros(1 << _BITS, bool)
-        self.slots[_slot(self.codes)] = True
+        self.slots[slots] = True
+        self.code_at = np.zeros(1 << _BITS, np.int32)
+        self.code_at[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.crowd = int(np.unique(slots, return_counts=True)[1].max(initial=0))
         self.budget = np.array([p.budget for p in parts], np.int64)
         self.bound = np.array([p.bound for p in parts], np.int64)
         self.step = 2 * self.budget + 1
         self.reach = max((len(p.text) + p.budget - Q + 1 for p in parts), default=1)
         self.least = int(self.bound.min(initial=1 << 30))
-
-    def marks(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Places whose q-gram a window has, where enough of them lie within reach of each other."""
-        codes = _codes(data)
-        at = np.flatnonzero(self.slots[_slot(codes)])
-        hit = np.searchsorted(self.codes, codes[at])
-        hit[hit == len(self.codes)] = 0
-        at = at[self.codes[hit] == codes[at]] if len(self.codes) else at[:0]
+        self.least_of = np.full(int(source.max(initial=0)) + 1, 1 << 30)
+        np.minimum.at(self.least_of, source, self.bound)
+        self.longest = int(place.max(initial=0))
+        self.most = int(self.budget.max(initial=0)) + 1
+
+    def marks(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose q-gram a window has, where enough of them lie within reach of each other, and its number."""
+        places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in range(0, len(data) - Q + 1, LOOKUP):
+            codes = _codes(data[s : s + LOOKUP + Q - 1])
+            slots = _slot(codes)
+            at = np.flatnonzero(self.slots[slots])
+            number, codes = self.code_at[slots[at]], codes[at]
+            for _ in range(self.crowd):
+                same = self.codes[number] == codes
+                places.append(at[same] + s)
+                numbers.append(number[same])
+                at, codes, number = at[~same], codes[~same], number[~same] + 1
+                inside = number < len(self.codes)
+                at, codes, number = at[inside], codes[inside], number[inside]
+        at, number = np.concatenate(places), np.concatenate(numbers)
+        if self.crowd > 1:
+            order = np.argsort(at, kind="stable")
+            at, number = at[order], number[order]
         doc = np.searchsorted(bounds, at, "right") - 1
-        at = at[at + Q <= bounds[doc + 1]]
-        if not len(at):
-            return at
+        inside = at + Q <= bounds[doc + 1]
+        at, number = at[inside], number[inside]
         # k-th mark and the (k + least - 1)-th within reach: all marks from one to the other stay
         n = self.least
         if len(at) < n:
-            return at[:0]
+            return at[:0], number[:0]
         near = at[n - 1 :] - at[: len(at) - n + 1] < self.reach
         cover = np.zeros(len(at) + 1, np.int64)
         cover[:-1][: len(near)] += near
         cover[n : n + len(near)] -= near[: len(cover) - n]
-        return at[np.cumsum(cover[:-1]) > 0]
+        stay = np.cumsum(cover[:-1]) > 0
+        return at[stay], number[stay]
 
     def bands(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, window and band of every band that reaches its window's bound."""
-        at = self.marks(data, bounds)
-        codes = np.searchsorted(self.codes, _codes(data)[at]) if len(at) else at
-        times = self.last[codes] - self.first[codes]
+        at, codes = self.marks(data, bounds)
         doc = np.searchsorted(bounds, at, "right") - 1
         # a text's marks are counted together; texts are taken as many as make PAIRS pairs
-        total, cuts = np.cumsum(times), [0]
+        total, cuts = np.cumsum(self.spots[codes + 1] - self.spots[codes], dtype=np.int64), [0]
         ends = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True]) + 1 if len(doc) else []
         for e in ends:
             if total[e - 1] - (total[cuts[-1] - 1] if cuts[-1] else 0) >= PAIRS or e == len(at):
                 cuts.append(int(e))
-        made = [self._count(at[s:e], codes[s:e], times[s:e], doc[s:e], bounds) for s, e in zip(cuts, cuts[1:])]
+        made = [self._count(*self._shared(at[s:e], codes[s:e]), bounds) for s, e in zip(cuts, cuts[1:])]
         none = np.zeros((3, 0), np.int64)
         return tuple(np.concatenate([none, *made], axis=1).astype(np.int64))
 
-    def _count(self, at, codes, times, doc, bounds) -> np.ndarray:
-        row = np.repeat(np.arange(len(at)), times)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + self.first[codes][row]
-        window, diagonal = self.which[k], at[row] - self.place[k]
-        text = doc[row]
-        band = (diagonal - bounds[text]) // self.step[window]
+    def _shared(self, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a mark and a place of an item, on diagonals where any of the item's windows may reach its bound.
+
+        An alignment with e edits stays on e + 1 diagonals, so it lies in two consecutive steps of that many.
+        Texts are not told apart here: at worst more pairs stay.
+        """
+        row, spot = _each(self.spots[codes], self.spots[codes + 1])
+        lowest = int(at[0]) - self.longest
+        span = (int(at[-1]) - lowest) // self.most + 2
+        shift = np.int64(span * self.most) * self.source - self.place - lowest
+        stay = _crowded((at[row] + shift[spot]) // self.most, lambda steps: self.least_of[steps // span])
+        return at[row[stay]], spot[stay]
+
+    def _count(self, at: np.ndarray, spot: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        row, k = _each(self.windows[spot], self.windows[spot + 1])
+        window = self.which[k].astype(np.int64)
+        text = (np.searchsorted(bounds, at, "right") - 1)[row]
+        diagonal = (at - self.place[spot])[row] + self.start[window] - bounds[text]
+        owner = text * len(self.parts) + window
+        fine = (diagonal + WINDOW) // (self.budget[window] + 1)
+        span = int(fine.max(initial=0)) + 2
+        stay = _crowded(owner * span + fine, lambda steps: self.bound[steps // span % len(self.parts)])
+        owner, band = owner[stay], diagonal[stay] // self.step[window[stay]]
         lowest = -WINDOW - 1
         span = int(band.max(initial=0)) - lowest + 1
-        key = (text * len(self.parts) + window) * span + (band - lowest)
+        key = owner * span + (band - lowest)
         keys, counts = np.unique(np.r_[key, key - 1], return_counts=True)
         rest, band = np.divmod(keys, span)
-        text, window = np.divmod(rest, len(self.parts))
+        text, window = np.divmod(rest, max(1, len(self.parts)))
         ok = counts >= self.bound[window]
         return np.stack([text[ok], window[ok], band[ok] + lowest])
 

@@ -1,8 +1,10 @@
 import re
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pytest import MonkeyPatch
 
 from sievewright.llm import qgram
 from sievewright.llm.common import read
@@ -119,3 +121,33 @@ def test_short_items_are_sought_as_they_are(spark):
     bench = spark.createDataFrame([(7, "answer is 42"), (8, "Answer is 42."), (9, "yes")], "item_id long, text string")
     assert sorted(tuple(r)[:3] for r in qgram.leaks(spark, docs, bench).collect()) == [(1, 7, 0), (1, 8, 0), (3, 7, 0), (3, 8, 0)]
     assert sorted(r.doc_id for r in qgram.decontaminate(spark, docs, bench).collect()) == [2, 4, 5]
+
+
+def test_qgrams_that_windows_share_are_counted_once(monkeypatch):
+    """A text with an item's words, but none of its passages: what is counted follows places of items, not their windows."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("etaoinsrhl"), 9)) for _ in range(60)]
+    index = qgram.Index(qgram.windows([(1, " ".join(words))]))
+    text = np.frombuffer((" xyz" * 6 + " ").join(rng.choice(words, 5_000)).encode(), np.uint8)
+    whole, counted, unique = plain(" ".join(words)), [], np.unique
+    places = Counter(whole[i : i + qgram.Q] for i in range(len(whole) - qgram.Q + 1))
+    pairs = sum(places[text[i : i + qgram.Q].tobytes()] for i in range(len(text) - qgram.Q + 1))
+    monkeypatch.setattr(np, "unique", lambda a, *more, **named: counted.append(len(a)) or unique(a, *more, **named))
+    assert index.search(text, np.array([0, len(text)])) == []
+    assert 0 < sum(counted) <= 2 * pairs
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([2, 6, 22]), st.sampled_from([16, 1 << 15]), st.sampled_from([1, 500_000]))
+def test_crowded_slots_and_small_lots(seed, bits, lookup, pairs):
+    rng = np.random.default_rng(seed)
+    words = lambda n: " ".join("".join(rng.choice(list("etaoins"), rng.integers(1, 7))) for _ in range(n))
+    items = [(1, words(50)), (2, words(20)), (1, words(9)), (3, words(50))]
+    items.append((4, items[0][1]))
+    docs = [words(9) + " " + edited(rng, t[rng.integers(0, 9) :].encode(), rng.integers(0, 9)).decode() + words(9) for _, t in items] + ["", words(60)]
+    bounds = np.r_[0, np.cumsum([len(d.encode()) for d in docs])]
+    with MonkeyPatch.context() as m:
+        for name, value in (("_BITS", bits), ("LOOKUP", lookup), ("PAIRS", pairs)):
+            m.setattr(qgram, name, value)
+        found = qgram.Index(qgram.windows(items)).search(np.frombuffer("".join(docs).encode(), np.uint8), bounds)
+    assert {h[:3] for h in found} == brute(list(enumerate(docs)), items)
