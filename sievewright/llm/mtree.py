@@ -59,8 +59,8 @@ def _last(x: np.ndarray, most: int) -> np.ndarray:
     return np.sqrt(np.maximum(most - np.einsum("ij,ij->i", f, f), 0))
 
 
-def _gaps(x: np.ndarray, last: np.ndarray, y: np.ndarray, y_last: float) -> np.ndarray:
-    """Distances of rows to one vector in the metric with the added coordinate."""
+def _gaps(x: np.ndarray, last: np.ndarray, y: np.ndarray, y_last: float | np.ndarray) -> np.ndarray:
+    """Distances of rows to one vector, or each to its own, in the metric with the added coordinate."""
     d = x.astype(float) - y
     return np.sqrt(np.einsum("ij,ij->i", d, d) + (last - y_last) ** 2)
 
@@ -165,17 +165,20 @@ class Tree:
         return [(-s, -i) for s, i in best], computed
 
 
+def _nearest(x: np.ndarray, last: np.ndarray, pivots: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """The pivot nearest to each row: all have the same norm with the added coordinate, so it has the largest product."""
+    return (x.astype(float) @ pivots.astype(float).T + np.outer(last, lasts)).argmax(axis=1).astype(np.int32)
+
+
 def _place(pivots: np.ndarray, lasts: np.ndarray, size: int, most: int):
     """For mapInArrow over (x, ids): each vector's nearest pivot and its distance."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             x = _matrix(batch.column(0), size)
-            last, n = _last(x, most), len(x)
-            best, own = np.full(n, np.inf), np.zeros(n, np.int32)
-            for p in range(len(pivots)):
-                d = _gaps(x, last, pivots[p], lasts[p])
-                own[d < best], best = p, np.minimum(best, d)
+            last = _last(x, most)
+            own = np.concatenate([np.empty(0, np.int32), *[_nearest(x[at : at + 2048], last[at : at + 2048], pivots, lasts) for at in range(0, len(x), 2048)]])
+            best = _gaps(x, last, pivots[own], lasts[own])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(best)], ["x", "ids", "pivot", "gap"])
 
     return run
@@ -236,6 +239,8 @@ def _searched(size: int, most: int, k: int):
                 if block < 0:
                     pages.append(batch.slice(row, 1).to_pylist()[0]["node"])
                     continue
+                if tree is None and not pages:
+                    continue  # a tree that no vector's hash named
                 if tree is None:
                     tree, pages = Tree(pages, size, most), []
                 sent = batch.column("queries")[row]
@@ -294,7 +299,7 @@ def _least(classes: DataFrame, n: int) -> list:
 
 
 def index(spark: SparkSession, classes: DataFrame, size: int, most: int, tree: int = TREE) -> tuple[DataFrame, DataFrame, dict]:
-    """Pages, trees (tree, pivot) and what queries need to start: sample, pivots, radii."""
+    """Pages, trees (tree, pivot) and what queries need to start: sample, pivots, radii, and the names of the trees of column ``pivot``."""
     n = classes.count()
     some = _least(classes, n)
     sample = np.array([r["x"] for r in some], np.int64).reshape(len(some), size)
@@ -307,10 +312,12 @@ def index(spark: SparkSession, classes: DataFrame, size: int, most: int, tree: i
     placed = cut(spark, classes.mapInArrow(_place(pivots, lasts, size, most), "x array<long>, ids array<long>, pivot int, gap double"), "placed")
     counts = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("far")).collect()}  # PIVOTS rows
     several = F.element_at(F.create_map(*[F.lit(v) for p, (c, _) in counts.items() for v in (p, -(-c // tree))]), F.col("pivot"))
-    name = (F.col("pivot").cast("long") * (1 << 40) + F.pmod(F.xxhash64("x"), several)).alias("tree")
+    first = F.col("pivot").cast("long") * (1 << 40)
+    name = (first + F.pmod(F.xxhash64("x"), several)).alias("tree")
     dealt = placed.select(name, "x", "ids").repartition("tree").sortWithinPartitions("tree")
     pages = cut(spark, dealt.mapInArrow(_paged(size, most), PAGES), "pages")
     start = {"sample": sample, "pivots": pivots, "radii": np.array([counts.get(p, (0, -np.inf))[1] for p in range(len(pivots))])}
+    start["names"] = F.transform(F.sequence(F.lit(0), several - 1), lambda i: first + i)
     return pages, pages.filter("page = 0").select("tree", F.floor(F.col("tree") / (1 << 40)).cast("int").alias("pivot")), start
 
 
@@ -325,7 +332,8 @@ def top_scores(spark: SparkSession, embeddings: DataFrame, k: int = 10, every: i
     padded = F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(size) - F.size("x")))
     vectors = vectors.select("vec_id", padded.alias("x"))
     classes = cut(spark, _distinct(vectors, k + 1), "classes")
-    pages, trees, start = index(spark, classes, size, most, tree)
+    pages, _, start = index(spark, classes, size, most, tree)
+    names = start.pop("names")
 
     asked = cut(spark, vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "x"), "queries")
     queries = cut(spark, asked.select("x").distinct().select("x", F.monotonically_increasing_id().alias("q")), "asked")
@@ -333,7 +341,8 @@ def top_scores(spark: SparkSession, embeddings: DataFrame, k: int = 10, every: i
     node = F.struct(*[c.split()[0] for c in PAGES.split(", ") if c.split()[0] != "tree"]).alias("node")
     slices = max(1, -(-queries.count() // SLICE))
     part = F.pmod("block", F.lit(slices)).cast("int").alias("slice")
-    sent = blocks.join(trees, "pivot").select("tree", part, "block", F.struct("numbers", "x", "bounds").alias("queries"), F.lit(0).alias("page"))
+    # trees are named, not joined: a planner that takes blocks for as small as the queries' file would send all of them to the driver
+    sent = blocks.select(F.explode(names).alias("tree"), part, "block", F.struct("numbers", "x", "bounds").alias("queries"), F.lit(0).alias("page"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
     rows = pages.select("tree", copies, F.lit(-1).cast("long").alias("block"), "page", node).unionByName(sent, allowMissingColumns=True)
     rows = rows.repartition("tree", "slice").sortWithinPartitions("tree", "slice", "block", "page").select("tree", "slice", "block", "node", "queries")
@@ -341,7 +350,7 @@ def top_scores(spark: SparkSession, embeddings: DataFrame, k: int = 10, every: i
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     found = cut(spark, found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1), "found")
 
-    named = asked.join(queries, "x").select(F.col("vec_id").alias("query_id"), "q")
+    named = asked.hint("merge").join(queries, "x").select(F.col("vec_id").alias("query_id"), "q")
     return _ranked(named, found, k)
 
 
@@ -350,7 +359,7 @@ def _ranked(named: DataFrame, found: DataFrame, k: int) -> DataFrame:
     lists = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))  # k + 1 entries
     own = F.coalesce(F.array_position(F.transform("found", lambda f: f["vec_id"]), F.col("query_id")), F.lit(0))
     rest = F.slice(F.filter("found", lambda f, i: i + 1 != own), 1, k)
-    each = named.join(lists, "q").select("query_id", F.posexplode(rest).alias("i", "f"))
+    each = named.hint("merge").join(lists, "q").select("query_id", F.posexplode(rest).alias("i", "f"))
     return each.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "f.vec_id", (-F.col("f.s")).alias("score"))
 
 

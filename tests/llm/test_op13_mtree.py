@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,3 +135,38 @@ def test_the_least_rows_where_hashes_crowd(spark, monkeypatch):
     got = [[r["x"] for r in mtree._least(classes, n)] for n in (40, 10**6, 10**12)]
     want = [r["x"] for r in classes.selectExpr("x", "xxhash64(x) AS h").orderBy("h").limit(8).collect()]
     assert got == [want] * 3
+
+
+def test_no_blocks_of_queries_reach_the_driver(spark, monkeypatch):
+    """Blocks were joined to the trees and taken for as small as the queries' file, hence broadcast: 334 MB of 7,200 queries."""
+    monkeypatch.setattr(mtree, "cut", lambda spark, df, label, made=mtree.cut: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), made(spark, df, label))[1])
+    plans = {}
+    rows = [(i, np.random.default_rng(i).normal(0, 0.2, 8).tolist(), 0) for i in range(600)]
+    got = mtree.top_scores(spark, spark.createDataFrame(rows, SCHEMA), k=3, every=10, tree=50)
+    assert of(got) == brute(rows_of(rows), 3, 10)
+    plans["result"] = got._jdf.queryExecution().executedPlan().toString()
+    assert {"found", "result"} <= set(plans) and not [k for k, p in plans.items() if "Broadcast" in p]
+
+
+def rows_of(rows):
+    return [r[:2] for r in rows]
+
+
+def test_a_tree_without_vectors_is_passed_over():
+    queries = {"numbers": np.array([5]).tobytes(), "x": np.array([1, 2]).tobytes(), "bounds": np.array([-np.inf]).tobytes()}
+    ints = ("numbers", "x", "bounds")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([None]), pa.array([queries], pa.struct([(c, pa.binary()) for c in ints]))],
+        ["tree", "slice", "block", "node", "queries"],
+    )
+    assert sum(len(b) for b in mtree._searched(2, 10, 3)(iter([batch]))) == 0
+
+
+def test_nearest_pivots_by_products():
+    rng = np.random.default_rng(4)
+    x, p = rng.integers(-500, 500, (3000, 8)), rng.integers(-500, 500, (40, 8))
+    most = int(max((x**2).sum(axis=1).max(), (p**2).sum(axis=1).max()))
+    last, lasts = mtree._last(x, most), mtree._last(p, most)
+    gaps = np.stack([mtree._gaps(x, last, v, w) for v, w in zip(p, lasts)])
+    own = mtree._nearest(x, last, p, lasts)
+    assert np.allclose(gaps[own, np.arange(3000)], gaps.min(axis=0)) and np.array_equal(mtree._gaps(x, last, p[own], lasts[own]), gaps[own, np.arange(3000)])
