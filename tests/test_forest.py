@@ -124,3 +124,42 @@ def test_votes_stay_in_their_tasks_and_lots_are_small(spark):
     assert n == 25 and len(lot.trees) < t.nbytes + 16 * len(nodes["vote"]) + 1000
     plan = forest.growth(spark, made, rows.select("id", "y", "x"), 3, 50)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_all_rows_are_trained_on(spark):
+    """20,000 rows of least hash stood for larger sets before."""
+    df = spark.range(20_500).selectExpr("0 AS experiment", "id", "cast(id % 2 AS int) AS y", "array(cast(id % 7 AS double), cast(id % 11 AS double)) AS x")
+    assert len(forest.grow(spark, df, [1], 1, 2).first().ids) == 20_500
+
+
+def test_large_sets_in_blocks_equal_sets_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(forest, "ROUND", 25 * 330)  # a lot a round
+    ids, y, x = blobs(300, 7)
+    tid, ty, tx = blobs(90, 8, first=1000)
+    train = spark.createDataFrame(rows_of(ids, y, x, 0) + rows_of(ids[:30], y[:30], x[:30], 1), SCHEMA).repartition(3)
+    test = spark.createDataFrame([r[1:] for r in rows_of(tid, ty, tx)], "id long, y int, x array<double>")
+    want = {(r.experiment, r.seed, r.n_estimators): r for r in forest.growth(spark, forest.grow(spark, train, [1, 2], 30, 3), test, 3, 30).collect()}
+    got = {(r.experiment, r.seed, r.n_estimators): r for r in forest.scores(spark, train, test, [1, 2], 30, 3, held=60 * 6).collect()}
+    assert got == want and len(want) == 8
+
+
+def test_large_sets_of_one_class_and_without_a_split(spark):
+    rows = spark.range(50).selectExpr("cast(id % 2 AS int) AS experiment", "id", "cast(id % 2 = 1 AND id % 4 > 1 AS int) AS y", "array(1.0D, 2.0D) AS x")
+    test = rows.filter("id < 10").select("id", "y", "x")
+    want = sorted(forest.growth(spark, forest.grow(spark, rows, [3], 25, 2), test, 2, 25).collect())
+    assert sorted(forest.scores(spark, rows, test, [3], 25, 2, held=10).collect()) == want
+
+
+@pytest.mark.parametrize("n", [2, 33, 100, 1001])
+def test_thresholds_by_places_equal_quantiles(spark, n):
+    x = np.random.default_rng(n).normal(0, 1, (n, 2)).round(1 if n == 100 else 9)
+    df = spark.createDataFrame(rows_of(range(n), [0] * n, x, 4), SCHEMA)
+    assert np.array_equal(forest.quantiles(df, {4: n})[4], forest.cuts(x))
+
+
+def test_trees_in_parts_vote_as_side_by_side(monkeypatch):
+    ids, y, x = blobs(200, 9)
+    b = forest.binned(x, forest.cuts(x))
+    want = forest.votes(forest.grown(b, y, ids, 3, 5, list(range(7)), 2, 2), b, 7)
+    monkeypatch.setattr(forest, "BESIDE", 600)
+    assert np.array_equal(forest.votes(forest.grown(b, y, ids, 3, 5, list(range(7)), 2, 2), b, 7), want)
