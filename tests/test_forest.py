@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sievewright.operators import forest
+from sievewright.plans import catalogue, selecting
 
 SCHEMA = "experiment int, id long, y int, x array<double>"
 
@@ -163,3 +164,12 @@ def test_trees_in_parts_vote_as_side_by_side(monkeypatch):
     want = forest.votes(forest.grown(b, y, ids, 3, 5, list(range(7)), 2, 2), b, 7)
     monkeypatch.setattr(forest, "BESIDE", 600)
     assert np.array_equal(forest.votes(forest.grown(b, y, ids, 3, 5, list(range(7)), 2, 2), b, 7), want)
+
+
+def test_seed_scores_do_not_depend_on_what_a_task_holds(spark, sf, monkeypatch):
+    """The query trains on every row: in blocks, its sets of up to 160 rows give the accuracies that they give whole."""
+    monkeypatch.setattr(selecting, "RF_TREES", 3)
+    monkeypatch.setattr(selecting, "RF_SEEDS", 1)
+    want = sorted(catalogue.QUERIES["rf_seed_scores"](spark, sf).collect())
+    monkeypatch.setattr(forest, "HELD", 64 * 20)
+    assert sorted(catalogue.QUERIES["rf_seed_scores"](spark, sf).collect()) == want and len(want) == 5
